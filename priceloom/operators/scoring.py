@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..config import MatchConfig
 from ..functions import specs as S
-from ..functions.dates import recency_bonus
 from ..functions.similarity import sequence_ratio
 from ..functions.text import format_g, normalize_text
 from ..functions.units import compare_units
@@ -33,11 +32,11 @@ def text_table(rows: DataFrame, lex) -> DataFrame:
     texts = rows.select("name", "spec").distinct().withColumn("text_id", F.monotonically_increasing_id())
     both = F.concat(F.col("name"), F.lit(" "), F.col("spec"))
     texts = S.with_spec_facts(texts, both, "facts", lex)
-    texts = S.with_spec_facts(texts, F.col("spec"), "spec_facts", lex)
+    texts = S.with_spec_facts(texts, F.col("spec"), "spec_facts", lex, ("span", "caps"))
     return S.with_spec_text(texts, F.col("spec"), "spec_text")
 
 
-def text_scores(pairs: DataFrame, line_texts: DataFrame, record_texts: DataFrame, lex) -> DataFrame:
+def text_scores(pairs: DataFrame, line_texts: DataFrame, record_texts: DataFrame, rules) -> DataFrame:
     """Text-only score parts of distinct (l_text_id, r_text_id) pairs."""
     left = line_texts.select(
         F.col("text_id").alias("l_text_id"), F.col("facts").alias("lf"),
@@ -50,10 +49,10 @@ def text_scores(pairs: DataFrame, line_texts: DataFrame, record_texts: DataFrame
     return df.select(
         "l_text_id", "r_text_id",
         S.parameter_similarity(F.col("lt"), F.col("ls"), F.col("rt"), F.col("rs")).alias("spec_similarity"),
-        S.variant_points(lf, rf, lex).alias("variant_points"),
+        S.variant_points(rules).alias("variant_points"),
         S.numeric_bonus(lf, rf).alias("numeric_bonus"),
         S.variant_token_match(lf, rf).alias("token_match"),
-        *[(lf[f] & rf[f]).alias(f"both_{f}") for f in ("student", "teaching", "grouped")],
+        *[(lf[f] & rf[f]).alias(f"both_{f}") for f in ("student", "teaching", "grouped", "branch")],
     )
 
 
@@ -204,7 +203,8 @@ def base_scores(df: DataFrame, lex, cfg: MatchConfig) -> DataFrame:
     numeric_bonus, both_* flags and the three *_similarity ratios.
     """
     c = F.col
-    df = compare_units(df, "l_unit", "r_unit", "r_price", "l_spec", "r_spec", "unit")
+    df = compare_units(df, "l_unit", "r_unit", "r_price", "l_spec", "r_spec", "unit",
+                       ("l_unit_key", "r_unit_key"))
     stems = c("l_core_stem") == c("r_core_stem")
     exact_code = (c("l_code_key") != "") & (c("l_code_key") == c("r_code_key"))
     exact_name = ((c("l_core") != "") & (c("l_core") == c("r_core"))) | (
@@ -214,7 +214,6 @@ def base_scores(df: DataFrame, lex, cfg: MatchConfig) -> DataFrame:
     clash_cat = (c("l_category") != "") & (c("r_category") != "") & (c("l_category") != c("r_category"))
     df = df.withColumns({
         "exact_code": exact_code, "exact_name": exact_name, "category_ok": ~(clash_major | clash_cat),
-        "quality": data_quality(SCORING_QUALITY, "r_"),
     })
     lifted = F.when(c("exact_name") & (c("r_spec") != ""), F.greatest(c("spec_similarity"), F.lit(0.4))).otherwise(c("spec_similarity"))
     df = df.withColumns({
@@ -223,7 +222,7 @@ def base_scores(df: DataFrame, lex, cfg: MatchConfig) -> DataFrame:
         "c_name": F.round(c("dice") * WEIGHTS["名称"], 2),
         "c_maker": F.round((c("maker_similarity") + c("brand_similarity")) / 2 * WEIGHTS["制造商/品牌"], 2),
         "c_unit": F.round(c("unit.score") * WEIGHTS["单位"], 2),
-        "c_quality": F.round(c("quality") * WEIGHTS["数据质量"], 2),
+        "c_quality": F.round(c("r_quality") * WEIGHTS["数据质量"], 2),
         "c_family": F.when(c("category_ok"), F.lit(FAMILY_POINTS)).otherwise(F.lit(0.0)),
     })
     agreed = sum((F.when(c(f"both_{f}"), F.lit(3.0)).otherwise(F.lit(0.0)) for f in ("student", "teaching", "grouped")), F.lit(0.0))
@@ -255,7 +254,7 @@ def with_price_consistency(df: DataFrame, cfg: MatchConfig) -> DataFrame:
         .when((ratio > 2.0) | (ratio < 0.5), F.lit(0.0)).when((ratio > 1.5) | (ratio < 0.67), F.lit(2.0))
         .when((ratio > 1.25) | (ratio < 0.8), F.lit(4.0)).otherwise(F.lit(PRICE_POINTS))
     )
-    df = df.withColumns({"c_price": points, "c_age": recency_bonus(c("r_quote_date"), cfg.as_of)})
+    df = df.withColumns({"c_price": points, "c_age": c("r_age_bonus")})
     lowered = F.when(c("price_extreme"), F.round(c("score") - 8.0, 2)).otherwise(c("score"))
     return df.withColumn("score", F.round(lowered + c("c_price") + c("c_age"), 2))
 
