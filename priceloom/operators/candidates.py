@@ -242,9 +242,6 @@ def prefilter_topk(pairs: DataFrame, k: int = 250) -> DataFrame:
     return pairs.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= k)
 
 
-def direct_dice(df: DataFrame, left: str, right: str, out: str) -> DataFrame:
-    """Dice of two text-key columns of one DataFrame."""
-    a, b = F.col(left), F.col(right)
-    return df.withColumns({"_ga": bigrams(a), "_gb": bigrams(b)}).withColumn(
-        out, dice_of(a, F.col("_ga"), b, F.col("_gb"))
-    ).drop("_ga", "_gb")
+def direct_dice(a: Column, b: Column) -> Column:
+    """Dice of two text keys, for the few pairs outside the similar-name table."""
+    return dice_of(a, bigrams(a), b, bigrams(b))

@@ -139,7 +139,7 @@ def price_bucket(price: Column) -> Column:
 def peer_baseline(lines: DataFrame, history: DataFrame, pairs: DataFrame, cfg: MatchConfig) -> DataFrame:
     """Peer price median per (core, values) of the inquiry.
 
-    ``lines`` and ``history`` carry ``core`` and ``values`` (numbers by unit) and history
+    ``lines`` and ``history`` carry ``core``, ``values`` (numbers by unit) and their text ``sig``, and history
     also ``price`` and ``rowid``.  Peers share a similar core and a reachable range;
     the baseline is the median of the fullest two-digit price bucket.  History is
     reduced to counts per (core, values, bucket) first, and summed over similar cores
@@ -147,9 +147,9 @@ def peer_baseline(lines: DataFrame, history: DataFrame, pairs: DataFrame, cfg: M
     """
     pairs = pairs.filter(F.col("dice") >= cfg.peer_floor).select("line_core", "record_core")
     priced = history.filter(F.coalesce(F.col("price"), F.lit(0.0)) != 0).select(
-        F.col("core").alias("record_core"), F.to_json("values").alias("record_sig"), "values", "price", "rowid",
+        F.col("core").alias("record_core"), F.col("sig").alias("record_sig"), "values", "price", "rowid",
         price_bucket(F.col("price")).alias("bucket"))
-    wanted = lines.select(F.col("core").alias("line_core"), F.to_json("values").alias("line_sig"),
+    wanted = lines.select(F.col("core").alias("line_core"), F.col("sig").alias("line_sig"),
                           F.col("values").alias("line_values")).distinct()
     sums = priced.groupBy("record_core", "record_sig", "bucket").agg(
         F.count(F.lit(1)).alias("n"), F.min("rowid").alias("first"))
@@ -176,8 +176,9 @@ def peer_baseline(lines: DataFrame, history: DataFrame, pairs: DataFrame, cfg: M
     }).filter(F.col("peers") >= 3)
     # Either the fullest bucket, or (all buckets hold one price) every bucket.
     used = buckets.filter((F.col("at") == 1) | (F.col("largest") < 2))
+    used_buckets = used.select("line_core", "bucket").distinct()
     prices = (
-        priced.join(pairs, "record_core").groupBy("line_core", "record_sig", "bucket", "price")
+        priced.join(pairs, "record_core").join(used_buckets, ["line_core", "bucket"], "left_semi").groupBy("line_core", "record_sig", "bucket", "price")
         .agg(F.count(F.lit(1)).alias("n"))
         .join(reach, ["line_core", "record_sig"])
         .join(used.select("line_core", "line_sig", "bucket", "largest"), ["line_core", "line_sig", "bucket"])

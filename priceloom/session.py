@@ -48,6 +48,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def tune_for_wide_pairs(spark: SparkSession) -> None:
+    """Pair scoring has many columns; one fused method for all of it would be too big for
+    the JVM to compile, so let the engine keep separate projections there."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+def balanced(df: DataFrame, key: str) -> DataFrame:
+    """Spread rows evenly over all cores, whatever partitioning a skewed join left."""
+    spark = df.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, key)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
