@@ -24,6 +24,7 @@ def local_session(cores: int | str = "*", app: str = "priceloom", **conf: str) -
         **_DEFAULTS,
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         **conf,
     }
