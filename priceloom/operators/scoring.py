@@ -9,7 +9,8 @@ from ..functions import specs as S
 from ..functions.similarity import sequence_ratio
 from ..functions.text import format_g, normalize_text
 from ..functions.units import compare_units
-from .stats import group_median
+from ..session import materialize
+from .stats import group_median, middle
 
 # Weights of the score components.
 WEIGHTS = {"参数": 40, "型号": 13, "名称": 13, "制造商/品牌": 9, "单位": 9, "数据质量": 4}
@@ -149,6 +150,7 @@ def peer_baseline(lines: DataFrame, history: DataFrame, pairs: DataFrame, cfg: M
     priced = history.filter(F.coalesce(F.col("price"), F.lit(0.0)) != 0).select(
         F.col("core").alias("record_core"), F.col("sig").alias("record_sig"), "values", "price", "rowid",
         price_bucket(F.col("price")).alias("bucket"))
+    priced = materialize(priced, "priced")
     wanted = lines.select(F.col("core").alias("line_core"), F.col("sig").alias("line_sig"),
                           F.col("values").alias("line_values")).distinct()
     sums = priced.groupBy("record_core", "record_sig", "bucket").agg(
@@ -164,6 +166,7 @@ def peer_baseline(lines: DataFrame, history: DataFrame, pairs: DataFrame, cfg: M
         .filter(S.same_range(F.col("line_values"), F.col("record_values"), 0.6))
         .select("line_core", "line_sig", "record_sig")
     )
+    reach = materialize(reach, "reach")
     buckets = (
         by_core.join(reach, ["line_core", "record_sig"]).groupBy("line_core", "line_sig", "bucket")
         .agg(F.sum("n").alias("n"), F.min("first").alias("first"))
@@ -175,24 +178,24 @@ def peer_baseline(lines: DataFrame, history: DataFrame, pairs: DataFrame, cfg: M
         "largest": F.max("n").over(per),
     }).filter(F.col("peers") >= 3)
     # Either the fullest bucket, or (all buckets hold one price) every bucket.
-    used = buckets.filter((F.col("at") == 1) | (F.col("largest") < 2))
+    used = buckets.filter((F.col("at") == 1) | (F.col("largest") < 2)).select(
+        "line_core", "line_sig", "bucket", (F.col("largest") < 2).alias("thin"))
+    used = materialize(used, "used_buckets")
     used_buckets = used.select("line_core", "bucket").distinct()
     prices = (
-        priced.join(pairs, "record_core").join(used_buckets, ["line_core", "bucket"], "left_semi").groupBy("line_core", "record_sig", "bucket", "price")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(reach, ["line_core", "record_sig"])
-        .join(used.select("line_core", "line_sig", "bucket", "largest"), ["line_core", "line_sig", "bucket"])
+        priced.join(pairs, "record_core").join(used_buckets, ["line_core", "bucket"], "left_semi")
+        .groupBy("line_core", "record_sig", "bucket", "price").agg(F.count(F.lit(1)).alias("n"))
+        .join(reach, ["line_core", "record_sig"]).join(used, ["line_core", "line_sig", "bucket"])
+        .groupBy("line_core", "line_sig", "thin", "price").agg(F.sum("n").alias("n"))
     )
+    prices = materialize(prices, "peer_prices")
 
     def positions(n: Column):
-        return F.floor((n + 1) / 2), F.floor(n / 2) + 1
+        lower = F.when(n >= 3, F.greatest(F.lit(3), F.floor(n * 3 / 4))).otherwise(n)
+        return middle(F.when(F.col("thin"), lower).otherwise(n))
 
-    def lower_part(n: Column):
-        return positions(F.when(n >= 3, F.greatest(F.lit(3), F.floor(n * 3 / 4))).otherwise(n))
-
-    full = group_median(prices.filter("largest >= 2"), ["line_core", "line_sig"], "price", "peer_median", "n", positions)
-    thin = group_median(prices.filter("largest < 2"), ["line_core", "line_sig"], "price", "peer_median", "n", lower_part)
-    return full.unionByName(thin).select("line_core", "line_sig", "peer_median")
+    stats = group_median(prices, ["line_core", "line_sig", "thin"], "price", "peer_median", "n", positions)
+    return stats.select("line_core", "line_sig", "peer_median")
 
 
 # --- row scores --------------------------------------------------------------
