@@ -9,8 +9,6 @@ from ..functions.keys import dedup_key
 from .governance import derive
 from .reconcile import EDITABLE
 
-RESULTS = "seq long, op string, id string, status string, reason string, holder string, changed array<string>, revision int"
-
 
 def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
     """Settle one connected group of keys in order: deletes were applied before."""
@@ -30,7 +28,7 @@ def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["seq", "op", "id", "holder"])
 
 
-def _components(edges: DataFrame, rounds: int = 12) -> DataFrame:
+def _components(edges: DataFrame) -> DataFrame:
     """Smallest edit per connected group of keys, by label propagation over key nodes.
 
     ``edges``: (seq, key).  Chains of edits are short and bounded by the change-set
@@ -39,7 +37,7 @@ def _components(edges: DataFrame, rounds: int = 12) -> DataFrame:
     from ..session import materialize
 
     labels = materialize(edges.select("key").distinct().withColumn("label", F.col("key")), "labels")
-    for _ in range(rounds * 200):
+    while True:
         per_edit = edges.join(labels, "key").groupBy("seq").agg(F.min("label").alias("low"))
         nearer = edges.join(per_edit, "seq").groupBy("key").agg(F.min("low").alias("low"))
         nxt = materialize(labels.join(nearer, "key", "left").select(
@@ -103,7 +101,7 @@ def apply_changes(history: DataFrame, changes: DataFrame, max_rows: int = 2000)
         F.when(c("op") == "update", 1).otherwise(2).alias("phase"))
     group = items.unionByName(holders, allowMissingColumns=True)
     settled = group.groupBy("label").applyInPandas(
-        lambda pdf: _resolve(pdf), "seq long, op string, id string, holder string").select("seq", "holder")
+        _resolve, f"seq {keyed.schema['seq'].dataType.simpleString()}, op string, id string, holder string").select("seq", "holder")
     done = keyed.join(settled, "seq", "left").withColumn(
         "reason", F.coalesce("reason", F.when(c("holder").isNotNull(), "duplicate_key")))
     status = F.when(c("reason").isNull(), "ok").when(c("reason").isin("revision_mismatch", "duplicate_key"), "conflict").otherwise("rejected")

@@ -27,6 +27,11 @@ def _first(keys: Column, test) -> Column:
     return F.get(F.filter(keys, test), 0)["col"]
 
 
+def _labelled(words):
+    lowered = [w.lower() for w in words]
+    return lambda x: x["key"].isin(lowered)
+
+
 def header_columns(rows: DataFrame, aliases: dict | None = None, price: bool = False) -> DataFrame:
     """Rows that can serve as a header: adds ``cols`` (field -> column) and header ``keys``.
 
@@ -39,7 +44,7 @@ def header_columns(rows: DataFrame, aliases: dict | None = None, price: bool = F
     df = rows.withColumn("keys", keys)
     k = F.col("keys")
     df = df.withColumn("exact", F.struct(*[
-        _first(k, lambda x, words=words: x["key"].isin([w.lower() for w in words])).alias(field)
+        _first(k, _labelled(words)).alias(field)
         for field, words in names.items()
     ]))
     e = {field: F.col(f"exact.{field}") for field in names}
@@ -125,6 +130,12 @@ def extract_inquiry(cells: DataFrame, headers: DataFrame | None = None) -> DataF
                      "model", "brand", "manufacturer", "unit", "quantity", c("quantity").alias("pricing_quantity"))
 
 
+def _vendor_cells(pattern: str, field: str) -> Column:
+    mine = F.filter("keys", lambda x: x["key"].rlike(pattern) & ~F.array_contains("claimed", x["col"]))
+    return F.transform(mine, lambda x: F.struct(
+        F.regexp_extract(x["key"], pattern, 1).alias("suffix"), F.lit(field).alias("field"), x["col"].alias("col")))
+
+
 def vendor_groups(headers: DataFrame) -> DataFrame:
     """Add ``groups``: numbered vendor column groups of a wide sheet (empty for plain sheets)."""
     c = F.col
@@ -132,9 +143,7 @@ def vendor_groups(headers: DataFrame) -> DataFrame:
     parts = []
     for field, labels in VENDOR_LABELS.items():
         pattern = f"^(?:{'|'.join(labels)})(\\d*)$"
-        mine = F.filter("keys", lambda x, p=pattern: x["key"].rlike(p) & ~F.array_contains("claimed", x["col"]))
-        parts.append(F.transform(mine, lambda x, p=pattern, f=field: F.struct(
-            F.regexp_extract(x["key"], p, 1).alias("suffix"), F.lit(f).alias("field"), x["col"].alias("col"))).cast(item))
+        parts.append(_vendor_cells(pattern, field).cast(item))
     df = headers.withColumn("_found", F.concat(*parts))
     numbered = F.exists("_found", lambda x: x["suffix"] != "")
     base = F.array_compact(F.array(*[
