@@ -99,9 +99,18 @@ def apply_changes(history: DataFrame, changes: DataFrame, max_rows: int = 2000)
     items = live.join(labels, live["new_key"] == labels["key"]).select(
         "label", "seq", "op", "id", "old_key", "new_key", F.size("changed").alias("n_changed"),
         F.when(c("op") == "update", 1).otherwise(2).alias("phase"))
-    group = items.unionByName(holders, allowMissingColumns=True)
-    settled = group.groupBy("label").applyInPandas(
+    # Most edits meet no other edit: their key is free, their own, or held by a book row.
+    crowd = items.groupBy("label").agg(F.count(F.lit(1)).alias("edits"))
+    items = items.join(crowd, "label")
+    alone = items.filter("edits = 1").join(
+        holders, (items["label"] == holders["label"]) & (items["new_key"] == holders["holder_key"]), "left").select(
+        "seq", F.when(c("holder_id") != c("id"), c("holder_id")).alias("holder"))
+    shared = items.filter("edits > 1").drop("edits")
+    group = shared.unionByName(
+        holders.join(crowd.filter("edits > 1").select("label"), "label", "left_semi"), allowMissingColumns=True)
+    ordered = group.groupBy("label").applyInPandas(
         _resolve, f"seq {keyed.schema['seq'].dataType.simpleString()}, op string, id string, holder string").select("seq", "holder")
+    settled = alone.unionByName(ordered)
     done = keyed.join(settled, "seq", "left").withColumn(
         "reason", F.coalesce("reason", F.when(c("holder").isNotNull(), "duplicate_key")))
     status = F.when(c("reason").isNull(), "ok").when(c("reason").isin("revision_mismatch", "duplicate_key"), "conflict").otherwise("rejected")

@@ -258,7 +258,7 @@ def clashes(spark, sf):
 def sheet_cells(spark, sf):
     """part as ragged sheets: one file per brand, a header row, then one row per part."""
     pt = V.table(spark, sf, "part")
-    labels = ["序号", "产品名称", "规格", "单位", "含税单价", "品牌1", "厂家1", "品牌2"]
+    labels = ["序号", "产品名称", "参数", "单位", "含税单价", "品牌1", "厂家1", "品牌2"]
     keys = pt.select(c("p_brand").alias("file"), c("p_type").alias("sheet"))
     head = keys.distinct().select("file", "sheet", F.lit(1).alias("row"), F.posexplode(F.array(*[F.lit(x) for x in labels])).alias("at", "value"))
     body = pt.select(c("p_brand").alias("file"), c("p_type").alias("sheet"), (c("p_partkey") + 2).cast("int").alias("row"), F.posexplode(F.array(
