@@ -25,7 +25,7 @@ def local_session(cores: int | str = "*", app: str = "priceloom", **conf: str) -
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "12g",
+        "spark.driver.memory": "16g",
         **conf,
     }
     for key, value in settings.items():
