@@ -20,23 +20,29 @@ from ..functions.text import (
 )
 
 
-def with_match_keys(df: DataFrame, lex) -> DataFrame:
-    """Keys used for blocking: text key, core, code, family, category."""
+def with_name_keys(df: DataFrame, lex) -> DataFrame:
+    """Text key, core and category of the name."""
     return (
-        df.withColumns({"_fold": folded(F.col("name")), "_code": plain_code(F.col("product_code"))})
+        df.withColumn("_fold", folded(F.col("name")))
         .withColumns({"name_key": key_of_folded(F.col("_fold")), "_text": F.regexp_replace("_fold", SPACES, "")})
-        .withColumns(
-            {
-                "core": core_of_key(F.col("name_key"), lex),
-                "code_key": key_of_folded(F.col("_code")),
-                "major": major_of_code(F.col("_code"), lex),
-                "category": category_of_text(F.col("_text"), lex),
-            }
-        )
-        .drop("_fold", "_code", "_text")
+        .withColumns({"core": core_of_key(F.col("name_key"), lex), "category": category_of_text(F.col("_text"), lex)})
+        .drop("_fold", "_text")
     )
 
 
+def with_code_keys(df: DataFrame, lex) -> DataFrame:
+    """Code key and family of the product code."""
+    df = df.withColumn("_code", plain_code(F.col("product_code")))
+    return df.withColumns({
+        "code_key": key_of_folded(F.col("_code")), "major": major_of_code(F.col("_code"), lex),
+    }).drop("_code")
+
+
+def with_match_keys(df: DataFrame, lex) -> DataFrame:
+    """Keys used for blocking: text key, core, category, code, family."""
+    return with_code_keys(with_name_keys(df, lex), lex)
+
+
 def code_candidates(lines: DataFrame, history: DataFrame) -> DataFrame:
     """(line_id, id) pairs with equal, non-empty product code keys."""
     left = lines.filter(F.col("code_key") != "").select("line_id", "code_key")
@@ -245,3 +251,14 @@ def prefilter_topk(pairs: DataFrame, k: int = 250) -> DataFrame:
 def direct_dice(a: Column, b: Column) -> Column:
     """Dice of two text keys, for the few pairs outside the similar-name table."""
     return dice_of(a, bigrams(a), b, bigrams(b))
+
+
+def union_first(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Stack frames of equal columns, keeping the row of the earliest frame per key."""
+    stacked = None
+    for origin, frame in enumerate(frames):
+        part = frame.withColumn("origin", F.lit(origin))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    others = [x for x in stacked.columns if x not in keys]
+    first = stacked.groupBy(*keys).agg(F.min_by(F.struct(*others), "origin").alias("_r"))
+    return first.select(*keys, "_r.*")

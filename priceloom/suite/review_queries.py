@@ -278,3 +278,27 @@ def flag_mid_price(spark, sf):
     o = V.review_options(spark, sf)
     mids = group_median(o, ["line_id"], "price", "mid").select("line_id", "mid")
     return o.join(mids, "line_id").select("option_id", R.flag_mid_price(c("price"), c("mid")).isNotNull().alias("off"))
+
+
+@query("price_guard", V.with_views("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY price) AS rn, count(*) OVER (PARTITION BY line_id) AS n FROM ropts),
+ m AS (SELECT line_id, max(n) AS n, median(price) AS med, bool_or(source_file<>'book3') AS other FROM n WHERE rn<=CASE WHEN n>=5 THEN greatest(3,floor(n*0.75)) ELSE n END GROUP BY 1),
+ a AS (SELECT line_id, bool_or(source_file<>'book3') AS other FROM ropts GROUP BY 1)
+ SELECT o.option_id, CASE WHEN m.n<3 THEN true WHEN o.source_file='book3' THEN NOT a.other OR o.price<=m.med*3.5 ELSE o.price>=m.med/2 AND o.price<=m.med*2 END AS guard_ok
+ FROM ropts o JOIN m ON m.line_id=o.line_id JOIN a ON a.line_id=o.line_id"""))
+def price_guard(spark, sf):
+    from ..config import DEMO
+    from ..functions.specs import UNITS
+
+    none = F.struct(*[F.array().cast("array<double>").alias(u) for u in UNITS])
+    df = V.review_options(spark, sf).select(
+        "line_id", "option_id", c("price").alias("r_price"), F.lit(1.0).alias("dice"), none.alias("l_values"), none.alias("r_values"),
+        F.lit("x").alias("l_core"), F.lit("x").alias("r_core"), (c("source_file") == DEMO.trusted_mark).alias("trusted"))
+    return P.group_medians(df, DEMO, MatchConfig()).select("option_id", P.price_guard().alias("guard_ok"))
+
+
+@query("union_first", V.with_views("SELECT line_id, option_id AS id, CASE WHEN selected THEN 0 ELSE 1 END AS origin FROM ropts"))
+def union_first(spark, sf):
+    from ..operators.candidates import union_first as first
+
+    o = V.review_options(spark, sf).select("line_id", c("option_id").alias("id"), "selected")
+    return first([o.filter("selected").drop("selected"), o.drop("selected")], ["line_id", "id"])
