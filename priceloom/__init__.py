@@ -1 +1,7 @@
-"""Price-book matching and governance as PySpark DataFrame jobs."""
+"""Price-book matching and governance on Spark."""
+import sys
+
+from pyspark import cloudpickle
+
+# Functions for Python workers travel by value, so that executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

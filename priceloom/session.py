@@ -25,7 +25,7 @@ def local_session(cores: int | str = "*", app: str = "priceloom", **conf: str) -
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "16g",
+        "spark.driver.memory": "12g",
         **conf,
     }
     for key, value in settings.items():
@@ -36,17 +36,30 @@ def local_session(cores: int | str = "*", app: str = "priceloom", **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for cut lineage: the cluster's own, or a temporary one where none is set."""
+    """Folder for cut lineage: one per application under the cluster's ``spark.checkpoint.dir``.
+
+    Only a session whose master is ``local`` may do without the setting; it gets a temporary
+    folder.  On several machines a local folder would lose rows, so that is an error.
+    """
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        return f"{configured.rstrip('/')}/priceloom-{context.applicationId}"
+    current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if context.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="priceloom-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    context.setCheckpointDir(made)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove what this application wrote under the shared folder; call when its results are stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def tune_for_wide_pairs(spark: SparkSession) -> None:
