@@ -80,17 +80,22 @@ def _in_runs(rows: DataFrame, ids: DataFrame, run_rows: int, quantiles: int) ->
         "_run": F.coalesce(F.least(F.greatest(inside, F.lit(0)), c("_k.cells") - 1), F.lit(0)).cast("long")}).drop("_k")
 
 
-def with_next(docs: DataFrame, columns: list[str], run_rows: int = RUN_ROWS, quantiles: int = QUANTILES) -> DataFrame:
-    """Adds ``next_<c>`` for each of ``columns``: the value in the next row by descending doc_id (NULL ids last,
-    equal ids by text); the last row's next one is the first.
+def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] | None = None, run_rows: int = RUN_ROWS,
+              quantiles: int = QUANTILES) -> DataFrame:
+    """Adds ``derived`` columns, and ``next_<c>`` for each of them and of ``columns``: the value in the next row by descending
+    doc_id (NULL ids last, equal ids by text); the last row's next one is the first.
 
     Rows are ordered within runs of ids; the next row of a run's last row is the head of the
     run below, looked up in a table that has one row per run.
     """
+    from ..session import materialize
+
     c = F.col
+    derived = derived or {}
     ids = docs.select("doc_id")
-    held = _in_runs(docs, ids, run_rows, quantiles)
-    tops = _in_runs(ids, ids, run_rows, quantiles).groupBy("_place", "_run").agg(F.max("doc_id").alias("_head"))
+    held = _in_runs(docs.withColumns(derived), ids, run_rows, quantiles)
+    # Written, so that its true size decides how it is joined: one row for hundreds of documents.
+    tops = materialize(_in_runs(ids, ids, run_rows, quantiles).groupBy("_place", "_run").agg(F.max("doc_id").alias("_head")), "tops")
     # Which head follows a run: that of the next run of its place, else of the next place (at most quantiles + 2 of
     # them), and the highest of all after the lowest.
     places = tops.groupBy("_place").agg(F.max_by("_head", "_run").alias("_first"))
@@ -102,7 +107,9 @@ def with_next(docs: DataFrame, columns: list[str], run_rows: int = RUN_ROWS, qua
     below = tops.withColumns({"_more": F.lead(end).over(within), "_lower": F.lead("_head").over(within)}).join(F.broadcast(places), "_place")
     below = below.select("_place", "_run", F.when(c("_more"), c("_lower")).otherwise(c("_then")).alias("_next_id"))
     heads = docs.join(tops.select(c("_head").alias("_id")), c("doc_id").eqNullSafe(c("_id"))).groupBy("_id").agg(
-        F.min_by(F.struct(*columns), F.coalesce("text", F.lit(""))).alias("_after"))
+        F.min_by(F.struct(*columns), F.coalesce("text", F.lit(""))).alias("_h")).select("_id", "_h.*").withColumns(derived)
+    columns = [*columns, *derived]
+    heads = heads.select("_id", F.struct(*columns).alias("_after"))
     after = below.join(heads, c("_next_id").eqNullSafe(c("_id"))).select("_place", "_run", "_after")
     ordered = Window.partitionBy("_place", "_run").orderBy(c("doc_id").desc_nulls_last(), c("text").asc_nulls_first())
     led = held.withColumns({f"next_{x}": F.lead(x).over(ordered) for x in columns} | {"_more": F.lead(end).over(ordered)})
@@ -122,8 +129,7 @@ def op10_fingerprint(spark, sf_dir: str) -> DataFrame:
 
     c = F.col
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("sketch", sketch(c("text")))
-    pairs = with_next(docs, ["text", "sketch"])
+    pairs = with_next(docs, ["text"], {"sketch": sketch(c("text"))})
     cut = F.floor(F.length("text") / 3).cast("int")
     pairs = pairs.withColumn("edited", F.concat(
         F.substring(c("text"), F.lit(1), F.length("text") - cut), F.substring(c("next_text"), F.lit(1), cut)))
