@@ -42,8 +42,8 @@ SHINGLE = 5
 THRESHOLD = 80
 #: Min-hash signatures per set, and min-hashes in each.
 SIGNATURES, PER_SIGNATURE = 4, 3
-#: The sketch of token counts has 2**CELL_BITS cells in 2**CHUNK_BITS parts: 16 MB, whatever the corpus.
-CELL_BITS, CHUNK_BITS = 24, 6
+#: The sketch of token counts has 2**CELL_BITS cells in 2**CHUNK_BITS parts: 32 MB, whatever the corpus.
+CELL_BITS, CHUNK_BITS = 25, 7
 FLUSH = 8_000_000
 
 _BLANK = np.zeros(256, bool)
@@ -160,8 +160,12 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, n bigint, key binary, sig array<bigint>, chunk int, cells binary")
 
 
-def rarity(sketches: DataFrame) -> bytes:
-    """For each cell the whole binary logarithm of its count: one byte each."""
+def rarity(sketches: DataFrame, mean: float) -> bytes:
+    """For each cell a level that rises with its count, one byte each.
+
+    Other tokens in a cell add noise of about the root of the ``mean`` count, so levels are
+    steps of half of that: roots of counts, centred on the mean's.
+    """
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -172,10 +176,10 @@ def rarity(sketches: DataFrame) -> bytes:
                 else:
                     sums[chunk] = cells.astype(np.int64)
         for chunk, cells in sums.items():
-            level = np.frexp(cells)[1].astype(np.uint8)
+            level = np.clip(4 * (np.sqrt(cells) - np.sqrt(mean)) + 40, 0, 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())], names=["chunk", "cells"])
 
-    rows = sketches.repartition(1 << CHUNK_BITS, "chunk").mapInArrow(add, "chunk int, cells binary").collect()  # 64 rows of 256 KB at most
+    rows = sketches.repartition(1 << CHUNK_BITS, "chunk").mapInArrow(add, "chunk int, cells binary").collect()  # 128 rows of 256 KB at most
     known = {r["chunk"]: zlib.decompress(r["cells"]) for r in rows}
     return b"".join(known.get(k, bytes(1 << CELL_BITS - CHUNK_BITS)) for k in range(1 << CHUNK_BITS))
 
@@ -271,18 +275,29 @@ def similarity_groups(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
 
     c = F.col
     profile = materialize(profiles(docs), "profiles")
-    levels = rarity(profile.filter("chunk IS NOT NULL").select("chunk", "cells"))
+    total = profile.agg(F.sum("n")).first()[0] or 0
+    levels = rarity(profile.filter("chunk IS NOT NULL").select("chunk", "cells"), total / (1 << CELL_BITS))
     rows = profile.filter("chunk IS NULL").select("doc_id", "n", "key", "sig")
-    sets = materialize(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(
-        F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
+    sets = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(
+        F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    # A set's node is the smallest id that has it; if that id has other sets, they get numbers above all ids.
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("key"))
+    sets = materialize(sets.withColumn("node", F.when(place == 1, c("doc")).otherwise(
+        F.shiftrightunsigned(F.xxhash64("key"), 3) + F.lit(1 << 61))), "sets")
     # Tokens that at least two different sets have in their prefixes; every link has one.
     by_token = Window.partitionBy("token")
     lists = postings(docs.filter("doc_id IS NOT NULL"), levels, percent).withColumns({"_low": F.min("key").over(by_token), "_high": F.max("key").over(by_token)})
     lists = materialize(lists.filter("_low != _high").select("token", "key", "n", "place"), "lists")
     asked = sets.join(lists.select("key").distinct(), "key", "left_semi")
-    wanted = asked.select("node", "key")
-    texts = docs.select("doc_id", "text").join(wanted.select(c("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    whole = materialize(whole_sets(texts).join(wanted, "key").dropDuplicates(["node", "key"]).select("node", "tokens"), "tokens")
+
+    def contents(pairs: DataFrame) -> DataFrame:
+        """The sets of all nodes in pairs: their texts are read again, so that sets of others are never stored."""
+        nodes = pairs.select(F.explode(F.array_distinct(F.array(*pairs.columns))).alias("node")).distinct()
+        wanted = materialize(sets.select("node", "doc", "key").join(nodes, "node", "left_semi"), "wanted")
+        texts = docs.select("doc_id", "text").join(wanted.select(c("doc").alias("doc_id")), "doc_id", "left_semi")
+        # Rows that repeat give a set more than once.
+        found = whole_sets(texts).groupBy("key").agg(F.first("tokens").alias("tokens"))
+        return materialize(found.join(wanted, "key").select("node", "tokens"), "tokens")
 
     linked = (100 * c("common") >= percent * c("joint"))
     distance = 1 - c("common") / c("joint")
@@ -290,7 +305,8 @@ def similarity_groups(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     signed = asked.select("node", F.explode("sig").alias("s"))
     pivots = signed.groupBy("s").agg(F.min("node").alias("a"), F.max("node").alias("top")).filter("a != top").select("s", "a")
     star = signed.withColumnRenamed("node", "b").join(pivots, "s").filter("a != b").select("a", "b").distinct()
-    star = materialize(compared(star, whole).filter(linked).select("a", "b", distance.alias("far")), "star")
+    star = materialize(star, "star_pairs")
+    star = materialize(compared(star, contents(star)).filter(linked).select("a", "b", distance.alias("far")), "star")
     follows = star.groupBy("b").agg(F.min(F.struct("far", "a")).alias("p")).select(c("b").alias("node"), c("p.a").alias("pivot"), c("p.far").alias("far"))
     homes = components(star)
     # Sets of the lists with what they are known to be connected to; lists within one home are done.
@@ -308,6 +324,7 @@ def similarity_groups(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
         & (100 * c("a_n") >= percent * c("b_n")) & ((100 + percent) * room >= percent * (c("a_n") + c("b_n"))))
     pairs = materialize(pairs.select(c("a_node").alias("a"), c("b_node").alias("b"), "a_pivot", "b_pivot", (c("a_far") + c("b_far")).alias("slack")).distinct(), "pairs")
     # First the pivots' pairs, then what they leave open.
+    whole = contents(pairs.select("a", "b", "a_pivot", "b_pivot"))
     p, q = F.least("a_pivot", "b_pivot"), F.greatest("a_pivot", "b_pivot")
     heads = materialize(compared(pairs.select(p.alias("a"), q.alias("b")).filter("a != b").distinct(), whole).select(
         c("a").alias("p"), c("b").alias("q"), "common", "joint"), "heads")
