@@ -283,12 +283,15 @@ def similarity_groups(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     # A set's node is the smallest id that has it; if that id has other sets, they get numbers above all ids.
     place = F.row_number().over(Window.partitionBy("doc").orderBy("key"))
     sets = materialize(sets.withColumn("node", F.when(place == 1, c("doc")).otherwise(
-        F.shiftrightunsigned(F.xxhash64("key"), 3) + F.lit(1 << 61))), "sets")
+        F.shiftrightunsigned(F.xxhash64("key"), 3) + F.lit(1 << 61))).withColumn("k", F.xxhash64("key")), "sets")
     # Tokens that at least two different sets have in their prefixes; every link has one.
     by_token = Window.partitionBy("token")
-    lists = postings(docs.filter("doc_id IS NOT NULL"), levels, percent).withColumns({"_low": F.min("key").over(by_token), "_high": F.max("key").over(by_token)})
-    lists = materialize(lists.filter("_low != _high").select("token", "key", "n", "place"), "lists")
-    asked = sets.join(lists.select("key").distinct(), "key", "left_semi")
+    # Lists go by a 64-bit name of the set, size and place in one number: they are the bulk of what is shuffled.
+    lists = postings(docs.filter("doc_id IS NOT NULL"), levels, percent).select(
+        "token", F.xxhash64("key").alias("k"), (F.shiftleft(c("n").cast("long"), 32) + c("place")).alias("at"))
+    lists = lists.withColumns({"_low": F.min("k").over(by_token), "_high": F.max("k").over(by_token)})
+    lists = materialize(lists.filter("_low != _high").select("token", "k", "at"), "lists")
+    asked = sets.join(lists.select("k").distinct(), "k", "left_semi")
 
     def contents(pairs: DataFrame) -> DataFrame:
         """The sets of all nodes in pairs: their texts are read again, so that sets of others are never stored."""
@@ -310,9 +313,11 @@ def similarity_groups(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     follows = star.groupBy("b").agg(F.min(F.struct("far", "a")).alias("p")).select(c("b").alias("node"), c("p.a").alias("pivot"), c("p.far").alias("far"))
     homes = components(star)
     # Sets of the lists with what they are known to be connected to; lists within one home are done.
-    known = materialize(asked.select("key", "node").join(homes, "node", "left").join(follows, "node", "left").select(
-        "key", "node", F.coalesce("home", "node").alias("home"), F.coalesce("pivot", "node").alias("pivot"), F.coalesce("far", F.lit(0.0)).alias("far")), "known")
-    open_lists = lists.join(known, "key").withColumns({"_low": F.min("home").over(by_token), "_high": F.max("home").over(by_token)}).filter("_low != _high")
+    known = materialize(asked.select("k", "node").join(homes, "node", "left").join(follows, "node", "left").select(
+        "k", "node", F.coalesce("home", "node").alias("home"), F.coalesce("pivot", "node").alias("pivot"), F.coalesce("far", F.lit(0.0)).alias("far")), "known")
+    open_lists = lists.join(known, "k").withColumns({
+        "n": F.shiftright("at", 32).cast("int"), "place": c("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"),
+        "_low": F.min("home").over(by_token), "_high": F.max("home").over(by_token)}).filter("_low != _high")
     block = F.floor(F.log(c("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)
     open_lists = materialize(open_lists.select("token", "node", "home", "pivot", "far", "n", "place").withColumn("block", block.cast("int")), "open_lists")
     fields = ("node", "home", "pivot", "far", "n", "place")
