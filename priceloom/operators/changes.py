@@ -1,132 +1,173 @@
 """Apply a change set to a book with optimistic revisions."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import dedup_key
+from ..functions.keys import IDENTITY_FIELDS, price_key
+from ..functions.text import normalize_text
 from .governance import derive
 from .reconcile import EDITABLE
 
+PARTS = [*IDENTITY_FIELDS, "price"]
+_NUMBERS = ("price", "quantity")
+
+
+def _parts(df: DataFrame, given: bool) -> DataFrame:
+    """Adds the parts of the dedup key as text; of edits only those of the fields given."""
+    made = {f"_p_{f}": (price_key(F.col(f)) if f == "price" else normalize_text(F.coalesce(F.col(f), F.lit("")))).cast("string") for f in PARTS}
+    return df.withColumns({k: F.when(F.col(k[3:]).isNotNull(), v) if given else v for k, v in made.items()})
+
 
-def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Settle one connected group of keys in order: deletes were applied before."""
-    held = {k: i for k, i in zip(pdf["holder_key"], pdf["holder_id"]) if isinstance(k, str)}
-    out = []
-    edits = pdf[pdf["op"].notna()].sort_values(["phase", "seq"])
-    for row in edits.itertuples():
-        holder = held.get(row.new_key)
-        if holder is not None and holder != row.id:
-            out.append((row.seq, row.op, row.id, holder))
-            continue
-        if row.op == "update" and held.get(row.old_key) == row.id and row.n_changed:
-            held.pop(row.old_key)
-        if row.op == "create" or row.n_changed:
-            held[row.new_key] = row.id
-        out.append((row.seq, row.op, row.id, None))
-    return pd.DataFrame(out, columns=["seq", "op", "id", "holder"])
+def _key(parts) -> "F.Column":
+    return F.to_json(F.array(*parts))
 
 
 def _components(edges: DataFrame) -> DataFrame:
-    """Smallest edit per connected group of keys, by label propagation over key nodes.
+    """(node, label) of the graph of ``edges`` (item, node): the smallest node of each connected part.
 
-    ``edges``: (seq, key).  Chains of edits are short and bounded by the change-set
-    limit; propagation stops when nothing moves.
+    Each round takes the nearest label through shared items, then the label's own label,
+    which halves the way that is left.
     """
     from ..session import materialize
 
-    labels = materialize(edges.select("key").distinct().withColumn("label", F.col("key")), "labels")
+    labels = materialize(edges.select("node").distinct().withColumn("label", F.col("node")), "labels")
     while True:
-        per_edit = edges.join(labels, "key").groupBy("seq").agg(F.min("label").alias("low"))
-        nearer = edges.join(per_edit, "seq").groupBy("key").agg(F.min("low").alias("low"))
-        nxt = materialize(labels.join(nearer, "key", "left").select(
-            "key", F.least("label", F.coalesce("low", "label")).alias("label"),
-            (F.coalesce("low", "label") < F.col("label")).alias("moved")), "labels")
-        moved = nxt.filter("moved").limit(1).count()
-        labels = nxt.select("key", "label")
-        if not moved:
-            break
-    return labels
-
-
-def apply_changes(history: DataFrame, changes: DataFrame, max_rows: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """(new book, results) for ``changes``: seq, op (delete, update, create), id, revision,
-    bad_fields (count of unknown or read-only fields) and the edited fields (NULL = keep).
-
-    Deletes free their keys first, then updates, then creates, each in order.  All joins
-    are by id or key.  Whether a key is free can depend on an earlier edit of the same set,
-    so edits that share keys form small groups which are settled in order; their size is
-    bounded by ``max_rows``.
+        per_item = edges.join(labels, "node").groupBy("item").agg(F.min("label").alias("low"))
+        nearer = edges.join(per_item, "item").groupBy("node").agg(F.min("low").alias("low"))
+        step = labels.join(nearer, "node").select("node", F.col("label").alias("was"), "low")
+        over = labels.select(F.col("node").alias("low"), F.col("label").alias("_beyond"))
+        following = materialize(step.join(over, "low").select(
+            "node", F.least("low", "_beyond").alias("label"), (F.least("low", "_beyond") < F.col("was")).alias("moved")), "labels")
+        labels = following.select("node", "label")
+        if following.filter("moved").limit(1).count() == 0:
+            return labels
+
+
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Go through the events of each component in order; what is held is the state of one component.
+
+    First come the book's rows (phase 0) and the first holder of each key (1), then deletes,
+    updates and creates (2, 3, 4).
+    """
+    label, rows, index = None, {}, {}
+
+    def key(row):
+        return tuple(row[f"_p_{f}"] for f in PARTS)
+
+    for pdf in batches:
+        pdf = pdf.astype(object).where(pdf.notna(), None)
+        out = []
+        for e in pdf.to_dict("records"):
+            if e["label"] != label:
+                label, rows, index = e["label"], {}, {}
+            if e["phase"] == 0:
+                rows[e["id"]] = {"revision": e["actual"], **{k: e[k] for k in e if k.startswith("_p_") or k in EDITABLE}}
+                continue
+            if e["phase"] == 1:
+                index[key(e)] = e["id"]
+                continue
+            row, op, changed, holder, reason, revision = rows.get(e["id"]), e["op"], [], None, None, None
+            merged = {f: e[f] if e[f] is not None else row[f] if row and op == "update" else None for f in EDITABLE}
+            merged = {f: float(v or 0) if f == "price" else v if f == "quantity" else (v or "").strip() for f, v in merged.items()}
+            parts = {f"_p_{f}": e[f"_p_{f}"] if e[f] is not None else row[f"_p_{f}"] if row and op == "update" else "0.0" if f == "price" else "" for f in PARTS}
+            if op != "create" and row is None:
+                reason = "missing"
+            elif op != "create" and e["revision"] is not None and e["revision"] != row["revision"]:
+                reason = "revision_mismatch"
+            elif op == "delete":
+                if index.get(key(row)) == e["id"]:
+                    del index[key(row)]
+                del rows[e["id"]]
+            elif e["bad_fields"] or not merged["name"] or merged["price"] < 0:
+                reason = "invalid"
+            else:
+                holder = index.get(key(parts))
+                if holder is not None and holder != e["id"]:
+                    reason = "duplicate_key"
+                else:
+                    holder = None
+                    if op == "update":
+                        changed = [f for f in EDITABLE if merged[f] != row[f]]
+                        if changed:
+                            if index.get(key(row)) == e["id"]:
+                                del index[key(row)]
+                            row["revision"] += 1
+                        revision = row["revision"]
+                    else:
+                        row, revision = {"revision": 1}, 1
+                        rows[e["id"]] = row
+                    if changed or op == "create":
+                        row.update(merged, **parts)
+                        index[key(parts)] = e["id"]
+            status = "ok" if reason is None else "conflict" if reason in ("revision_mismatch", "duplicate_key") else "rejected"
+            out.append({"seq": e["seq"], "op": op, "id": e["id"], "status": status, "reason": reason, "holder": holder, "changed": changed,
+                        "revision": revision, **merged})
+        yield pd.DataFrame(out, columns=["seq", "op", "id", "status", "reason", "holder", "changed", "revision", *EDITABLE])
+
+
+def apply_changes(history: DataFrame, changes: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new book, results) for ``changes``: seq, op (delete, update, create), id, revision, bad_fields (count of unknown
+    or read-only fields) and the edited fields (NULL = keep).  ``max_rows``: refuse larger sets.
+
+    Deletes come first and free their keys, then updates, then creates, each by seq.  An
+    edit meets what the accepted ones before it left: the second update of an id has the
+    revision and values after the first; an edit of a row deleted in the same set is
+    ``missing``; the key of a deleted or renamed holder is free even where an equal row
+    stays in the book.
+
+    Edits depend on each other through ids and through keys they may take.  Connected parts
+    of that graph are settled each in order, streamed, so a task holds the state of one part
+    at a time; all other work is joins by id or key.
     """
     from ..session import materialize
 
     c = F.col
     if max_rows and changes.limit(max_rows + 1).count() > max_rows:
         raise ValueError(f"a change set may hold at most {max_rows} rows")
-    book = history.withColumn("_key", F.to_json(dedup_key()))
-    stored = book.select(c("id"), c("revision").alias("actual"), c("_key").alias("old_key"),
-                         *[c(f).alias(f"_c_{f}") for f in EDITABLE], c("id").isNotNull().alias("found"))
-    edits = changes.join(stored, "id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
-    merged = {f: F.coalesce(c(f), c(f"_c_{f}"), F.lit(0.0) if f == "price" else F.lit("") if f != "quantity" else F.lit(None).cast("double"))
-              for f in EDITABLE}
-    merged = {f: (F.trim(v) if f not in ("price", "quantity") else v) for f, v in merged.items()}
-    edits = edits.withColumns({f"_m_{f}": v for f, v in merged.items()})
-    changed = F.array_compact(F.array(*[F.when(~c(f"_c_{f}").eqNullSafe(c(f"_m_{f}")), F.lit(f)) for f in EDITABLE]))
-    edits = edits.withColumns({
-        "changed": F.when(c("op") == "update", changed).otherwise(F.array().cast("array<string>")),
-        "stale": c("revision").isNotNull() & (c("revision") != c("actual")),
-        "invalid": (c("bad_fields") > 0) | (c("_m_name") == "") | (c("_m_price") < 0),
-    })
-    early = (
-        F.when((c("op") != "create") & ~c("found"), "missing").when((c("op") != "create") & c("stale"), "revision_mismatch")
-        .when((c("op") != "delete") & c("invalid"), "invalid")
-    )
-    renamed = edits.withColumn("reason", early)
-    new_key = F.to_json(dedup_key())
-    keyed = renamed.select(
-        "seq", "op", "id", "actual", "old_key", "reason", "changed", *[c(f"_m_{f}").alias(f) for f in EDITABLE]).withColumn("new_key", new_key)
-    keyed = materialize(keyed, "edits")
-    deleted = keyed.filter("op = 'delete' AND reason IS NULL").select("id")
-    live = keyed.filter("op != 'delete' AND reason IS NULL")
-    keys = live.select("seq", F.explode(F.array_distinct(F.array_compact(F.array("old_key", "new_key")))).alias("key"))
-    labels = _components(keys)
-    holders = (
-        book.join(deleted, "id", "left_anti").select("id", "_key", "rowid").join(labels, c("_key") == c("key"))
-        .groupBy("_key", "label").agg(F.min_by("id", "rowid").alias("holder_id"))
-        .select("label", c("_key").alias("holder_key"), "holder_id")
-    )
-    items = live.join(labels, live["new_key"] == labels["key"]).select(
-        "label", "seq", "op", "id", "old_key", "new_key", F.size("changed").alias("n_changed"),
-        F.when(c("op") == "update", 1).otherwise(2).alias("phase"))
-    # Most edits meet no other edit: their key is free, their own, or held by a book row.
-    crowd = items.groupBy("label").agg(F.count(F.lit(1)).alias("edits"))
-    items = items.join(crowd, "label")
-    alone = items.filter("edits = 1").join(
-        holders, (items["label"] == holders["label"]) & (items["new_key"] == holders["holder_key"]), "left").select(
-        "seq", F.when(c("holder_id") != c("id"), c("holder_id")).alias("holder"))
-    shared = items.filter("edits > 1").drop("edits")
-    group = shared.unionByName(
-        holders.join(crowd.filter("edits > 1").select("label"), "label", "left_semi"), allowMissingColumns=True)
-    ordered = group.groupBy("label").applyInPandas(
-        _resolve, f"seq {keyed.schema['seq'].dataType.simpleString()}, op string, id string, holder string").select("seq", "holder")
-    settled = alone.unionByName(ordered)
-    done = keyed.join(settled, "seq", "left").withColumn(
-        "reason", F.coalesce("reason", F.when(c("holder").isNotNull(), "duplicate_key")))
-    status = F.when(c("reason").isNull(), "ok").when(c("reason").isin("revision_mismatch", "duplicate_key"), "conflict").otherwise("rejected")
-    done = materialize(done.withColumn("status", status), "settled")
-    applied = done.filter("status = 'ok'")
-    real = (c("op") == "create") | (F.size("changed") > 0)
-    updates = applied.filter((c("op") == "update") & real)
-    created = applied.filter("op = 'create'").select("id", *EDITABLE, F.lit("表格编辑").alias("source_file"),
-                                                     F.lit("").alias("source_sheet"), F.lit(0).alias("source_row"),
-                                                     F.lit(0).alias("source_priority"), F.lit(1).alias("revision"))
-    rest = history.join(applied.filter("op = 'delete'").select("id"), "id", "left_anti")
-    fresh = updates.select("id", *[c(f).alias(f"_u_{f}") for f in EDITABLE], F.lit(1).alias("_bump"))
-    rest = rest.join(fresh, "id", "left").withColumns({
-        **{f: F.when(c("_bump").isNotNull(), c(f"_u_{f}")).otherwise(c(f)) for f in EDITABLE},
-        "revision": c("revision") + F.coalesce("_bump", F.lit(0))}).drop("_bump", *[f"_u_{f}" for f in EDITABLE])
-    new_book = derive(rest.unionByName(created, allowMissingColumns=True))
-    revision = F.when(c("status") == "ok", F.when(c("op") == "create", 1).when(c("op") == "update", c("actual") + F.when(F.size("changed") > 0, 1).otherwise(0)))
-    results = done.select("seq", "op", "id", "status", "reason", "holder", "changed", revision.cast("int").alias("revision"))
-    return new_book, results
+    edits = materialize(_parts(changes.select("seq", "op", "id", "revision", "bad_fields", *EDITABLE), True), "edits")
+    book = _parts(history.select("id", "rowid", "revision", *EDITABLE), False)
+    asked = edits.filter("op != 'create'").select("id").distinct()
+    stored = materialize(book.join(asked, "id", "left_semi"), "stored")
+    # Keys an id may come to have: each part as stored or as any of its edits says.
+    created = F.coalesce("op", F.lit("")) == "create"
+    none = {f: F.lit("0.0" if f == "price" else "") for f in PARTS}
+    own = edits.filter("op = 'update'").select("id", *[f"_p_{f}" for f in PARTS]).unionByName(stored.select("id", *[f"_p_{f}" for f in PARTS]))
+    reach = own.groupBy("id").agg(*[F.collect_set(f"_p_{f}").alias(f"_p_{f}") for f in PARTS]).join(stored.select("id"), "id", "left_semi")
+    for f in PARTS:
+        reach = reach.withColumn(f"_p_{f}", F.explode(f"_p_{f}"))
+    keys = reach.select("id", _key([c(f"_p_{f}") for f in PARTS]).alias("node")).unionByName(
+        edits.filter(created).select("id", _key([F.coalesce(c(f"_p_{f}"), none[f]) for f in PARTS]).alias("node")))
+    item = edits.select("seq", F.when(created, F.concat(F.lit("new:"), c("seq").cast("string"))).otherwise(F.concat(F.lit("id:"), "id")).alias("item"), "id", "op")
+    edges = materialize(item.filter("op != 'create'").select("item", "id").distinct().join(keys, "id").select("item", "node").unionByName(
+        item.filter("op = 'create'").join(edits.select("seq", _key([F.coalesce(c(f"_p_{f}"), none[f]) for f in PARTS]).alias("node")), "seq").select("item", "node")).distinct(), "edges")
+    labels = _components(edges)
+    of_item = edges.join(labels, "node").groupBy("item").agg(F.min("label").alias("label"))
+    # The book's first row of each key that is in play.
+    keyed = book.withColumn("node", _key([c(f"_p_{f}") for f in PARTS])).join(labels, "node")
+    first = keyed.groupBy("node", "label").agg(F.min_by(F.struct("id", *[f"_p_{f}" for f in PARTS]), "rowid").alias("r")).select("label", "r.*")
+    phase = F.when(c("op") == "delete", 2).when(c("op") == "update", 3).otherwise(4)
+    labelled = edits.join(item.select("seq", "item"), "seq").join(of_item, "item", "left")
+    # Edits of unknown ids touch nothing; they go where their id sends them.
+    events = labelled.withColumns({"label": F.coalesce("label", "item"), "phase": phase}).drop("item")
+    held = stored.withColumn("item", F.concat(F.lit("id:"), "id")).join(of_item, "item").select(
+        "label", F.lit(0).alias("phase"), "id", c("revision").alias("actual"), *EDITABLE, *[f"_p_{f}" for f in PARTS])
+    every = events.unionByName(held, allowMissingColumns=True).unionByName(first.withColumn("phase", F.lit(1)), allowMissingColumns=True)
+    schema = (f"seq {edits.schema['seq'].dataType.simpleString()}, op string, id string, status string, reason string, holder string, changed array<string>, revision int, "
+              + ", ".join(f"{f} {'double' if f in _NUMBERS else 'string'}" for f in EDITABLE))
+    done = materialize(every.repartition("label").sortWithinPartitions("label", "phase", "seq", "id").mapInPandas(_settle, schema), "settled")
+    gone = done.filter("status = 'ok' AND op = 'delete'").select("id")
+    latest = Window.partitionBy("id").orderBy(c("seq").desc())
+    fresh = done.filter("status = 'ok' AND op = 'update' AND size(changed) > 0").withColumn("_place", F.row_number().over(latest)).filter("_place = 1")
+    fresh = fresh.select("id", *[c(f).alias(f"_u_{f}") for f in EDITABLE], c("revision").alias("_revision"))
+    made = done.filter("status = 'ok' AND op = 'create'").select(
+        "id", *EDITABLE, F.lit("表格编辑").alias("source_file"), F.lit("").alias("source_sheet"), F.lit(0).alias("source_row"),
+        F.lit(0).alias("source_priority"), F.lit(1).alias("revision"))
+    rest = history.join(gone, "id", "left_anti").join(fresh, "id", "left").withColumns({
+        **{f: F.when(c("_revision").isNotNull(), c(f"_u_{f}")).otherwise(c(f)) for f in EDITABLE},
+        "revision": F.coalesce("_revision", "revision")}).drop("_revision", *[f"_u_{f}" for f in EDITABLE])
+    new_book = derive(rest.unionByName(made, allowMissingColumns=True))
+    return new_book, done.select("seq", "op", "id", "status", "reason", "holder", "changed", "revision")

@@ -135,3 +135,30 @@ def test_change_set_order(spark):
     assert after == {"n1": ("甲物", 1.0, 1), "b": ("戊物", 2.0, 2), "c": ("乙物", 2.0, 2), "d": ("丁物", 4.0, 1)}
     with pytest.raises(ValueError):
         CH.apply_changes(h, edits, max_rows=3)
+
+
+def test_edits_of_one_row_follow_each_other(spark):
+    h = book(spark, ("a", "甲物", "", "个", "", 1), ("b", "乙物", "", "个", "", 2), ("c", "丙物", "", "个", "", 3), ("t1", "双生", "", "个", "", 7),
+             ("t2", "双 生", "", "个", "", 7), ("z", "旁物", "", "个", "", 9))
+    edits = spark.createDataFrame([
+        change(1, "update", "a", revision=1, price=5.0), change(2, "update", "a", revision=1, price=6.0), change(3, "update", "a", revision=2, name="新甲"),
+        change(4, "update", "b", name="新甲", price=5.0), change(5, "delete", "c"), change(6, "update", "c", price=1.0), change(7, "delete", "c"),
+        change(8, "delete", "t1"), change(9, "create", "n1", name="双生", unit="个", price=7.0), change(10, "create", "n2", name="甲物", unit="个", price=1.0),
+        change(11, "create", "n3", name="甲物", unit="个", price=5.0), change(12, "update", "z", price=9.0)], CHANGE)
+    new, results = CH.apply_changes(h, edits)
+    got = {r.seq: (r.status, r.reason, r.holder, r.revision) for r in results.collect()}
+    assert got[1] == ("ok", None, None, 2) and got[2] == ("conflict", "revision_mismatch", None, None) and got[3] == ("ok", None, None, 3)
+    assert got[4] == ("conflict", "duplicate_key", "a", None)
+    assert got[5][0] == "ok" and got[6][1] == "missing" and got[7][1] == "missing"
+    assert got[8][0] == "ok" and got[9] == ("ok", None, None, 1)  # the holder went, so the key is free although its twin stays
+    assert got[10][0] == got[11][0] == "ok" and got[12] == ("ok", None, None, 1)
+    after = sorted((r.id, r.name, r.price, r.revision) for r in new.collect())
+    assert after == [("a", "新甲", 5.0, 3), ("b", "乙物", 2.0, 1), ("n1", "双生", 7.0, 1), ("n2", "甲物", 1.0, 1), ("n3", "甲物", 5.0, 1),
+                     ("t2", "双 生", 7.0, 1), ("z", "旁物", 9.0, 1)]
+
+
+def test_many_edits_meet_in_one_key(spark):
+    h = book(spark, ("a", "甲物", "", "个", "", 1))
+    edits = spark.createDataFrame([change(i, "create", f"n{i}", name="同名", unit="个", price=1.0) for i in range(1, 3001)], CHANGE)
+    new, results = CH.apply_changes(h, edits)
+    assert new.count() == 2 and {(r.status, r["count"]) for r in results.groupBy("status").count().collect()} == {("ok", 1), ("conflict", 2999)}
