@@ -29,6 +29,8 @@ SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 6
 #: Bound on the number of languages learned (the most frequent ones).
 LANGUAGES = 64
 EPOCHS, BATCH, RATE = 12, 512, 0.03
+#: A small sample is gone through more often, up to so many steps.
+LEAST_STEPS = 150
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that can be (part of) a letter.
@@ -184,6 +186,7 @@ class Network:
         """Adam over shuffled batches, slowing down to a tenth."""
         draw = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        epochs = max(epochs, -(-LEAST_STEPS // max(1, -(-len(labels) // batch))))
         step, loss, last = 0, 0.0, max(1, epochs * -(-len(labels) // batch))
         for _ in range(epochs):
             order = draw.permutation(len(labels))

@@ -40,7 +40,7 @@ GAZETTEER = {
 #: What the classifier must give an extra span.
 ACCEPT = 0.9
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 # A match of digits always begins with its run of digits, so looking behind only saves time.
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -108,7 +108,7 @@ def loose_spans(text: str) -> list[tuple[int, int, str]]:
 def bits_of(text: str, begin: int, end: int, kind: str, exact: bool) -> int:
     span, digits = text[begin:end], _digits(text[begin:end])
     near = re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)?", text[max(0, begin - _NEAR):begin].lower())[-4:]
-    check = {"email": lambda: bool(re.search(r"[.)\]}] ?[A-Za-z]{2,24}$", span)), "ip": lambda: all(int(p) <= 255 for p in re.findall(r"[0-9]+", span)),
+    check = {"email": lambda: bool(re.search(r"[.)\]}] ?[A-Za-z]{2,24}\Z", span)), "ip": lambda: all(int(p) <= 255 for p in re.findall(r"[0-9]+", span)),
              "card": lambda: luhn(digits), "phone": lambda: len(set(digits)) > 2}[kind]()
     usual = {"email": 6 <= len(span) <= 60, "ip": len(re.findall(r"[0-9]+", span)) == 4, "card": 13 <= len(digits) <= 16, "phone": 9 <= len(digits) <= 13}[kind]
     shape = {"email": " " not in span.strip(), "ip": "  " not in span, "card": not re.search(r"[-\x20]{2}", span), "phone": bool(re.search(r"[\x20().-]", span))}[kind]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from priceloom.llm import all_llm_queries, langid
 
-from .test_texts import brute_base
+from test_texts import brute_base
 
 SF = "/root/testdata/sf0.001"
 QUERIES = all_llm_queries()
