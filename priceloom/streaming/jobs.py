@@ -118,7 +118,7 @@ def audit_windows(events: DataFrame, width: str = "1 day", watermark: str = "2 h
         F.col("w.start").alias("window_start"), "action", "events")
 
 
-def stream_changes(changes: DataFrame, book: VersionedTable, results: str, checkpoint: str, max_rows: int = 0) -> StreamingQuery:
+def stream_changes(changes: DataFrame, book: VersionedTable, results: str, checkpoint: str, max_rows: int | None = None) -> StreamingQuery:
     """Apply change sets as they arrive, one book version per batch."""
 
     def run(batch: DataFrame, number: int) -> None:

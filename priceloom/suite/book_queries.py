@@ -99,7 +99,7 @@ RECON = f"""f AS (SELECT seq, price, brand, source_sheet='legacy' AS fl, {norm("
  a2 AS (SELECT *, CASE WHEN a='update' AND seq<>min(CASE WHEN a='update' THEN seq END) OVER (PARTITION BY CASE WHEN a='update' THEN target END) THEN 'duplicate' ELSE a END AS action FROM a1)"""
 
 
-@query("reconcile", V.with_views(f"WITH {RECON} SELECT seq, action, CASE WHEN action='ambiguous' THEN greatest(targets-5,0) END AS hidden_targets, CASE WHEN targets=1 AND action IN ('update','duplicate') THEN target END AS target_id FROM a2"))
+@query("reconcile", V.with_views(f"WITH {RECON} SELECT seq, action, CASE WHEN action='ambiguous' THEN greatest(targets-5,0) END AS hidden_targets, CASE WHEN targets=1 AND seq=first AND action IN ('update','duplicate') THEN target END AS target_id FROM a2"))
 def reconcile(spark, sf):
     out = RC.reconcile(offer(spark, sf), V.history(spark, sf))
     return out.select("seq", "action", "hidden_targets", "target_id")
@@ -155,10 +155,34 @@ CHANGED = """SELECT rowid AS seq, op, id, status, reason FROM (SELECT id AS rowi
 @query("apply_changes", V.with_views(CHANGED))
 def apply_changes(spark, sf):
     book = V.history(spark, sf).withColumn("revision", F.lit(1))
-    _, results = CH.apply_changes(book, change_set(spark, sf), max_rows=0)
+    _, results = CH.apply_changes(book, change_set(spark, sf))
     return results.select("seq", "op", "id", "status", "reason")
 
 
+def second_edits(spark, sf):
+    """A further update of deleted and of moved rows, with the revision both had at the start."""
+    h = V.history(spark, sf).filter("source_row IN (1, 7)")
+    return h.select(F.concat("rowid", F.lit("#2")).alias("seq"), F.lit("update").alias("op"), "id", F.lit(1).alias("revision"), F.lit(0).alias("bad_fields"),
+                    *[(c("price") + 1.0 if f == "price" else F.lit(None).cast("double" if f == "quantity" else "string")).alias(f) for f in CH.EDITABLE])
+
+
+def changed(spark, sf):
+    book = V.history(spark, sf).withColumn("revision", F.lit(1))
+    return CH.apply_changes(book, change_set(spark, sf).unionByName(second_edits(spark, sf)))
+
+
+@query("changed_book", V.with_views("""SELECT id, name, spec, unit, manufacturer, CASE WHEN source_row=7 THEN price+200000.0 ELSE price END AS price,
+ CAST(CASE WHEN source_row=7 THEN 2 ELSE 1 END AS INTEGER) AS revision FROM hist WHERE source_row<>1"""))
+def changed_book(spark, sf):
+    return changed(spark, sf)[0].select("id", "name", "spec", "unit", "manufacturer", "price", "revision")
+
+
+@query("repeated_edits", V.with_views("""SELECT id||'#2' AS seq, CASE WHEN source_row=1 THEN 'missing' ELSE 'revision_mismatch' END AS reason,
+ CASE WHEN source_row=1 THEN 'rejected' ELSE 'conflict' END AS status FROM hist WHERE source_row IN (1,7)"""))
+def repeated_edits(spark, sf):
+    return changed(spark, sf)[1].filter(c("seq").endswith("#2")).select("seq", "reason", "status")
+
+
 @query("add_manual_rows", V.with_views("SELECT source_priority, count(*) AS rows, CAST(round(sum(price),2) AS DECIMAL(20,2))::VARCHAR AS total FROM (SELECT source_priority, price FROM hist UNION ALL SELECT 0, CAST(round(p_retailprice,2) AS DOUBLE) FROM part) GROUP BY 1"))
 def add_manual_rows(spark, sf):
     pt = V.table(spark, sf, "part")
