@@ -85,4 +85,13 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch_path = path
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Remove what ``materialize`` wrote, once all that reads it is itself written."""
+    spark = written.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(written.scratch_path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
