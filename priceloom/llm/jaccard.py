@@ -122,45 +122,50 @@ def overlap(n: int, percent: int = THRESHOLD) -> int:
 
 def _texts(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
+        ids = batch.column("doc_id").to_pylist() if "doc_id" in batch.schema.names else [None] * len(batch)
         for first, last, data, offsets in text_slices(batch.column("text")):
             yield ids[first:last], shingle_sets(data, offsets)
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """One pass over all texts: a row (doc_id, n, key, sig) per document, and rows (chunk, cells) with parts of the sketch."""
+    """A row (doc_id, n, key, sig) per document."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for ids, sets in _texts(batches):
-            keys = [set_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
-                pa.array([signatures(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-                pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names=names)
+                pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()),
+                pa.array([signatures(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "key", "sig"])
+
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, n bigint, key binary, sig array<bigint>")
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(chunk, cells): parts of the sketch of token counts, summed over a task's texts.
+
+    A pass of its own over the texts: its rows go straight to the sums and are never stored.
+    """
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for _, sets in _texts(batches):
             for s in sets:
                 held.append(cells_of(s).astype(np.int32))
                 size += len(s)
             if size >= FLUSH:
-                yield sketch(held)
+                yield parts(held)
                 held, size = [], 0
         if size:
-            yield sketch(held)
+            yield parts(held)
 
-    def sketch(held):
+    def parts(held):
         cells, counts = np.unique(np.concatenate(held), return_counts=True)
         dense = np.zeros(1 << CELL_BITS, np.uint8)
         dense[cells] = np.minimum(counts, 255)
-        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(dense, 1 << CHUNK_BITS)]
-        n = len(parts)
-        return pa.RecordBatch.from_arrays([
-            pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())),
-            pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())], names=names)
+        packed = [zlib.compress(x.tobytes(), 1) for x in np.split(dense, 1 << CHUNK_BITS)]
+        return pa.RecordBatch.from_arrays([pa.array(range(len(packed)), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "cells"])
 
-    names = ["doc_id", "n", "key", "sig", "chunk", "cells"]
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, n bigint, key binary, sig array<bigint>, chunk int, cells binary")
+    return docs.select("text").mapInArrow(scan, "chunk int, cells binary")
 
 
-def rarity(sketches: DataFrame, mean: float) -> bytes:
+def rarity(parts: DataFrame, mean: float) -> bytes:
     """For each cell a level that rises with its count, one byte each.
 
     Other tokens in a cell add noise of about the root of the ``mean`` count, so levels are
@@ -179,7 +184,7 @@ def rarity(sketches: DataFrame, mean: float) -> bytes:
             level = np.clip(4 * (np.sqrt(cells) - np.sqrt(mean)) + 40, 0, 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())], names=["chunk", "cells"])
 
-    rows = sketches.repartition(1 << CHUNK_BITS, "chunk").mapInArrow(add, "chunk int, cells binary").collect()  # 128 rows of 256 KB at most
+    rows = parts.repartition(1 << CHUNK_BITS, "chunk").mapInArrow(add, "chunk int, cells binary").collect()  # 128 rows of 256 KB at most
     known = {r["chunk"]: zlib.decompress(r["cells"]) for r in rows}
     return b"".join(known.get(k, bytes(1 << CELL_BITS - CHUNK_BITS)) for k in range(1 << CHUNK_BITS))
 
@@ -271,13 +276,12 @@ def components(links: DataFrame) -> DataFrame:
 
 def similarity_groups(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs (doc_id, text)."""
-    from ..session import materialize
+    from ..session import discard, materialize
 
     c = F.col
-    profile = materialize(profiles(docs), "profiles")
-    total = profile.agg(F.sum("n")).first()[0] or 0
-    levels = rarity(profile.filter("chunk IS NOT NULL").select("chunk", "cells"), total / (1 << CELL_BITS))
-    rows = profile.filter("chunk IS NULL").select("doc_id", "n", "key", "sig")
+    rows = materialize(profiles(docs), "profiles")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    levels = rarity(sketches(docs), total / (1 << CELL_BITS))
     sets = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(
         F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     # A set's node is the smallest id that has it; if that id has other sets, they get numbers above all ids.
@@ -309,7 +313,9 @@ def similarity_groups(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     pivots = signed.groupBy("s").agg(F.min("node").alias("a"), F.max("node").alias("top")).filter("a != top").select("s", "a")
     star = signed.withColumnRenamed("node", "b").join(pivots, "s").filter("a != b").select("a", "b").distinct()
     star = materialize(star, "star_pairs")
-    star = materialize(compared(star, contents(star)).filter(linked).select("a", "b", distance.alias("far")), "star")
+    shown = contents(star)
+    star = materialize(compared(star, shown).filter(linked).select("a", "b", distance.alias("far")), "star")
+    discard(shown)
     follows = star.groupBy("b").agg(F.min(F.struct("far", "a")).alias("p")).select(c("b").alias("node"), c("p.a").alias("pivot"), c("p.far").alias("far"))
     homes = components(star)
     # Sets of the lists with what they are known to be connected to; lists within one home are done.
@@ -320,6 +326,7 @@ def similarity_groups(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
         "_low": F.min("home").over(by_token), "_high": F.max("home").over(by_token)}).filter("_low != _high")
     block = F.floor(F.log(c("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)
     open_lists = materialize(open_lists.select("token", "node", "home", "pivot", "far", "n", "place").withColumn("block", block.cast("int")), "open_lists")
+    discard(lists)
     fields = ("node", "home", "pivot", "far", "n", "place")
     small = open_lists.select("token", F.explode(F.array(c("block"), c("block") + 1)).alias("block"), *[c(x).alias(f"a_{x}") for x in fields])
     large = open_lists.select("token", "block", *[c(x).alias(f"b_{x}") for x in fields])
@@ -328,6 +335,7 @@ def similarity_groups(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
         (c("a_home") != c("b_home")) & ((c("a_n") < c("b_n")) | ((c("a_n") == c("b_n")) & (c("a_node") < c("b_node"))))
         & (100 * c("a_n") >= percent * c("b_n")) & ((100 + percent) * room >= percent * (c("a_n") + c("b_n"))))
     pairs = materialize(pairs.select(c("a_node").alias("a"), c("b_node").alias("b"), "a_pivot", "b_pivot", (c("a_far") + c("b_far")).alias("slack")).distinct(), "pairs")
+    discard(open_lists)
     # First the pivots' pairs, then what they leave open.
     whole = contents(pairs.select("a", "b", "a_pivot", "b_pivot"))
     p, q = F.least("a_pivot", "b_pivot"), F.greatest("a_pivot", "b_pivot")
@@ -346,6 +354,7 @@ def similarity_groups(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     several = rows.filter("n > 0 AND doc_id IS NOT NULL").join(sets.select("key", "node"), "key").filter("doc_id != node").select(c("node").alias("a"), c("doc_id").alias("b"))
     several = several.join(sets.select(c("node").alias("b")).distinct(), "b", "left_semi").select("a", "b")
     homes = components(links.unionByName(several))
+    discard(whole)
     named = sets.select("key", "node").join(homes, "node", "left").select("key", F.coalesce("home", "node").alias("component"))
     return rows.join(named, "key", "left").select(
         "doc_id", c("n").alias("n_shingles"), F.when(c("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
