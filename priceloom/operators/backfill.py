@@ -45,91 +45,129 @@ def spec_keyset(folded_text: Column) -> Column:
 
 
 def close_descriptions(descriptions: DataFrame, ratio: float = CLOSE) -> DataFrame:
-    """(name, a, b) pairs of near-equal description keys of one name.
+    """Near-equal description keys of one name: name, a, b, and whether the ratio is reached read
+    as (a, b) (``forward``) and as (b, a) (``backward``); the sequence ratio is not symmetric.
 
-    A ratio of r needs a multiset overlap of at least r/(2-r) of the characters of either
-    key.  So two keys meet on one of their rarest characters (prefix filter, exact) and
-    only those pairs are verified with the true ratio.
+    ``descriptions``: name, key, first (place in the book; a is the earlier one).  A ratio of
+    r needs a multiset overlap of at least r/(2-r) of the characters of either key.  So two
+    keys meet on one of their rarest characters (prefix filter, exact) and only those pairs
+    are verified with the true ratio.
     """
     c = F.col
-    d = descriptions.select("name", "key").distinct().withColumn("n", F.length("key")).filter("n > 0")
+    d = descriptions.select("name", "key", "first").withColumn("n", F.length("key")).filter("n > 0")
     chars = F.array_sort(F.filter(F.split("key", ""), lambda x: x != ""))
     numbered = F.transform(c("chars"), lambda x, i: F.concat(x, F.lit("#"), (i + 1 - F.array_position(c("chars"), x)).cast("string")))
-    long = d.withColumn("chars", chars).select("name", "key", "n", F.explode(numbered).alias("item"))
+    long = d.withColumn("chars", chars).select("name", "key", "first", "n", F.explode(numbered).alias("item"))
     freq = long.groupBy("name", "item").agg(F.count(F.lit(1)).alias("f"))
-    rare = long.join(freq, ["name", "item"]).groupBy("name", "key", "n").agg(
+    rare = long.join(freq, ["name", "item"]).groupBy("name", "key", "first", "n").agg(
         F.array_sort(F.collect_list(F.struct("f", "item"))).alias("items"))
     keep = (c("n") - F.ceil(c("n") * F.lit(ratio / (2 - ratio) - 1e-9)) + 1).cast("int")
-    probe = rare.select("name", "key", "n", F.explode(F.slice("items", F.lit(1), keep)).alias("x")).select("name", "key", "n", "x.item")
+    probe = rare.select("name", "key", "first", "n", F.explode(F.slice("items", F.lit(1), keep)).alias("x")).select("name", "key", "first", "n", "x.item")
+    earlier = F.struct("a.first", "a.key") < F.struct("b.first", "b.key")
     pairs = (
         probe.alias("a").join(probe.alias("b"), ["name", "item"])
-        .filter((c("a.key") < c("b.key")) & (2 * F.least("a.n", "b.n") >= ratio * (c("a.n") + c("b.n"))))
+        .filter(earlier & (2 * F.least("a.n", "b.n") >= ratio * (c("a.n") + c("b.n"))))
         .select("name", c("a.key").alias("a"), c("b.key").alias("b")).distinct()
     )
-    return pairs.filter(_ratio("a", "b") >= ratio)
+    return pairs.withColumns({"forward": _ratio("a", "b") >= ratio, "backward": _ratio("b", "a") >= ratio}).filter("forward OR backward")
 
 
-def cluster_specs(descriptions: DataFrame, ratio: float = CLOSE) -> DataFrame:
-    """Near-duplicate descriptions per name: name, key, cluster, representative (longest).
+def _linked_groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """name, key, cluster: the smallest key reachable by links (name, a, b).
 
-    ``descriptions``: name, key (see ``spec_key``).  Connected groups come from min-label
-    propagation over the verified pairs.
+    Each round takes the smallest label among the neighbours and then the label of that
+    label, so a chain needs rounds by the logarithm of its length.
     """
-    from ..session import materialize
+    from ..session import discard, materialize
 
-    nodes = descriptions.select("name", "key").distinct()
-    half = materialize(close_descriptions(nodes, ratio), "close")
-    edges = half.unionByName(half.select("name", F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialize(nodes.withColumn("cluster", F.col("key")), "labels")
+    both = links.select("name", "a", "b").unionByName(links.select("name", F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = materialize(nodes.select("name", "key", F.col("key").alias("cluster")), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("key", "b"), ["name", "b"]).groupBy("name", "a").agg(F.min("cluster").alias("low"))
-        nxt = labels.join(near.withColumnRenamed("a", "key"), ["name", "key"], "left").select(
-            "name", "key", F.least("cluster", F.coalesce("low", "cluster")).alias("cluster"),
-            (F.coalesce("low", "cluster") < F.col("cluster")).alias("moved"))
-        nxt = materialize(nxt, "labels")
-        moved = nxt.filter("moved").limit(1).count()
-        labels = nxt.drop("moved")
-        if not moved:
-            break
+        near = both.join(labels.withColumnRenamed("key", "b"), ["name", "b"]).groupBy("name", F.col("a").alias("key")).agg(F.min("cluster").alias("low"))
+        lower = labels.join(near, ["name", "key"], "left").select("name", "key", "cluster", F.least("cluster", F.coalesce("low", "cluster")).alias("low"))
+        beyond = labels.select("name", F.col("key").alias("low"), F.col("cluster").alias("lowest"))
+        step = lower.join(beyond, ["name", "low"]).select("name", "key", F.col("lowest").alias("cluster"), (F.col("lowest") < F.col("cluster")).alias("moved"))
+        step = materialize(step, "labels")
+        discard(labels)
+        labels = step
+        if labels.filter("moved").isEmpty():
+            return labels.drop("moved")
+
+
+def cluster_specs(descriptions: DataFrame, ratio: float = CLOSE, close: DataFrame | None = None) -> DataFrame:
+    """Near-duplicate descriptions per name: name, key, cluster, representative (longest, then first in the book).
+
+    ``descriptions``: one row per name and key (see ``spec_key``) with ``first``, its place in
+    the book; without that column keys go in alphabetical order.  ``close`` takes pairs that
+    ``close_descriptions`` already found.
+    """
+    from ..session import materialize
+
+    if "first" not in descriptions.columns:
+        descriptions = descriptions.select("name", "key", F.col("key").alias("first")).distinct()
+    nodes = descriptions.select("name", "key", "first")
+    if close is None:
+        close = materialize(close_descriptions(nodes, ratio), "close")
+    labels = _linked_groups(nodes, close.filter("forward")).join(nodes, ["name", "key"])
     longest = labels.groupBy("name", "cluster").agg(
-        F.min(F.struct((-F.length("key")).alias("n"), "key"))["key"].alias("representative"))
+        F.min_by("key", F.struct(-F.length("key"), "first", "key")).alias("representative"))
     return labels.join(longest, ["name", "cluster"]).select("name", "key", "cluster", "representative")
 
 
 def backfill_specs(options: DataFrame, history: DataFrame) -> DataFrame:
-    """Specification for options without one: line_id, record_name, record_code, inquiry_spec
-    plus ``filled_spec`` picked from records of the same plain name.
+    """Specification for options without one: record_name and inquiry_spec plus ``filled_spec``
+    picked from records of the same plain name.
 
     One description: take it.  Else the only one (of four or more characters) contained
     in the inquiry text.  Else the representative whose numbers and measures cover the
     inquiry best, if at least half and ahead of the next.
+
+    Works on distinct (name, inquiry text) pairs.  Contained descriptions meet the text on
+    their first four characters, covering ones on a shared number or measure, and the members
+    of a cluster come from the verified close pairs: no product of texts and descriptions.
     """
+    from ..session import materialize
+
     c = F.col
-    specs = history.filter(F.trim("spec") != "").select(
+    specs = history.filter((F.trim("spec") != "") & (F.trim("name") != "")).select(
         plain_name(c("name")).alias("name"), F.trim("spec").alias("raw"), spec_key(F.trim("spec")).alias("key"), "rowid")
-    pool = specs.groupBy("name", "key").agg(F.min_by("raw", "rowid").alias("raw"))
+    pool = materialize(specs.groupBy("name", "key").agg(F.min_by("raw", "rowid").alias("raw"), F.min("rowid").alias("first")), "descriptions")
     sizes = pool.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("raw").alias("only"))
-    want = options.withColumns({"name": plain_name(c("record_name")), "_ik": spec_key(c("inquiry_spec"))})
-    hits = want.select("line_id", "name", "_ik").join(pool, "name").filter(
-        (F.length("key") >= 4) & c("_ik").contains(c("key"))).groupBy("line_id").agg(
+    want = options.withColumns({"_name": plain_name(c("record_name")), "_asked": F.coalesce("inquiry_spec", F.lit(""))})
+    asked = want.select(c("_name").alias("name"), c("_asked").alias("asked")).distinct()
+
+    text = asked.withColumn("ik", spec_key(c("asked")))
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("ik") - 3), lambda i: F.substring(c("ik"), i, F.lit(4))))
+    heads = text.filter(F.length("ik") >= 4).select("name", "asked", "ik", F.explode(starts).alias("head"))
+    long = pool.filter(F.length("key") >= 4).select("name", "key", "raw", F.substring("key", 1, 4).alias("head"))
+    hits = heads.join(long, ["name", "head"]).filter(c("ik").contains(c("key"))).groupBy("name", "asked").agg(
         F.count(F.lit(1)).alias("hits"), F.min("raw").alias("hit"))
-    clusters = cluster_specs(pool)
-    near = clusters.select("name", c("representative")).distinct().join(pool, ["name"]).filter(
-        (c("key") == c("representative")) | (_ratio("key", "representative") >= CLOSE))
-    reps = near.groupBy("name", "representative").agg(
-        F.min(F.struct((-F.length("raw")).alias("n"), "raw"))["raw"].alias("raw"))
-    reps = reps.withColumn("_rt", nfkc(c("raw"))).withColumn("keys", spec_keyset(c("_rt"))).drop("_rt")
-    asked = want.withColumn("_it", nfkc(F.coalesce("inquiry_spec", F.lit("")))).select("line_id", "name", spec_keyset(c("_it")).alias("ik"))
-    scored = asked.join(reps, "name").withColumn("inter", F.size(F.array_intersect("ik", "keys")))
-    smaller = F.greatest(F.lit(1), F.least(F.size("ik"), F.size("keys")))
-    scored = scored.withColumn("cover", F.when(F.size("ik") > 0, c("inter") / smaller).otherwise(F.lit(0.0)))
-    best = scored.groupBy("line_id").agg(
-        F.min(F.struct((-c("cover")).alias("a"), (-c("inter")).alias("b"), F.length("raw").alias("n"), "raw")).alias("best"),
-        F.max("cover").alias("top"))
-    ties = scored.join(best.select("line_id", "top"), "line_id").filter("cover = top").groupBy("line_id").agg(F.count(F.lit(1)).alias("ties"))
-    best = best.join(ties, "line_id").select("line_id", F.when((c("top") >= 0.5) & (c("ties") == 1), c("best.raw")).alias("covered"))
-    return (
-        want.join(sizes, "name", "left").join(hits, "line_id", "left").join(best, "line_id", "left")
-        .withColumn("filled_spec", F.when(c("n") == 1, c("only")).when(c("hits") == 1, c("hit")).otherwise(c("covered")))
-        .drop("_ik", "n", "only", "hits", "hit", "covered", "name")
+
+    close = materialize(close_descriptions(pool), "close")
+    reps = cluster_specs(pool, close=close).select("name", "representative").distinct()
+    members = (
+        reps.select("name", "representative", c("representative").alias("key"))
+        .unionByName(reps.join(close.filter("forward").select("name", c("b").alias("representative"), c("a").alias("key")), ["name", "representative"]))
+        .unionByName(reps.join(close.filter("backward").select("name", c("a").alias("representative"), c("b").alias("key")), ["name", "representative"]))
+    )
+    reps = members.join(pool, ["name", "key"]).groupBy("name", "representative").agg(
+        F.min_by("raw", F.struct(-F.length("raw"), "first", "key")).alias("raw"))
+
+    def facts(df: DataFrame, column: str) -> DataFrame:
+        held = df.withColumn("_t", nfkc(c(column))).withColumn("_keys", spec_keyset(c("_t"))).drop("_t")
+        return held.withColumn("keys", F.size("_keys"))
+
+    left = facts(asked, "asked").select("name", "asked", c("keys").alias("_n"), F.explode("_keys").alias("item"))
+    right = facts(reps, "raw").select("name", "representative", "raw", c("keys").alias("_m"), F.explode("_keys").alias("item"))
+    scored = left.join(right, ["name", "item"]).groupBy("name", "asked", "representative", "raw", "_n", "_m").agg(F.count(F.lit(1)).alias("inter"))
+    scored = scored.withColumn("cover", c("inter") / F.least("_n", "_m"))
+    # How often the best cover occurs is counted per cover first, then looked at from the top.
+    levels = scored.groupBy("name", "asked", "cover").agg(F.count(F.lit(1)).alias("ties"), F.min("raw").alias("raw"))
+    best = levels.groupBy("name", "asked").agg(F.max_by(F.struct("cover", "ties", "raw"), "cover").alias("best")).select(
+        "name", "asked", F.when((c("best.cover") >= 0.5) & (c("best.ties") == 1), c("best.raw")).alias("covered"))
+    filled = (
+        asked.join(sizes, "name").join(hits, ["name", "asked"], "left").join(best, ["name", "asked"], "left")
+        .select(c("name").alias("_name"), c("asked").alias("_asked"),
+                F.when(c("n") == 1, c("only")).when(c("hits") == 1, c("hit")).otherwise(c("covered")).alias("filled_spec"))
     )
+    return want.join(filled, ["_name", "_asked"], "left").drop("_name", "_asked")

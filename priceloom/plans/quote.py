@@ -22,7 +22,8 @@ POLICY = {"customer_type": "ordinary", "discount_percent": 0.0, "minimum_margin_
 def with_policy(lines: DataFrame, policy: DataFrame | None) -> DataFrame:
     """Customer terms per job; ordinary terms where a job names no customer."""
     if policy is not None:
-        lines = lines.join(policy.select("job_id", *POLICY, "preferred"), "job_id", "left")
+        known = policy.withColumn("preferred", F.filter(F.transform("preferred", normalize_text), lambda v: v != ""))
+        lines = lines.join(known.select("job_id", *POLICY, "preferred"), "job_id", "left")
     else:
         lines = lines.withColumn("preferred", F.array().cast("array<string>"))
     return lines.withColumns({

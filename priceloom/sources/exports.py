@@ -17,8 +17,8 @@ def resolve_option_fields(options: DataFrame, history: DataFrame | None = None)
     fields = DETAIL_FIELDS
     df = options
     if history is not None:
-        linked = history.select(F.col("id").alias("history_id"), *[F.col(f).alias(f"_h_{f}") for f in fields])
-        df = df.join(linked, "history_id", "left").withColumn("_linked", F.col("_h_spec").isNotNull())
+        linked = history.select(F.col("id").alias("history_id"), F.lit(True).alias("_linked"), *[F.col(f).alias(f"_h_{f}") for f in fields])
+        df = df.join(linked, "history_id", "left").withColumn("_linked", F.coalesce("_linked", F.lit(False)))
     else:
         df = df.withColumn("_linked", F.lit(False))
 

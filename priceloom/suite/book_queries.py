@@ -384,7 +384,7 @@ def drafts_query(spark, sf):
 
 @query("cluster_specs")
 def cluster(spark, sf):
-    h = V.history(spark, sf).select(c("brand").alias("name"), spec_key(c("spec")).alias("key")).distinct()
+    h = V.history(spark, sf).groupBy(c("brand").alias("name"), spec_key(c("spec")).alias("key")).agg(F.min("rowid").alias("first"))
     return cluster_specs(h)
 
 

@@ -167,7 +167,21 @@ def category_pairs(spark, sf):
     return code_pairs(spark, sf).select("line_id", c("r_id").alias("id"), ok.alias("same_family"))
 
 
-@query("name_gate")
+# Names of one stem that differ in a modifier, or lines that ask for another grade, never pass; weak names neither.
+# Stated equivalents and names contained in the line pass; the rest needs a trusted source and a closer name.
+GATE_SQL = """SELECT *, regexp_replace(a,'small|large|red|blue','','g') AS sa, regexp_replace(b,'small|large|red|blue','','g') AS sb,
+ regexp_replace(a,'red|blue','','g') AS ia, regexp_replace(b,'red|blue','','g') AS ib, regexp_extract(a,'^(new|old)',1) AS lg, regexp_extract(b,'^(new|old)',1) AS rg,
+ (suffix(a,'ring') AND suffix(b,'rod')) OR (suffix(a,'rod') AND suffix(b,'ring')) AS same_end, (contains(a,'red') AND contains(b,'blue')) OR (contains(a,'blue') AND contains(b,'red')) AS same_mid,
+ contains(a,b) OR prefix(b,a) OR a LIKE '%'||array_to_string(string_split(b,''),'%')||'%' AS contained FROM (SELECT line_core AS a, record_core AS b, dice FROM sim WHERE dice >= 0.15)"""
+
+
+def gate_sql(trusted: str) -> str:
+    return f"""CASE WHEN a<>b AND sa<>'' AND sa=sb AND NOT same_end AND NOT same_mid THEN false WHEN lg<>'' AND lg<>rg THEN false WHEN dice<0.30 THEN false
+ WHEN (regexp_matches(a||' '||b,'red|blue') AND ia<>'' AND ia=ib) OR same_end OR contained THEN true ELSE {trusted} AND dice>=0.65 END"""
+
+
+@query("name_gate", V.with_views(f"""WITH {SIMILAR_SQL}, g AS ({GATE_SQL})
+ SELECT a AS line_core, b AS record_core, round(dice, 9) AS dice, {gate_sql('false')} AS gate, {gate_sql('true')} AS gate_trusted FROM g"""))
 def name_gate(spark, sf):
     pairs = C.core_pairs(keyed(V.inquiry(spark, sf)), keyed(V.history(spark, sf)), DEMO, MatchConfig())
     return pairs.select("line_core", "record_core", F.round("dice", 9).alias("dice"), "gate", "gate_trusted")
