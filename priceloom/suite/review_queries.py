@@ -1,6 +1,7 @@
 """Review, selection and export operators over the sample tables."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import vendor_key
@@ -207,11 +208,16 @@ def prefilter_topk(spark, sf):
     return top(df, 5).select("line_id", c("rowid").alias("rowid_"), "position")
 
 
-@query("price_clusters", V.with_views("""WITH RECURSIVE s AS (SELECT line_id, option_id, price, row_number() OVER (PARTITION BY line_id ORDER BY price, rank) AS n FROM ropts),
+def recursive(sql: str, first: str) -> str:
+    """with_views for a statement whose first own table is recursive."""
+    return V.with_views(sql).replace("WITH hist AS", "WITH RECURSIVE hist AS").replace(f"), RECURSIVE {first} AS", f"), {first} AS")
+
+
+@query("price_clusters", recursive("""WITH RECURSIVE s AS (SELECT line_id, option_id, price, row_number() OVER (PARTITION BY line_id ORDER BY price, rank) AS n FROM ropts),
  w AS (SELECT line_id, option_id, price, n, 1 AS cluster, 1 AS place, price AS leader FROM s WHERE n=1 UNION ALL
   SELECT s.line_id, s.option_id, s.price, s.n, CASE WHEN abs(s.price-w.leader)/greatest(w.leader,1e-9)<=0.3 THEN w.cluster ELSE w.cluster+1 END, CASE WHEN abs(s.price-w.leader)/greatest(w.leader,1e-9)<=0.3 THEN w.place+1 ELSE 1 END,
   CASE WHEN abs(s.price-w.leader)/greatest(w.leader,1e-9)<=0.3 THEN w.leader ELSE s.price END FROM w JOIN s ON s.line_id=w.line_id AND s.n=w.n+1)
- SELECT line_id, option_id AS id, cluster, place FROM w""").replace("WITH hist AS", "WITH RECURSIVE hist AS").replace("), RECURSIVE s AS", "), s AS"))
+ SELECT line_id, option_id AS id, cluster, place FROM w""", "s"))
 def price_clusters(spark, sf):
     df = ranked(spark, sf).withColumn("base", c("position"))
     return X.price_clusters(df, ["line_id"]).select("line_id", "id", "cluster", "place")
@@ -245,16 +251,28 @@ def prefer_vendors(spark, sf):
     return X.prefer_vendors(df).select("line_id", "id", "position")
 
 
-@query("keep_defaults")
+@query("keep_defaults", recursive(f"""WITH RECURSIVE s AS (SELECT line_id, brand, row_number() OVER (PARTITION BY line_id ORDER BY rank, option_id) AS n, {{'id': option_id, 'core': brand, 'price': price, 'vendor': {norm('manufacturer')}}} AS x FROM ropts),
+ k AS (SELECT line_id, n, [x] AS kept FROM s WHERE n=1 UNION ALL SELECT s.line_id, s.n, CASE WHEN len([y for y in k.kept if y.core=s.x.core AND abs(s.x.price-y.price)/greatest(y.price,1e-9)<=0.3 AND (s.x.vendor='' OR y.vendor='' OR s.x.vendor=y.vendor)])>0
+  THEN k.kept ELSE list_append(k.kept, s.x) END FROM k JOIN s ON s.line_id=k.line_id AND s.n=k.n+1),
+ e AS (SELECT line_id, arg_max(kept, n) AS kept FROM k GROUP BY 1) SELECT line_id, y.id AS id FROM (SELECT line_id, unnest(kept) AS y FROM e)""", "s"))
 def keep_defaults(spark, sf):
     df = ranked(spark, sf).select("line_id", c("position").alias("at"), "id", c("brand").alias("core"), "price", "vendor")
     return X.keep_defaults(df)
 
 
-@query("diversify")
+@query("diversify", recursive("""WITH RECURSIVE d AS (SELECT line_id, option_id, rank AS base, brand AS core, price, length(spec)%2=0 AS fits, arg_min(brand, CASE WHEN rank>1 THEN rank END) OVER (PARTITION BY line_id) AS line_core FROM ropts),
+ r AS (SELECT *, bool_or(fits) OVER (PARTITION BY line_id, core) AS some_fit FROM d WHERE base>1), s AS (SELECT *, row_number() OVER (PARTITION BY line_id, core ORDER BY price, base, option_id) AS n FROM r WHERE fits OR NOT some_fit),
+ w AS (SELECT line_id, core, line_core, option_id, n, 1 AS cluster, 1 AS place, price AS leader FROM s WHERE n=1 UNION ALL
+  SELECT s.line_id, s.core, s.line_core, s.option_id, s.n, CASE WHEN abs(s.price-w.leader)/greatest(w.leader,1e-9)<=0.3 THEN w.cluster ELSE w.cluster+1 END, CASE WHEN abs(s.price-w.leader)/greatest(w.leader,1e-9)<=0.3 THEN w.place+1 ELSE 1 END,
+  CASE WHEN abs(s.price-w.leader)/greatest(w.leader,1e-9)<=0.3 THEN w.leader ELSE s.price END FROM w JOIN s ON s.line_id=w.line_id AND s.core=w.core AND s.n=w.n+1),
+ f AS (SELECT line_id, core, min(base) AS first_base FROM r GROUP BY ALL),
+ u AS (SELECT line_id, option_id AS id, 0 AS k1, base AS k2, 0 AS k3 FROM d WHERE base=1 UNION ALL SELECT w.line_id, option_id, CASE WHEN w.core=line_core THEN 1 ELSE 2 END, CASE WHEN w.core=line_core THEN place ELSE n END,
+  CASE WHEN w.core=line_core THEN cluster ELSE first_base END FROM w JOIN f ON f.line_id=w.line_id AND f.core=w.core)
+ SELECT line_id, id, CAST(row_number() OVER (PARTITION BY line_id ORDER BY k1, k2, k3, id) AS INTEGER) AS place FROM u""", "d"))
 def diversify(spark, sf):
+    own = F.min_by("brand", F.when(c("position") > 1, c("position"))).over(Window.partitionBy("line_id"))
     df = ranked(spark, sf).select("line_id", "id", c("position").alias("base"), (c("position") == 1).alias("is_default"), c("brand").alias("core"),
-                                  F.lit("Brand#1").alias("line_core"), "price", F.lit(True).alias("category_fits"))
+                                  own.alias("line_core"), "price", (F.length("spec") % 2 == 0).alias("category_fits"))
     return X.diversify(df)
 
 
