@@ -4,7 +4,8 @@ Text is read as UTF-8 bytes in windows of ``STEPS`` bytes.  One recurrent networ
 window forwards, one backwards; at every position both states give the language of that
 byte.  A document's probabilities are the mean over all positions that are letters, so the
 whole text counts, not a prefix.  The network is trained here, in numpy, by
-backpropagation through time on a bounded sample of labelled documents.
+backpropagation through time on a bounded sample of labelled documents; copies of a text
+count once there.
 
 Defined cases: a text that is NULL or has no letter is ``und`` with score 0; without any
 training row every text is ``und`` with score 0; equal texts get equal predictions; rows
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import table, text_slices
 
@@ -207,14 +209,17 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: i
     """(languages, network) from labelled (text, lang); the sample is bounded and the same on every run."""
     c = F.col
     known = labelled.filter(c("lang").isNotNull() & (F.length("text") > 0))
-    counts = known.groupBy("lang").count().orderBy(c("count").desc(), "lang").limit(LANGUAGES).collect()
+    known = known.select("text", "lang", F.xxhash64("text").alias("h"))
+    counts = known.groupBy("lang", "h").count().groupBy("lang").count().orderBy(c("count").desc(), "lang").limit(LANGUAGES).collect()
     names = sorted(r["lang"] for r in counts)
     if not names:
         return [], None
-    picked = None
-    for name in names:  # the texts with the smallest hashes of each language
-        own = known.filter(c("lang") == name).select("text", "lang", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(sample_docs)
-        picked = own if picked is None else picked.unionByName(own)
+    # The distinct texts with the smallest hashes of each language.  A first cut by what share of its evenly spread hashes
+    # holds several times the sample keeps texts out of the shuffle and a language from filling a task.
+    tops = [(r["lang"], min(2 ** 63 - 1, -2 ** 63 + 2 ** 64 * (4 * sample_docs + 100) // r["count"])) for r in counts]
+    low = F.broadcast(known.sparkSession.createDataFrame(tops, "lang string, top long"))
+    few = known.join(low, "lang").filter("h <= top").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    picked = few.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(c("_rank") <= sample_docs)
     size = STEPS * 2
     # From each text so many pieces at even distances; a piece holds a window.
     at = F.transform(F.sequence(F.lit(0), F.lit(sample_windows - 1)), lambda i: F.floor(

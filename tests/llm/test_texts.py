@@ -247,6 +247,19 @@ def test_language_held_out_accuracy(spark):
     assert seen.filter("lang = lang_pred").count() >= 0.97 * seen.count()
 
 
+def test_language_sample_is_of_distinct_texts(spark, monkeypatch):
+    draw = random.Random(8)
+    texts = [" ".join(draw.choices(["wort", "öde", "straße", "über"], k=30)) for _ in range(40)]
+    docs = spark.createDataFrame([(t, lang) for t in texts for lang in ("xx", "yy")], "text string, lang string")
+    first = docs.orderBy(F.xxhash64("text")).first()["text"]
+    copies = spark.createDataFrame([(first, "xx")] * 50, docs.schema)
+    grids = []
+    monkeypatch.setattr(langid.Network, "fit", lambda self, grid, labels: grids.append((grid.T.tolist(), labels.tolist())))
+    for known in (docs, docs.unionByName(copies)):
+        assert langid.train(known, sample_docs=20)[0] == ["xx", "yy"]
+    assert grids[0] == grids[1] and len(set(map(bytes, grids[0][0]))) > 20
+
+
 # Toxicity
 
 def test_subwords_have_no_inner_border():
