@@ -4,8 +4,8 @@ Text is read as UTF-8 bytes in windows of ``STEPS`` bytes.  One recurrent networ
 window forwards, one backwards; at every position both states give the language of that
 byte.  A document's probabilities are the mean over all positions that are letters, so the
 whole text counts, not a prefix.  The network is trained here, in numpy, by
-backpropagation through time on a bounded sample of labelled documents; copies of a text
-count once there.
+backpropagation through time on a bounded sample of the labelled documents of each
+language, however many languages there are; copies of a text count once there.
 
 Defined cases: a text that is NULL or has no letter is ``und`` with score 0; without any
 training row every text is ``und`` with score 0; equal texts get equal predictions; rows
@@ -28,8 +28,6 @@ STEPS = 64
 HIDDEN = 8
 #: Bound of the training sample: so many documents of each language, so many windows of each.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 6
-#: Bound on the number of languages learned (the most frequent ones).
-LANGUAGES = 64
 EPOCHS, BATCH, RATE = 12, 512, 0.03
 #: A small sample is gone through more often, up to so many steps.
 LEAST_STEPS = 150
@@ -210,7 +208,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: i
     c = F.col
     known = labelled.filter(c("lang").isNotNull() & (F.length("text") > 0))
     known = known.select("text", "lang", F.xxhash64("text").alias("h"))
-    counts = known.groupBy("lang", "h").count().groupBy("lang").count().orderBy(c("count").desc(), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang", "h").count().groupBy("lang").count().collect()  # one row per language
     names = sorted(r["lang"] for r in counts)
     if not names:
         return [], None
@@ -237,6 +235,8 @@ def predict(docs: DataFrame, names: list[str], network: Network | None, at_once:
     held = docs.drop("lang_pred", "score").withColumns({"lang_pred": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
     sent = held.sparkSession.sparkContext.broadcast((names, network and network.p))
 
+    at_once = max(1, min(at_once, 64 * at_once // max(1, len(names))))  # the room does not grow with the languages
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, weights = sent.value
         network = weights and Network.of(weights)

@@ -260,6 +260,18 @@ def test_language_sample_is_of_distinct_texts(spark, monkeypatch):
     assert grids[0] == grids[1] and len(set(map(bytes, grids[0][0]))) > 20
 
 
+def test_every_language_is_learned(spark):
+    draw = random.Random(9)
+    letters = [chr(0x4E00 + 40 * k + j) for k in range(70) for j in range(40)]
+    rows = [(" ".join("".join(draw.choices(letters[40 * k:40 * k + 40], k=4)) for _ in range(12)), f"l{k:02}") for k in range(70) for _ in range(7 if k else 5)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    names, net = langid.train(docs)
+    assert names == [f"l{k:02}" for k in range(70)]
+    seen = langid.predict(docs, names, net)
+    assert seen.filter("lang = lang_pred").count() >= 0.9 * len(rows)
+    assert seen.filter("lang = 'l00' AND lang_pred = 'l00'").count() >= 3
+
+
 # Toxicity
 
 def test_subwords_have_no_inner_border():
