@@ -28,6 +28,8 @@ STEPS = 64
 HIDDEN = 8
 #: Bound of the training sample: so many documents of each language, so many windows of each.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 6
+#: Scores are judged by so many texts of each language and the share of them that may score less.
+SCORED_DOCS, LOW = 2000, 0.001
 EPOCHS, BATCH, RATE = 12, 512, 0.03
 #: A small sample is gone through more often, up to so many steps.
 LEAST_STEPS = 150
@@ -203,21 +205,28 @@ class Network:
         return loss
 
 
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> tuple[list[str], Network | None]:
-    """(languages, network) from labelled (text, lang); the sample is bounded and the same on every run."""
+def distinct_texts(labelled: DataFrame, most: int) -> tuple[list[str], DataFrame | None]:
+    """(languages, their distinct texts with the smallest hashes: text, lang; ``most`` of each) of labelled (text, lang)."""
     c = F.col
-    known = labelled.filter(c("lang").isNotNull() & (F.length("text") > 0))
-    known = known.select("text", "lang", F.xxhash64("text").alias("h"))
+    known = labelled.filter(c("lang").isNotNull() & (F.length("text") > 0)).select("text", "lang", F.xxhash64("text").alias("h"))
     counts = known.groupBy("lang", "h").count().groupBy("lang").count().collect()  # one row per language
-    names = sorted(r["lang"] for r in counts)
-    if not names:
+    if not counts:
         return [], None
-    # The distinct texts with the smallest hashes of each language.  A first cut by what share of its evenly spread hashes
-    # holds several times the sample keeps texts out of the shuffle and a language from filling a task.
-    tops = [(r["lang"], min(2 ** 63 - 1, -2 ** 63 + 2 ** 64 * (4 * sample_docs + 100) // r["count"])) for r in counts]
+    # A first cut by what share of a language's evenly spread hashes holds several times the sample keeps texts out of the
+    # shuffle and a language from filling a task.
+    tops = [(r["lang"], min(2 ** 63 - 1, -2 ** 63 + 2 ** 64 * (4 * most + 100) // r["count"])) for r in counts]
     low = F.broadcast(known.sparkSession.createDataFrame(tops, "lang string, top long"))
     few = known.join(low, "lang").filter("h <= top").groupBy("lang", "h").agg(F.min("text").alias("text"))
-    picked = few.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(c("_rank") <= sample_docs)
+    few = few.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(c("_rank") <= most)
+    return sorted(r["lang"] for r in counts), few.select("text", "lang")
+
+
+def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> tuple[list[str], Network | None]:
+    """(languages, network) from labelled (text, lang); the sample is bounded and the same on every run."""
+    c = F.col
+    names, picked = distinct_texts(labelled, sample_docs)
+    if not names:
+        return [], None
     size = STEPS * 2
     # From each text so many pieces at even distances; a piece holds a window.
     at = F.transform(F.sequence(F.lit(0), F.lit(sample_windows - 1)), lambda i: F.floor(
@@ -265,6 +274,19 @@ def predict(docs: DataFrame, names: list[str], network: Network | None, at_once:
     return held.mapInArrow(scan, held.schema)
 
 
+def least_scores(labelled: DataFrame, names: list[str], network: Network | None, low: float = LOW, most: int = SCORED_DOCS) -> DataFrame:
+    """(lang, least): a score below which only a share ``low`` of a language's own texts that are recognised lies.
+
+    A language of which no text is recognised has the even guess.
+    """
+    spark = labelled.sparkSession
+    found = {}
+    if names:
+        seen = predict(distinct_texts(labelled, most)[1], names, network).filter("lang = lang_pred")
+        found = dict(seen.groupBy("lang").agg(F.expr(f"percentile_disc({low}D) WITHIN GROUP (ORDER BY score)")).collect())
+    return spark.createDataFrame([(name, found.get(name, 1 / len(names))) for name in names], "lang string, least double")
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 

@@ -3,6 +3,8 @@ import collections
 import glob
 import hashlib
 import os
+import random
+import string
 
 import duckdb
 import pytest
@@ -88,6 +90,19 @@ def test_stages(spark):
     assert len(by) == 24 and max(by) - min(by) <= 1
 
 
+def test_language_stage_drops_noise_and_foreign_texts(spark):
+    draw = random.Random(4)
+    clean = spark.read.parquet(f"{SF}/documents.parquet")
+    noise = [" ".join("".join(draw.choices(string.ascii_lowercase, k=draw.randint(3, 9))) for _ in range(60)) for _ in range(30)]
+    cyrillic = [" ".join(draw.choices("в начале было слово и мир стал большим городом на реке под небом дом".split(), k=60)) for _ in range(30)]
+    rows = [(20_000 + k, t, None, "src1", len(t)) for k, t in enumerate(noise + cyrillic)]
+    docs = clean.unionByName(spark.createDataFrame(rows, clean.schema))
+    for part in (docs, docs.filter("lang IS NULL OR lang IN ('de', 'en')")):
+        kept = [r.doc_id for r in corpus_pipeline.identify_language(spark, part, SF).select("doc_id").collect()]
+        assert sum(i < 20_000 for i in kept) >= part.count() - 60 - 3
+        assert sum(20_000 <= i < 20_030 for i in kept) <= 3 and sum(i >= 20_030 for i in kept) <= 3
+
+
 def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:
