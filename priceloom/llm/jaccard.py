@@ -350,14 +350,20 @@ def similarity_groups(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     judged = materialize(judged.select("a", "b", "slack", "sure", F.when(c("slack") == 0, c("near")).otherwise(F.lit(True)).alias("near")), "judged")
     rest = compared(judged.filter("NOT sure").select("a", "b"), whole).filter(linked)
     links = star.select("a", "b").unionByName(judged.filter("sure AND near").select("a", "b")).unionByName(rest.select("a", "b"))
-    # A document that has several texts connects their sets.
-    several = rows.filter("n > 0 AND doc_id IS NOT NULL").join(sets.select("key", "node"), "key").filter("doc_id != node").select(c("node").alias("a"), c("doc_id").alias("b"))
-    several = several.join(sets.select(c("node").alias("b")).distinct(), "b", "left_semi").select("a", "b")
-    homes = components(links.unionByName(several))
+    # A document that has several texts connects their sets; it is a node itself, whoever else has its texts.
+    numbered = rows.filter("doc_id IS NOT NULL")
+    several = materialize(numbered.groupBy("doc_id").agg(F.min(F.xxhash64("key")).alias("_low"), F.max(F.xxhash64("key")).alias("_high")).filter(
+        "_low != _high").select("doc_id"), "several")
+    bridges = numbered.filter("n > 0").join(several, "doc_id", "left_semi").select("doc_id", "key").join(sets.select("key", "node"), "key").select(
+        c("node").alias("a"), c("doc_id").alias("b"))
+    homes = components(links.unionByName(bridges))
     discard(whole)
     named = sets.select("key", "node").join(homes, "node", "left").select("key", F.coalesce("home", "node").alias("component"))
-    return rows.join(named, "key", "left").select(
-        "doc_id", c("n").alias("n_shingles"), F.when(c("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    found = rows.join(named, "key", "left")
+    # A blank text of a document that has others too goes with them.
+    blank = materialize(several.join(homes.withColumnRenamed("node", "doc_id"), "doc_id").select(c("doc_id").alias("_id"), "home"), "blank")
+    found = found.join(blank, (c("n") == 0) & (c("doc_id") == c("_id")), "left")
+    return found.select("doc_id", c("n").alias("n_shingles"), F.when(c("doc_id").isNotNull(), F.coalesce("component", "home", "doc_id")).alias("component_id"))
 
 
 OP2_SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -103,6 +103,14 @@ def test_language_stage_drops_noise_and_foreign_texts(spark):
         assert sum(20_000 <= i < 20_030 for i in kept) <= 3 and sum(i >= 20_030 for i in kept) <= 3
 
 
+def test_one_row_of_each_document_stays(spark):
+    rows = [(3, "a b c d e f"), (7, "a b c d e f"), (7, "u v w x y z"), (2, "u v w x y z"), (4, "g h i j k"), (4, "g h i j k"), (4, "l m n o p"),
+            (None, "no id at all"), (None, "no id at all"), (None, "other words here"), (None, "a b c d e f")]
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]
+    assert sorted(got, key=str) in [sorted([(2, "u v w x y z"), (4, t), (None, "no id at all"), (None, "other words here")], key=str) for t in ("g h i j k", "l m n o p")]
+
+
 def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:

@@ -217,6 +217,12 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.similarity_groups(docs_of(spark, rows).select("doc_id", "text").filter("doc_id > 99")).count() == 0
 
 
+def test_jaccard_rows_of_one_document(spark):
+    rows = [(3, "a b c d e f"), (7, "a b c d e f"), (7, "u v w x y z"), (2, "u v w x y z"), (7, " "), (8, ""), (8, None), (9, "one"), (9, ""), (5, "q r s t u")]
+    got = jaccard.similarity_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (3, 2), (5, 5), (7, 2), (7, 2), (7, 2), (8, 8), (8, 8), (9, 9), (9, 9)]
+
+
 def test_shingle_sets_agree_with_words():
     import numpy as np
     texts = ["A b C d e", "a B c d E", "a b c d", " a  b c\td ", "", "é ñ a b c d"]
