@@ -176,10 +176,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: one row per draw, each shard's rows together and in shuffled order."""
+    """The mix itself: one row per draw, shard by shard and each shard's rows in shuffled order.
+
+    A shard is cut into ranges of positions, one partition each, so that the partitions are about as many as the session's
+    shuffle partitions, however few shards there are.
+    """
     out = mix(docs.withColumn("size", word_count(F.col("text"))), whole=True, **how)
     out = out.withColumn("_d", F.explode("draws")).withColumn("_shard", F.col("_d.shard"))
-    return out.repartition("_shard").sortWithinPartitions("_shard", "_d.position").select(*docs.columns)
+    shards = 2 ** how.get("levels", LEVELS)
+    ranges = max(1, -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
+    part = F.col("_shard") * ranges + F.floor(F.col("_d.position") / _UNIT * ranges)
+    return out.repartitionById(shards * ranges, part.cast("int")).sortWithinPartitions("_shard", "_d.position").select(*docs.columns)
 
 
 OP1_SQL = r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

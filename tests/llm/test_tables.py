@@ -67,6 +67,21 @@ def test_targets_and_taken(spark):
     assert {r.text for r in whole.select("text").distinct().collect()} <= {t for _, t, _ in rows}
 
 
+def test_mixed_rows_come_in_more_parts_than_shards(spark):
+    rows = [(i, f"w{i} a b", "ab"[i % 2]) for i in range(600)]
+    docs = docs_of(spark, rows)
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = mixing.mixed_rows(docs).select("doc_id", F.spark_partition_id().alias("part")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    sizes = collections.Counter(r.part for r in out)
+    assert len(sizes) > 40 and max(sizes.values()) <= 45
+    drawn = mixing.mix(docs.withColumn("size", word_count(F.col("text"))), whole=True).select("doc_id", F.explode("draws").alias("d")).collect()
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.part)] == [r.doc_id for r in sorted(drawn, key=lambda r: (r.d.shard, r.d.position))]
+
+
 def test_mix_of_nothing(spark):
     empty = docs_of(spark, [(1, "x", "a")]).filter("doc_id > 1")
     assert mixing.mix(empty.withColumn("size", word_count(F.col("text")))).count() == 0
