@@ -4,6 +4,7 @@ import glob
 import hashlib
 import os
 import random
+import re
 import string
 
 import duckdb
@@ -11,8 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from priceloom.llm import all_llm_queries, langid
+from priceloom.llm import all_llm_queries, decontaminate, langid
+from priceloom.llm.common import WORD
 
+from test_tables import brute_groups, level
 from test_texts import brute_base
 
 SF = "/root/testdata/sf0.001"
@@ -111,6 +114,57 @@ def test_one_row_of_each_document_stays(spark):
     assert sorted(got, key=str) in [sorted([(2, "u v w x y z"), (4, t), (None, "no id at all"), (None, "other words here")], key=str) for t in ("g h i j k", "l m n o p")]
 
 
+def brute_cut(text, grams):
+    """The text without benchmark passages; None where more than half of its words are in them."""
+    lower = text.translate({k: k + 32 for k in range(65, 91)})
+    at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)]
+    words = [lower[a:b] for a, b in at]
+    hit = {j for n in {len(g) for g in grams} for i in range(len(words) - n + 1) if tuple(words[i:i + n]) in grams for j in range(i, i + n)}
+    if len(hit) > 0.5 * len(words):
+        return None
+    runs = [(i, min(j for j in range(i, len(words) + 1) if j not in hit)) for i in sorted(hit) if i - 1 not in hit]
+    for first, end in reversed(runs):
+        text = text[:at[first][0]] + text[at[end - 1][1]:]
+    return text
+
+
+def test_run_and_stages_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    outs = [docs.collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        outs.append(stage(spark, spark.createDataFrame(outs[-1], docs.schema), SF).collect())
+    raw, known, single, clean, mixed, shards = outs
+    # Language: rows as they were, and all whose label the network finds with a usual score.
+    assert {tuple(r) for r in known} <= {tuple(r) for r in raw} and len(known) >= 0.98 * len(raw)
+    # Near copies: exactly the smallest id of each group.
+    groups = brute_groups([(r.doc_id, r.text, r.source) for r in known])
+    assert sorted(map(repr, single)) == sorted(repr(r) for r in known if groups[r.doc_id][1] == r.doc_id)
+    # Decontamination: exactly the cut texts.
+    bench = [decontaminate.words_of(t) for _, t in duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()]
+    grams = {tuple(w[i:i + 10]) for w in bench if w for i in range(max(len(w) - 9, 1))}
+    cuts = {r.doc_id: brute_cut(r.text, grams) for r in single}
+    assert {r.doc_id: r.text for r in clean} == {i: t for i, t in cuts.items() if t is not None} != {r.doc_id: r.text for r in single}
+    # Mixture: rows of the stage before, up to twice, and the words of each source within half a text of the target.
+    draws, before = collections.Counter(map(repr, mixed)), {repr(r) for r in clean}
+    assert set(draws) <= before and max(draws.values()) == 2
+    size = lambda r: len(re.findall(WORD, r.text))
+    total, taken = collections.Counter(), collections.Counter()
+    for rows, held in ((clean, total), (mixed, taken)):
+        for r in rows:
+            held[r.source] += size(r)
+    order = sorted(total, key=lambda s: (s is None, s))
+    goals = level(total, {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}, 1.5 * sum(total.values()), 2)
+    assert all(abs(taken[s] - goals[s]) <= max(map(size, clean)) for s in order)
+    # Shards: each mixed row once, slots without gaps, equal shards.
+    assert collections.Counter(repr(r[:len(docs.columns)]) for r in shards) == collections.Counter(repr(tuple(r)) for r in mixed)
+    by = collections.defaultdict(list)
+    for r in shards:
+        by[r.shard].append(r.slot)
+    assert len(by) == 24 and all(sorted(v) == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    # run() is the stages one after the other.
+    assert sorted(repr(r) for r in corpus_pipeline.run(spark, SF).select(*shards[0].__fields__).collect()) == sorted(map(repr, shards))
+
+
 def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:
