@@ -3,6 +3,7 @@
 
 def all_llm_queries():
     """{name: (query, SQL counterpart or None)}."""
+    from .alignment import op12_alignment
     from .chat import OP4_SQL, op4_chat_formatting
     from .decontaminate import OP6_SQL, op6_decontaminate
     from .fingerprint import op10_fingerprint
@@ -17,5 +18,6 @@ def all_llm_queries():
     found = {
         op1_mixing: OP1_SQL, op2_ngram_jaccard: OP2_SQL, op3_sharding: None, op4_chat_formatting: OP4_SQL, op5_pii: None,
         op6_decontaminate: OP6_SQL, op7_warc: OP7_SQL, op8_language_id: None, op9_toxicity: None, op10_fingerprint: None,
+        op12_alignment: None,
     }
     return {query.__name__: (query, sql) for query, sql in found.items()}
