@@ -1,6 +1,8 @@
 """Helpers shared by the operators on documents."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,3 +44,24 @@ def text_slices(column: pa.Array, limit: int = 1 << 21):
         last = min(max(last, first + 1), len(column))
         yield first, last, data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first]
         first = last
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal (integer) keys, from batches in which such rows follow each other."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        changes = np.flatnonzero(np.any([x[1:] != x[:-1] for x in columns], axis=0)) + 1
+        cuts = [0, *changes.tolist(), len(batch)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            now = tuple(int(x[a]) for x in columns)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
