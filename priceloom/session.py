@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -68,6 +69,19 @@ def tune_for_wide_pairs(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """The session with other settings, which are put back at the end; only for what is written inside."""
+    held = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield spark
+    finally:
+        for key, value in held.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def balanced(df: DataFrame, key: str) -> DataFrame:
     """Spread rows evenly over all cores, whatever partitioning a skewed join left."""
     spark = df.sparkSession
