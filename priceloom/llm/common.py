@@ -27,7 +27,11 @@ def hash_bits(*parts: Column, digits: int = 12) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
 
 
-def text_slices(column: pa.Array, limit: int = 1 << 21):
+#: Settings under which texts go to Python in batches of some MB, whatever their length.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+def text_slices(column: pa.Array, limit: int = 1 << 18):
     """(first row, last row, UTF-8 bytes, offsets) of runs of rows with at most ``limit`` bytes.
 
     A single longer text is a run of its own; NULL counts as empty.

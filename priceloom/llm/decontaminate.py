@@ -5,18 +5,20 @@ are streamed through it: after each word the automaton knows the longest run of
 ending here, that occurs in some item.  Where that run has the length of a window, all its
 words are hit; an item shorter than a window must occur whole.
 
-Items go into blocks of at most ``block_words`` words, one automaton each, so that what a
-task holds is bounded however long the benchmark is; texts pass through one block after
+Items go into blocks of about ``block_words`` words, one automaton each (some 400 bytes a word in a worker), so that what a
+task holds is bounded however long the benchmark or one of its items is; texts pass through one block after
 the other.
 
 Defined cases: NULL has no words and no hits; items without words have no windows; rows
-that repeat an item_id count as one item; extra columns pass through, clashing ones are
+that repeat an item_id count as one item; rows without an item_id count as one item, which has no name in the
+list of items; extra columns pass through, clashing ones are
 replaced; with an empty benchmark nothing is hit.
 """
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 WINDOW = 10
-BLOCK_WORDS = 500_000
+BLOCK_WORDS = 250_000
 _WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 HIT = "struct<n_words:bigint,spans:array<struct<first:int,last:int,begin:int,end:int>>,items:array<string>>"
@@ -39,23 +41,21 @@ def words_of(text: str | None) -> list[str]:
 class Automaton:
     """Suffix automaton of several word sequences.
 
-    State s stands for runs of ``link[s]``'s length + 1 to ``length[s]`` words; ``items[s]``
-    are the items with an occurrence of them, ``whole[s]`` the short items that are such a run.
+    State s stands for runs of ``link[s]``'s length + 1 to ``length[s]`` words; ``ended[s]`` are the short items that
+    are suffixes of them.  ``anchor[s]`` is the ancestor that the window at the end of its runs belongs to, and
+    ``items`` names the items for these states only.
     """
 
-    def __init__(self, items: list[tuple[str, list[str]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[str]]], window: int = WINDOW):
         self.window = window
         self.step: list[dict[str, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        owner: list[set[str]] = [set()]
-        whole: list[set[str]] = [set()]
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        seen_at, seen_of, whole = array("i"), array("i"), {}
 
         def state(length, step, link):
             self.step.append(step)
             self.length.append(length)
             self.link.append(link)
-            owner.append(set())
-            whole.append(set())
             return len(self.step) - 1
 
         def split(p, word, q):
@@ -69,7 +69,7 @@ class Automaton:
                 p = self.link[p]
             return copy
 
-        for item, words in items:
+        for number, (_, words) in enumerate(items):
             last = 0
             for word in words:
                 if word in self.step[last]:
@@ -82,25 +82,33 @@ class Automaton:
                     if p >= 0:
                         self.link[new] = split(p, word, self.step[p][word])
                     last = new
-                owner[last].add(item)
+                if self.length[last] >= window:
+                    seen_at.append(last)
+                    seen_of.append(number)
             if 0 < len(words) < window:
-                whole[last].add(item)
-        # An occurrence of a run is one of its suffixes, too; whole short items are seen from all longer runs.
+                whole.setdefault(last, set()).add(number)
+        # A state's links lead to shorter ones: those with a window come after their ancestors here.
         order = sorted(range(1, len(self.step)), key=self.length.__getitem__)
-        for s in reversed(order):
-            owner[self.link[s]] |= owner[s]
-        ended: list[tuple[tuple[int, str], ...]] = [()] * len(self.step)
+        self.anchor = array("i", bytes(4 * len(self.step)))
+        self.ended: dict[int, tuple[tuple[int, str | None], ...]] = {}
         for s in order:
-            own = tuple((self.length[s], x) for x in sorted(whole[s]))
-            ended[s] = own + ended[self.link[s]]
-        self.items, self.ended = owner, ended
+            up = self.link[s]
+            if self.length[s] >= window:
+                self.anchor[s] = s if self.length[up] < window else self.anchor[up]
+            own = tuple((self.length[s], items[x][0]) for x in sorted(whole.get(s, ())))
+            if own or up in self.ended:
+                self.ended[s] = own + self.ended.get(up, ())
+        self.items: dict[int, set[str | None]] = {}
+        for s, x in zip(seen_at, seen_of):
+            self.items.setdefault(self.anchor[s], set()).add(items[x][0])
         self.shortest = min([window, *(len(w) for _, w in items if w)])
 
-    def hits(self, words: list[str]) -> tuple[list[list[int]], set[str]]:
+    def hits(self, words: list[str]) -> tuple[list[list[int]], set[str | None]]:
         """Merged [first, last] runs of hit words, and the items with an occurring window."""
         spans: list[list[int]] = []
-        found: set[str] = set()
-        step, link, length, ended, window, shortest = self.step, self.link, self.length, self.ended, self.window, self.shortest
+        found: set[str | None] = set()
+        anchors: set[int] = set()
+        step, link, length, ended, anchor, window, shortest = self.step, self.link, self.length, self.ended, self.anchor, self.window, self.shortest
         s = run = 0
         for i, word in enumerate(words):
             to = step[s].get(word)
@@ -118,11 +126,9 @@ class Automaton:
                 continue
             reach = 0
             if run >= window:
-                reach, v = run, s
-                while length[link[v]] >= window:
-                    v = link[v]
-                found |= self.items[v]
-            if ended[s]:
+                reach = run
+                anchors.add(anchor[s])
+            if s in ended:
                 for size, item in ended[s]:
                     if size <= run:
                         found.add(item)
@@ -135,26 +141,42 @@ class Automaton:
                     spans[-1][1] = i
                 else:
                     spans.append([first, i])
-        return spans, found
+        return spans, found.union(*(self.items[v] for v in anchors))
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
-    """The items, dealt by id to as many parts as keep a part near ``block_words`` words."""
-    total = benchmark.agg(F.sum(F.coalesce(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(0)))).first()[0] or 0
+def _blocks(benchmark: DataFrame, block_words: int, window: int) -> list[DataFrame]:
+    """The items (item_id, text), dealt to as many parts as keep a part near ``block_words`` words.
+
+    An item of more words than that comes in pieces, which overlap by one word less than a window and are
+    no shorter than one, so that they have the item's windows between them.
+    """
+    c = F.col
+    upper = "".join(map(chr, _LOWER))
+    words = F.regexp_extract_all(F.translate("text", upper, upper.lower()), F.lit(_WORDS.pattern), F.lit(0))
+    items = benchmark.filter("text IS NOT NULL").select("item_id", words.alias("words")).filter(F.size("words") > 0)
+    many = F.size("words")
+    start = F.when(many > max(block_words, window), F.sequence(F.lit(0), many - window, F.lit(block_words))).otherwise(F.array(F.lit(0)))
+    items = items.withColumn("at", F.explode(start)).withColumn("words", F.when(many > max(block_words, window), F.slice(
+        "words", c("at") + 1, F.lit(block_words + window - 1))).otherwise(c("words")))
+    total = items.agg(F.sum(F.size("words"))).first()[0] or 0
     count = -(-total // block_words) or 1
-    return [benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k) for k in range(count)]
+    items = items.withColumn("text", F.array_join("words", " "))
+    return [items.filter(F.pmod(F.xxhash64("item_id", "at"), F.lit(count)) == k).select("item_id", "text") for k in range(count)]
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with ``hit``: number of words, spans (first and last word; code points begin, end) and item ids."""
     docs = docs.drop("hit").withColumn("hit", F.lit(None).cast(HIT))
-    for part in _blocks(benchmark, block_words):
+    for part in _blocks(benchmark, block_words, window):
         # A block is bounded, so it can go to the driver and to every executor.
-        items = [(str(r[0]), r[1]) for r in part.select("item_id", "text").orderBy("item_id").collect()]
-        held = docs.sparkSession.sparkContext.broadcast(items)
+        items = [(None if r[0] is None else str(r[0]), r[1]) for r in part.orderBy("item_id", "text").collect()]
+        held = docs.sparkSession.sparkContext.broadcast({"items": items})
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton([(k, words_of(t)) for k, t in held.value], window)
+            block = held.value
+            if "automaton" not in block:  # built once in a worker, which keeps the broadcast between tasks
+                block["automaton"] = Automaton([(k, words_of(t)) for k, t in block["items"]], window)
+            automaton = block["automaton"]
             for batch in batches:
                 at, kind = batch.schema.get_field_index("hit"), batch.schema.field("hit").type
                 out = []
@@ -167,7 +189,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
                         spans = merge(spans + [[x["first"], x["last"]] for x in seen["spans"]])
                     found |= set(seen["items"]) if seen else set()
                     places = placed(lower, spans) if spans else []
-                    out.append({"n_words": len(words), "spans": places, "items": sorted(found)})
+                    out.append({"n_words": len(words), "spans": places, "items": sorted(found, key=lambda x: (x is None, x or ""))})
                 yield batch.set_column(at, batch.schema.field(at).with_type(kind), pa.array(out, kind))
 
         docs = docs.mapInArrow(scan, docs.schema)

@@ -5,10 +5,15 @@ the hash range.  Because the threshold is the same for all texts, the sketch of
 the union of the sketches, and the shared part of two sketches estimates containment even
 where one text is a hundred times the other.
 
+A text of at most ``WHOLE`` shingles keeps all of them: its sketch is whole, which a hash above the threshold shows.
+Two whole sketches are compared exactly.  Beside a sampled one, only hashes below the threshold count, of both;
+so the law of unions holds for what is below the threshold in any sketch (``merged``).
+
 Defined cases: NULL is the empty text; a text with fewer words than a shingle is one
-shingle, a text without words has the empty sketch; a text none of whose hashes passes the
-threshold keeps its smallest one, so that short texts can be compared too.  Two empty
-sketches have likeness 1, an empty and another one 0.  Rows that repeat are kept, each with
+shingle, a text without words has the empty sketch.  Two empty
+sketches have likeness and containment 1, an empty and another one 0.  A short text none of whose hashes is below the threshold
+cannot be looked for in a sampled sketch: containment is NULL, likeness 0 (at most WHOLE shared
+shingles cannot be much of the longer text).  Rows that repeat are kept, each with
 its own result; extra columns pass through.
 """
 from __future__ import annotations
@@ -20,6 +25,8 @@ from pyspark.sql.window import Window
 SHINGLE = 5
 #: One hash in 2**KEEP_BITS is kept.
 KEEP_BITS = 3
+#: Texts of at most so many shingles (repeated ones counted) keep all hashes; of more, 1 in 5,000 keeps none.
+WHOLE = 64
 #: About so many documents are ordered together when neighbours are looked up.
 RUN_ROWS = 512
 QUANTILES = 200
@@ -36,9 +43,8 @@ def sketch(text: Column, width: int = SHINGLE, keep_bits: int = KEEP_BITS) -> Co
         return F.when(F.size(array) >= width, many).when(F.size(array) > 0, few).otherwise(F.array().cast("array<bigint>"))
 
     def cut(all_hashes: Column) -> Column:
-        kept = F.array_distinct(F.filter(all_hashes, lambda h: F.shiftrightunsigned(h, 64 - keep_bits) == 0))
-        least = F.array_compact(F.array(F.array_min(F.transform(all_hashes, lambda h: F.shiftrightunsigned(h, 1)))))
-        return F.when(F.size(kept) > 0, F.array_sort(kept)).otherwise(least)
+        kept = F.when(F.size(all_hashes) <= WHOLE, all_hashes).otherwise(sampled(all_hashes, keep_bits))
+        return F.array_sort(F.array_distinct(kept))
 
     # Through one-element arrays, so that words and hashes are computed once and not per use.
     return F.get(F.transform(F.transform(F.array(words), hashes), cut), 0)
@@ -49,16 +55,38 @@ def encoded(kept: Column) -> Column:
     return F.array_join(F.transform(kept, lambda h: F.lower(F.hex(h))), ",")
 
 
-def likeness(a: Column, b: Column) -> Column:
+def sampled(hashes: Column, keep_bits: int = KEEP_BITS) -> Column:
+    """The hashes below the threshold."""
+    return F.filter(hashes, lambda h: F.shiftrightunsigned(h, 64 - keep_bits) == 0)
+
+
+def _comparable(a: Column, b: Column, keep_bits: int, then) -> Column:
+    """then(a, b) of what two sketches have in common terms: all hashes if both are whole, else those below the threshold."""
+    whole = lambda x: (F.size(x) == 0) | F.exists(x, lambda h: F.shiftrightunsigned(h, 64 - keep_bits) != 0)
+    exact = whole(a) & whole(b)
+    pair = F.struct(F.when(exact, a).otherwise(sampled(a, keep_bits)).alias("a"), F.when(exact, b).otherwise(sampled(b, keep_bits)).alias("b"))
+    return F.get(F.transform(F.array(pair), lambda p: then(p["a"], p["b"])), 0)
+
+
+def likeness(a: Column, b: Column, keep_bits: int = KEEP_BITS) -> Column:
     """Estimated Jaccard resemblance of the shingle sets."""
-    shared = F.size(F.array_intersect(a, b))
-    joint = F.size(a) + F.size(b) - shared
-    return F.when(joint == 0, 1.0).otherwise(shared / joint)
+    def share(x: Column, y: Column) -> Column:
+        shared = F.size(F.array_intersect(x, y))
+        joint = F.size(x) + F.size(y) - shared
+        return F.when(joint > 0, shared / joint).when(F.size(a) == F.size(b), 1.0).otherwise(0.0)
+
+    return _comparable(a, b, keep_bits, share)
+
+
+def containment(a: Column, b: Column, keep_bits: int = KEEP_BITS) -> Column:
+    """Estimated share of the first text's shingles that the second holds; NULL where the sketches cannot tell."""
+    return _comparable(a, b, keep_bits, lambda x, y: F.when(F.size(a) == 0, 1.0).when(F.size(b) == 0, 0.0).when(
+        F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.size(x)))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the first text's shingles that the second holds."""
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def merged(a: Column, b: Column, keep_bits: int = KEEP_BITS) -> Column:
+    """The part below the threshold of the sketch of both texts' shingles together."""
+    return F.array_sort(F.array_union(sampled(a, keep_bits), sampled(b, keep_bits)))
 
 
 def _in_runs(rows: DataFrame, ids: DataFrame, run_rows: int, quantiles: int) -> DataFrame:

@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, text_slices
+from .common import SMALL_BATCHES, table, text_slices
+from .links import components
 
 SHINGLE = 5
 #: Per cent.
@@ -44,7 +45,7 @@ THRESHOLD = 80
 SIGNATURES, PER_SIGNATURE = 4, 3
 #: The sketch of token counts has 2**CELL_BITS cells in 2**CHUNK_BITS parts: 32 MB, whatever the corpus.
 CELL_BITS, CHUNK_BITS = 25, 7
-FLUSH = 8_000_000
+FLUSH = 2_000_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -156,10 +157,14 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield parts(held)
 
     def parts(held):
-        cells, counts = np.unique(np.concatenate(held), return_counts=True)
-        dense = np.zeros(1 << CELL_BITS, np.uint8)
-        dense[cells] = np.minimum(counts, 255)
-        packed = [zlib.compress(x.tobytes(), 1) for x in np.split(dense, 1 << CHUNK_BITS)]
+        cells = np.concatenate(held)
+        cells.sort()
+        width = 1 << CELL_BITS - CHUNK_BITS
+        cuts = np.searchsorted(cells, np.arange((1 << CHUNK_BITS) + 1) * width)
+        packed = []
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            part = np.minimum(np.bincount(cells[a:b] - k * width, minlength=width), 255).astype(np.uint8)
+            packed.append(zlib.compress(part.tobytes(), 1))
         return pa.RecordBatch.from_arrays([pa.array(range(len(packed)), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "cells"])
 
     return docs.select("text").mapInArrow(scan, "chunk int, cells binary")
@@ -189,10 +194,11 @@ def rarity(parts: DataFrame, mean: float) -> bytes:
     return b"".join(known.get(k, bytes(1 << CELL_BITS - CHUNK_BITS)) for k in range(1 << CHUNK_BITS))
 
 
-def postings(docs: DataFrame, levels: bytes, percent: int = THRESHOLD) -> DataFrame:
-    """(token, key, n, place): the prefix of every set, rare tokens first.  A task writes a set once, however many copies it has."""
-    sent = docs.sparkSession.sparkContext.broadcast(levels)
+def postings(docs: DataFrame, sent, percent: int = THRESHOLD) -> DataFrame:
+    """(token, key, n, place): the prefix of every set, rare tokens first.  A task writes a set once, however many copies it has.
 
+    sent: the broadcast levels of ``rarity``.
+    """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(sent.value, np.uint8)
         seen: set[bytes] = set()
@@ -252,36 +258,22 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(scan, "a bigint, b bigint, common bigint, joint bigint")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, home): the smallest node reachable, for every node that has a link.  Alternates large and small stars."""
-    from ..session import materialize
+def similarity_groups(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of docs (doc_id, text)."""
+    from ..session import settings
 
-    c = F.col
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(c("v").alias("u"), c("u").alias("v")))
-        low = F.least(F.min("v").over(Window.partitionBy("u")), c("u"))
-        large = both.withColumn("m", low).filter(c("v") > c("u")).select(c("v").alias("u"), c("m").alias("v")).filter("u != v").distinct()
-        nearest = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        small = nearest.select(F.explode(F.array(F.struct("u", c("m").alias("v")), F.struct(c("v").alias("u"), c("m").alias("v")))).alias("e")).select("e.*")
-        edges = materialize(small.filter("u != v").distinct(), "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    nodes = edges.select(c("u").alias("node"), c("v").alias("home"))
-    return nodes.unionByName(nodes.select(c("home").alias("node"), "home")).groupBy("node").agg(F.min("home").alias("home"))
+    # All that goes through Python is written inside.
+    with settings(docs.sparkSession, SMALL_BATCHES):
+        return _groups(docs, percent)
 
 
-def similarity_groups(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of docs (doc_id, text)."""
+def _groups(docs: DataFrame, percent: int) -> DataFrame:
     from ..session import discard, materialize
 
     c = F.col
     rows = materialize(profiles(docs), "profiles")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    levels = rarity(sketches(docs), total / (1 << CELL_BITS))
+    levels = docs.sparkSession.sparkContext.broadcast(rarity(sketches(docs), total / (1 << CELL_BITS)))
     sets = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(
         F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     # A set's node is the smallest id that has it; if that id has other sets, they get numbers above all ids.
@@ -295,6 +287,7 @@ def similarity_groups(docs: DataFrame, percent: int = THRESHOLD) -> DataFrame:
         "token", F.xxhash64("key").alias("k"), (F.shiftleft(c("n").cast("long"), 32) + c("place")).alias("at"))
     lists = lists.withColumns({"_low": F.min("k").over(by_token), "_high": F.max("k").over(by_token)})
     lists = materialize(lists.filter("_low != _high").select("token", "k", "at"), "lists")
+    levels.destroy()  # 32 MB in the driver and every executor
     asked = sets.join(lists.select("k").distinct(), "k", "left_semi")
 
     def contents(pairs: DataFrame) -> DataFrame:

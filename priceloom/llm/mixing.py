@@ -189,28 +189,9 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     return out.repartitionById(shards * ranges, part.cast("int")).sortWithinPartitions("_shard", "_d.position").select(*docs.columns)
 
 
-OP1_SQL = r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-  ('0x'||substr(md5('0|block|'||coalesce(CAST(doc_id AS VARCHAR),'null')),1,12))::BIGINT % 128 AS block,
-  ('0x'||substr(md5('0|inside|'||coalesce(CAST(doc_id AS VARCHAR),'null')),1,12))::BIGINT AS inside FROM documents),
- s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
- w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s),
- x AS (SELECT *, CASE place % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, source_size * 2.0::DOUBLE AS cap FROM w),
- l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER less, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER less, 0)) AS level
-  FROM x WINDOW less AS (ORDER BY cap / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
- g AS (SELECT source, source_size, least(cap, max(level) OVER () * w) AS target FROM l),
- b AS (SELECT source, block, sum(size) AS bs FROM d GROUP BY 1, 2),
- c AS (SELECT *, ('0x'||substr(md5('0|order|'||copy||'|'||coalesce(source,'null')||'|'||block),1,12))::BIGINT AS ord FROM b, (VALUES (0),(1)) v(copy)),
- e AS (SELECT *, sum(bs) OVER (PARTITION BY source ORDER BY copy, ord, block ROWS UNBOUNDED PRECEDING) AS fin FROM c),
- k AS (SELECT e.source, block, CASE WHEN fin <= floor(target) THEN bs ELSE floor(target) - (fin - bs) END AS take FROM e JOIN g ON e.source IS NOT DISTINCT FROM g.source
-  WHERE fin - bs < floor(target)),
- p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source, block ORDER BY inside, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
-SELECT p.doc_id, p.size, g.source_size, g.target, CAST(coalesce((SELECT sum(greatest(least(k.take - p.before, p.size), 0)) FROM k WHERE k.source IS NOT DISTINCT FROM p.source AND k.block = p.block), 0) AS BIGINT) AS taken
-FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source"""
-
-
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document."""
+    """What the mix takes of every document, and in which shard and place of it."""
     from ..session import materialize
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return mix(materialize(docs, "sizes")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(materialize(docs, "sizes")).select("doc_id", "size", "source_size", "target", "taken", "draws")

@@ -12,7 +12,8 @@ per (kind, bits): its size is bounded by the number of bits, not by the data.
 Base spans (exact patterns) are always kept.  Extra spans are looser writings of the same
 kinds that the classifier accepts and that overlap no other span.
 
-Defined cases: NULL is the empty text; offsets are code points, ends exclusive; rows that
+Defined cases: NULL is the empty text; offsets are code points, ends exclusive; runs of digits may
+have any length (leading zeros do not count); rows that
 repeat are treated alike; extra columns pass through, clashing ones are replaced; without
 any candidate the classifier accepts nothing.
 """
@@ -67,6 +68,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octets(text: str) -> bool:
+    """Whether all numbers are at most 255, however many digits and leading zeros they have."""
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in re.findall(r"[0-9]+", text)))
+
+
 def _digits(text: str) -> str:
     return re.sub(r"[^0-9]", "", text)
 
@@ -85,7 +91,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             out.append((begin, m.end(), "email"))
             last = m.end()
     if "." in text:
-        out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if octets(m[0])]
     for m in _CARD.finditer(text):
         digits = _digits(m[0]) if m.end() - m.start() >= 12 else ""
         if 12 <= len(digits) <= 19 and luhn(digits):
@@ -108,7 +114,7 @@ def loose_spans(text: str) -> list[tuple[int, int, str]]:
 def bits_of(text: str, begin: int, end: int, kind: str, exact: bool) -> int:
     span, digits = text[begin:end], _digits(text[begin:end])
     near = re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)?", text[max(0, begin - _NEAR):begin].lower())[-4:]
-    check = {"email": lambda: bool(re.search(r"[.)\]}] ?[A-Za-z]{2,24}\Z", span)), "ip": lambda: all(int(p) <= 255 for p in re.findall(r"[0-9]+", span)),
+    check = {"email": lambda: bool(re.search(r"[.)\]}] ?[A-Za-z]{2,24}\Z", span)), "ip": lambda: octets(span),
              "card": lambda: luhn(digits), "phone": lambda: len(set(digits)) > 2}[kind]()
     usual = {"email": 6 <= len(span) <= 60, "ip": len(re.findall(r"[0-9]+", span)) == 4, "card": 13 <= len(digits) <= 16, "phone": 9 <= len(digits) <= 13}[kind]
     shape = {"email": " " not in span.strip(), "ip": "  " not in span, "card": not re.search(r"[-\x20]{2}", span), "phone": bool(re.search(r"[\x20().-]", span))}[kind]

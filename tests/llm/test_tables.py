@@ -67,6 +67,53 @@ def test_targets_and_taken(spark):
     assert {r.text for r in whole.select("text").distinct().collect()} <= {t for _, t, _ in rows}
 
 
+TAKEN_SQL = r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  ('0x'||substr(md5('0|block|'||coalesce(CAST(doc_id AS VARCHAR),'null')),1,12))::BIGINT % 128 AS block,
+  ('0x'||substr(md5('0|inside|'||coalesce(CAST(doc_id AS VARCHAR),'null')),1,12))::BIGINT AS inside FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+ w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s),
+ x AS (SELECT *, CASE place % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, source_size * 2.0::DOUBLE AS cap FROM w),
+ l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER less, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER less, 0)) AS level
+  FROM x WINDOW less AS (ORDER BY cap / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ g AS (SELECT source, source_size, least(cap, max(level) OVER () * w) AS target FROM l),
+ b AS (SELECT source, block, sum(size) AS bs FROM d GROUP BY 1, 2),
+ c AS (SELECT *, ('0x'||substr(md5('0|order|'||copy||'|'||coalesce(source,'null')||'|'||block),1,12))::BIGINT AS ord FROM b, (VALUES (0),(1)) v(copy)),
+ e AS (SELECT *, sum(bs) OVER (PARTITION BY source ORDER BY copy, ord, block ROWS UNBOUNDED PRECEDING) AS fin FROM c),
+ k AS (SELECT e.source, block, CASE WHEN fin <= floor(target) THEN bs ELSE floor(target) - (fin - bs) END AS take FROM e JOIN g ON e.source IS NOT DISTINCT FROM g.source
+  WHERE fin - bs < floor(target)),
+ p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source, block ORDER BY inside, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT p.doc_id, p.size, g.source_size, g.target, CAST(coalesce((SELECT sum(greatest(least(k.take - p.before, p.size), 0)) FROM k WHERE k.source IS NOT DISTINCT FROM p.source AND k.block = p.block), 0) AS BIGINT) AS taken
+FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source"""
+
+
+def test_query_against_sql_and_its_draws(spark):
+    """Sizes, targets and words taken by SQL; shards and places by counting."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    rows = mixing.op1_mixing(spark, folder).collect()
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    expected = db.sql(TAKEN_SQL).fetchall()
+    key = lambda r: (r[0], *map(repr, r[1:3]), round(r[3], 6), r[4])
+    assert sorted(key(tuple(r)[:5]) for r in rows) == sorted(map(key, expected))
+    sources = dict(db.sql("SELECT doc_id, source FROM documents").fetchall())
+    assert all(r.taken == sum(d.words for d in r.draws) and len({d.copy for d in r.draws}) == len(r.draws) for r in rows)
+    shards = collections.defaultdict(set)  # a block of a pass goes to one shard
+    for r in rows:
+        for d in r.draws:
+            block = int(hashlib.md5(f"0|block|{r.doc_id}".encode()).hexdigest()[:12], 16) % mixing.BLOCKS
+            shards[sources[r.doc_id], d.copy, block].add(d.shard)
+    assert all(len(s) == 1 for s in shards.values())
+    # As many blocks of each source in each shard as the tree deals.
+    blocks = collections.Counter((key[0], next(iter(s))) for key, s in shards.items())
+    quotas = collections.Counter(key[0] for key in shards)
+    names = sorted(quotas, key=lambda s: (s is None, s))
+    dealt = mixing.splitting_tree(spark.createDataFrame([(k, quotas[s]) for k, s in enumerate(names)], "place int, quota long")).collect()
+    assert {(names[r.place], r.shard): r.quota for r in dealt if r.quota} == dict(blocks)
+    assert len({d.shard for r in rows for d in r.draws}) == 2 ** mixing.LEVELS
+
+
 def test_mixed_rows_come_in_more_parts_than_shards(spark):
     rows = [(i, f"w{i} a b", "ab"[i % 2]) for i in range(600)]
     docs = docs_of(spark, rows)
@@ -175,6 +222,63 @@ def test_sketches_estimate_resemblance(spark):
     assert abs(len(prints[1].sketch) / len(grams(base)) - 1 / 8) < 0.03
 
 
+def spark_hash(words):
+    """Spark's 64-bit hash of several strings: each one's hash is the seed of the next."""
+    import xxhash
+
+    seed = 42
+    for w in words:
+        seed = xxhash.xxh64_intdigest(w.encode(), seed)
+    return seed
+
+
+def brute_sketch(text):
+    w = (text or "").lower().split()
+    grams = [w[i:i + 5] for i in range(len(w) - 4)] if len(w) >= 5 else [[" ".join(w)]] if w else []
+    hashes = {spark_hash(g) for g in grams}
+    return hashes if len(grams) <= fingerprint.WHOLE else {h for h in hashes if h >> 61 == 0}
+
+
+def test_fingerprints_against_plain_sketches(spark):
+    draw = random.Random(6)
+    words = [f"k{i}" for i in range(300)]
+    rows = [(i, " ".join(draw.choices(words, k=draw.choice([1, 4, 5, 20, 68, 69, 90, 900]))), "a") for i in range(80)] + [(80, "", "a"), (81, None, "a")]
+    rows += [(90 + i, " ".join(rows[i][1].split()[2:]), "a") for i in range(20)]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(docs_of(spark, rows)).collect()}
+    plain = {i: brute_sketch(t) for i, t, _ in rows}
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    for i, hashes in plain.items():
+        ordered = sorted(map(signed, hashes))
+        assert got[i].sketch == ordered
+        assert got[i].fingerprint == ",".join(f"{h & (2 ** 64 - 1):x}" for h in ordered)
+    pairs = [(a, b) for a in plain for b in plain if (a * 7 + b) % 5 == 0 or b == a + 90]
+    table = spark.createDataFrame([(a, b, got[a].sketch, got[b].sketch) for a, b in pairs], "i long, j long, a array<bigint>, b array<bigint>")
+    found = table.select("i", "j", fingerprint.likeness(F.col("a"), F.col("b")).cast("double").alias("l"), fingerprint.containment(F.col("a"), F.col("b")).cast("double").alias("c"),
+                         fingerprint.merged(F.col("a"), F.col("b")).alias("m")).collect()
+    whole = lambda s: not s or any(h >> 61 for h in s)
+    low = lambda s: {h for h in s if h >> 61 == 0}
+    for r in found:
+        a, b = plain[r.i], plain[r.j]
+        x, y = (a, b) if whole(a) and whole(b) else (low(a), low(b))
+        assert r.l == pytest.approx(len(x & y) / len(x | y) if x | y else float(len(a) == len(b)))
+        assert r.c == (1.0 if not a else 0.0 if not b else pytest.approx(len(x & y) / len(x)) if x else None)
+        assert r.m == sorted(low(a) | low(b))
+
+
+def test_short_texts_inside_longer_ones(spark):
+    draw = random.Random(8)
+    words = [f"k{i}" for i in range(3000)]
+    rows = []
+    for _ in range(300):
+        long = draw.choices(words, k=47)
+        at = draw.randrange(40)
+        rows.append((" ".join(long[at:at + 7]), " ".join(long), " ".join(draw.choices(words, k=7))))
+    table = spark.createDataFrame(rows, "a string, b string, o string")
+    a, b, o = (fingerprint.sketch(F.col(x)) for x in "abo")
+    got = table.select(fingerprint.containment(a, b).alias("inside"), fingerprint.containment(o, b).alias("outside")).collect()
+    assert all(r.inside == 1.0 and r.outside == 0.0 for r in got)
+
+
 def brute_groups(rows):
     sets = {}
     for i, text, _ in rows:

@@ -65,7 +65,7 @@ def brute_base(text):
     for k, (kind, pattern) in enumerate(patterns.items()):
         for m in re.finditer(pattern, text):
             digits = re.sub("[^0-9]", "", m[0])
-            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")) or kind == "phone" and not 9 <= len(digits) <= 15:
+            if kind == "ip" and not all(re.fullmatch("0*([0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])", x) for x in m[0].split(".")) or kind == "phone" and not 9 <= len(digits) <= 15:
                 continue
             if kind == "card" and not (12 <= len(digits) <= 19 and sum(sum(map(int, str(int(d) * (1 + i % 2)))) for i, d in enumerate(reversed(digits))) % 10 == 0):
                 continue
@@ -81,16 +81,19 @@ def test_base_spans_by_brute_force():
         assert pii.base_spans(text) == brute_base(text), text
     assert pii.base_spans("a" * 300 + "@b.cc") == [(0, 305, "email")]
     assert pii.base_spans("1" * 100_000) == []
+    for text in ("9" * 5000 + ".1.1.1", "1.1.1." + "9" * 5000, "0" * 5000 + "7.1.1.00255", "1.256.1.1", "0.0.0.0", "000.0.0.000", "1.1.1.1.1.1.1.1.1"):
+        assert pii.base_spans(text) == brute_base(text), text[:40]
+    assert [k for _, _, k in pii.base_spans("0" * 5000 + "7.1.1.00255")] == ["ip"]
 
 
 def test_pii_query_rows(spark):
     rows = [(1, None), (2, ""), (3, "mail x.y@site.org or 10.1.2.3"), (3, "mail x.y@site.org or 10.1.2.3"), (None, "+49 30 1234567"), (5, "call (555) 123-4567 now"),
-            (6, "write to jane.doe (at) site (dot) org please"), (7, "plain words 12 and 34")]
+            (6, "write to jane.doe (at) site (dot) org please"), (7, "plain words 12 and 34"), (8, "9" * 5000 + ".1.1.1"), (9, "0" * 5000 + "7.1.1.1 and 9[.]" + "9" * 5000)]
     docs = spark.createDataFrame(rows, DOCS).withColumn("spans", F.lit("old"))
     got = {r.doc_id: r.spans for r in pii.find_pii(docs).collect()}
     assert got[1] == got[2] == got[7] == []
     assert [(s.kind, s.begin, s.end, s.exact) for s in got[3]] == [("email", 5, 17, True), ("ip", 21, 29, True)]
-    assert [s.kind for s in got[None]] == ["phone"]
+    assert [s.kind for s in got[None]] == ["phone"] and got[8] == [] and [(s.kind, s.exact) for s in got[9]] == [("ip", True)]
     assert pii.find_pii(docs.filter("doc_id > 99")).count() == 0
 
 
@@ -148,6 +151,24 @@ def test_hits_by_brute_force(spark, block_words):
     assert got[-1].hit.n_words == 15_000 and sum(s.last - s.first + 1 for s in got[-1].hit.spans) == 15_000
 
 
+def test_items_without_id_and_long_items(spark):
+    draw = random.Random(11)
+    long = [f"w{draw.randrange(200)}" for _ in range(700)]
+    items = [(None, "alpha beta gamma"), (None, "delta epsilon"), ("None", "zeta eta"), ("long", " ".join(long)), ("long", "x y")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    texts = ["alpha beta gamma delta epsilon", "zeta eta", " ".join(long[95:140]), " ".join(long[40:49]), " ".join(long[:10] + ["no"] + long[-10:]), "x y " + " ".join(long)]
+    for block_words in (10 ** 6, 300):
+        got = decontaminate.find_hits(spark.createDataFrame(list(enumerate(texts)), DOCS), bench, block_words=block_words).orderBy("doc_id").collect()
+        assert [(sum(s.last - s.first + 1 for s in r.hit.spans), r.hit["items"]) for r in got] == [
+            (5, [None]), (2, ["None"]), (45, ["long"]), (0, []), (20, ["long"]), (702, ["long"])]
+
+
+def test_repeated_words_take_no_longer(spark):
+    automaton = decontaminate.Automaton([(str(k), ["a"] * 2000) for k in range(3)])
+    spans, found = automaton.hits(["a"] * 300_000)
+    assert spans == [[0, 299_999]] and found == {"0", "1", "2"}
+
+
 def test_removal(spark):
     leak = "one two three four five six seven eight nine ten eleven"
     bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
@@ -272,8 +293,82 @@ def test_every_language_is_learned(spark):
     assert seen.filter("lang = 'l00' AND lang_pred = 'l00'").count() >= 3
 
 
+def plain_language(weights, text):
+    """(label, score) by loops over bytes, windows and directions."""
+    data, sums = (text or "").encode(), np.zeros(len(weights["c"]))
+    n = weights["uf"].shape[1]
+    for at in range(0, len(data), langid.STEPS):
+        window = data[at:at + langid.STEPS].ljust(langid.STEPS, b"\0")
+        states = {}
+        for d in "fb":
+            h = np.zeros(n)
+            for t in range(langid.STEPS) if d == "f" else reversed(range(langid.STEPS)):
+                x, u = weights["x" + d][:, window[t]], weights["u" + d] @ h
+                z, r = np.clip(0.2 * (x + u)[:2 * n] + 0.5, 0, 1).reshape(2, n)
+                new = x[2 * n:] + r * u[2 * n:]
+                h = (1 - z) * new / (1 + np.abs(new)) + z * h
+                states[d, t] = h
+        for t, byte in enumerate(window):
+            if chr(byte).isalpha() and byte < 128 or byte >= 0xC3 or 0x80 <= byte < 0xC0:
+                logits = weights["vf"] @ states["f", t] + weights["vb"] @ states["b", t] + weights["c"][:, 0]
+                sums += np.exp(logits) / np.exp(logits).sum()
+    if not any(ch.isalpha() for ch in text or ""):
+        return "und", 0.0
+    return int(sums.argmax()), sums.max() / sums.sum()
+
+
+def test_language_against_plain_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    names, net = langid.train(langid.labelled(docs))
+    weights = {k: v.astype(float) for k, v in net.p.items()}
+    asked = docs.filter("doc_id < 40").select("doc_id", "text").unionByName(spark.createDataFrame([(1000, None), (1001, ""), (1002, "12 ?"), (1003, "é"), (1004, "a" * 64), (1005, "b" * 65)], DOCS))
+    for r in langid.predict(asked, names, net).collect():
+        label, score = plain_language(weights, r.text)
+        assert r.lang_pred == (label if label == "und" else names[label]) and r.score == pytest.approx(score, abs=1e-4)
+
+
 # Toxicity
 
+def plain_toxicity(slopes, bias, text):
+    """Score by loops: the largest mean over the passages of what their subwords say."""
+    plain = [32, *[b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in (text or "").encode()], 32]
+    passages = [[] for _ in range(-(-len(plain) // toxicity.PASSAGE))]
+    for n in toxicity.GRAMS:
+        for at in range(len(plain) - n + 1):
+            if 32 in plain[at + 1:at + n - 1]:
+                continue
+            h = n
+            for b in plain[at:at + n]:
+                h = (h ^ b) * 0x9E3779B97F4A7C15 % 2 ** 64
+                h ^= h >> 29
+            passages[at // toxicity.PASSAGE].append(slopes[(h >> 40) % toxicity.BUCKETS])
+    odds = max(np.mean(p) if p else 0.0 for p in passages) + bias
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
+def test_toxicity_against_plain_loops(spark):
+    bag = toxicity.Bag()
+    rows = toxic_rows(120, 3)
+    bag.fit([t for _, t, _ in rows], np.array([y for _, _, y in rows]))
+    asked = [(k, t) for k, t, _ in rows[:40]] + [(200, None), (201, ""), (202, "!"), (203, "é ß 日本"), (204, "ab"), (205, "x" * 95), (206, "y " * 300)]
+    slopes, bias = bag.slopes(), float(bag.b[1] - bag.b[0])
+    for r in toxicity.predict(spark.createDataFrame(asked, DOCS), bag).collect():
+        assert r.score == pytest.approx(plain_toxicity(slopes, bias, r.text), abs=1e-9) and r.predicted == int(r.score >= 0.5)
+
+
+def test_training_lowers_false_alarms(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = toxicity.labelled(docs, toxicity.sampled_labels(labels)).collect()
+    asked = docs.join(labels.filter("toxic = 0"), "doc_id").filter(toxicity.held_out(F.col("doc_id"))).select("doc_id", "text")
+    alarms = []
+    for epochs in (0, toxicity.EPOCHS):
+        bag = toxicity.Bag()
+        bag.fit([r.text or "" for r in known], np.array([r.toxic for r in known]), epochs=epochs)
+        alarms.append(toxicity.predict(asked, bag).agg(F.avg("predicted")).first()[0])
+    assert alarms[1] < 0.05 < 0.3 < alarms[0]
+
+
 def test_subwords_have_no_inner_border():
     data = "Ab, cdefg".encode()
     buckets, passage, ends = toxicity.subwords(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
