@@ -8,7 +8,6 @@ from ..config import MatchConfig
 from ..functions import specs as S
 from ..functions.similarity import sequence_ratio
 from ..functions.text import format_g, normalize_text
-from ..functions.units import compare_units
 from ..session import materialize
 from .stats import group_median, middle
 
@@ -200,43 +199,53 @@ def peer_baseline(lines: DataFrame, history: DataFrame, pairs: DataFrame, cfg: M
 
 # --- row scores --------------------------------------------------------------
 
-def base_scores(df: DataFrame, lex, cfg: MatchConfig) -> DataFrame:
-    """Component scores, score and confidence of pairs that carry their text scores.
-
-    Needs l_*/r_* columns of both sides, dice, spec_similarity, variant_points,
-    numeric_bonus, both_* flags and the three *_similarity ratios.
-    """
+def item_scores(df: DataFrame, lex) -> DataFrame:
+    """Score parts of (text, unit) pairs: needs both cores and stems, the line's and record's spec, dice, unit and the text scores."""
     c = F.col
-    df = compare_units(df, "l_unit", "r_unit", "r_price", "l_spec", "r_spec", "unit",
-                       ("l_unit_key", "r_unit_key"))
     stems = c("l_core_stem") == c("r_core_stem")
-    exact_code = (c("l_code_key") != "") & (c("l_code_key") == c("r_code_key"))
     exact_name = ((c("l_core") != "") & (c("l_core") == c("r_core"))) | (
         S.swapped_suffix(c("l_core"), c("r_core"), lex.suffix_swap) & stems
     )
-    clash_major = (c("l_major") != "") & (c("r_major") != "") & (c("l_major") != c("r_major"))
-    clash_cat = (c("l_category") != "") & (c("r_category") != "") & (c("l_category") != c("r_category"))
-    df = df.withColumns({
-        "exact_code": exact_code, "exact_name": exact_name, "category_ok": ~(clash_major | clash_cat),
-    })
+    df = df.withColumns({"exact_name": exact_name, "same_core": c("l_core") == c("r_core")})
     lifted = F.when(c("exact_name") & (c("r_spec") != ""), F.greatest(c("spec_similarity"), F.lit(0.4))).otherwise(c("spec_similarity"))
-    df = df.withColumns({
+    agreed = sum((F.when(c(f"both_{f}"), F.lit(3.0)).otherwise(F.lit(0.0)) for f in ("student", "teaching", "grouped")), F.lit(0.0))
+    return df.withColumns({
         "c_spec": F.round(lifted * WEIGHTS["参数"], 2),
-        "c_model": F.round(c("model_similarity") * WEIGHTS["型号"], 2),
         "c_name": F.round(c("dice") * WEIGHTS["名称"], 2),
-        "c_maker": F.round((c("maker_similarity") + c("brand_similarity")) / 2 * WEIGHTS["制造商/品牌"], 2),
         "c_unit": F.round(c("unit.score") * WEIGHTS["单位"], 2),
+        "agreed": agreed,
+    })
+
+
+def party_scores(df: DataFrame) -> DataFrame:
+    """Score parts of (model, brand, maker) pairs from their three similarities."""
+    c = F.col
+    return df.withColumns({
+        "c_model": F.round(c("model_similarity") * WEIGHTS["型号"], 2),
+        "c_maker": F.round((c("maker_similarity") + c("brand_similarity")) / 2 * WEIGHTS["制造商/品牌"], 2),
+    })
+
+
+def base_scores(df: DataFrame) -> DataFrame:
+    """Score of pairs that carry their item and party scores, before price consistency.
+
+    Needs codes, families and categories of both sides and the record's quality.
+    """
+    c = F.col
+    exact_code = (c("l_code_key") != "") & (c("l_code_key") == c("r_code_key"))
+    clash_major = (c("l_major") != "") & (c("r_major") != "") & (c("l_major") != c("r_major"))
+    clash_cat = (c("l_category") != "") & (c("r_category") != "") & (c("l_category") != c("r_category"))
+    df = df.withColumns({"exact_code": exact_code, "category_ok": ~(clash_major | clash_cat)})
+    df = df.withColumns({
         "c_quality": F.round(c("r_quality") * WEIGHTS["数据质量"], 2),
         "c_family": F.when(c("category_ok"), F.lit(FAMILY_POINTS)).otherwise(F.lit(0.0)),
     })
-    agreed = sum((F.when(c(f"both_{f}"), F.lit(3.0)).otherwise(F.lit(0.0)) for f in ("student", "teaching", "grouped")), F.lit(0.0))
     total = F.round(c("c_spec") + c("c_model") + c("c_name") + c("c_maker") + c("c_unit") + c("c_quality") + c("c_family"), 2)
     start = F.when(c("exact_code"), F.lit(100.0)).otherwise(
-        total + F.when(c("exact_name"), F.lit(5.0)).otherwise(F.lit(0.0)) + agreed)
+        total + F.when(c("exact_name"), F.lit(5.0)).otherwise(F.lit(0.0)) + c("agreed"))
     penalty = c("variant_points") + F.when(c("category_ok"), F.lit(0.0)).otherwise(F.lit(20.0))
-    df = df.withColumn("score", F.round(F.greatest(F.lit(0.0), start - penalty) + c("numeric_bonus"), 2))
-    blocked = (c("unit.status") == "incompatible") | (~c("category_ok") & ~c("exact_code")) | c("requirement_block")
-    return df.withColumn("confidence", confidence(c("score"), blocked, cfg))
+    base = F.round(F.greatest(F.lit(0.0), start - penalty) + c("numeric_bonus"), 2)
+    return df.withColumn("base_score", base).withColumn("score", c("base_score"))
 
 
 def confidence(score: Column, blocked: Column, cfg: MatchConfig) -> Column:
@@ -250,7 +259,7 @@ def with_price_consistency(df: DataFrame, cfg: MatchConfig) -> DataFrame:
     """Price agreement with the peer median, and the age of the quote."""
     c = F.col
     ratio = F.when((c("peer_median") != 0) & (c("r_price") != 0), c("r_price") / F.when(c("peer_median") != 0, c("peer_median")))
-    same = c("l_core") == c("r_core")
+    same = c("same_core")
     extreme = same & ~c("token_match") & ((ratio > 4.0) | (ratio < 0.25))
     df = df.withColumn("price_extreme", F.coalesce(extreme, F.lit(False)))
     points = (
