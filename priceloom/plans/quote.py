@@ -89,7 +89,7 @@ def quote(lines: DataFrame, history: DataFrame, lex, cfg: MatchConfig = MatchCon
     shown = X.diversify(cands.select(
         "line_id", c("r_id").alias("id"), "base", "is_default", c("r_core").alias("core"), c("l_core").alias("line_core"),
         c("r_price").alias("price"),
-        ((line_cat == "") | (c("r_category") == "") | (line_cat == c("r_category"))).alias("category_fits")), cfg.price_gap)
+        ((line_cat == "") | (c("r_category") == "") | (line_cat == c("r_category"))).alias("category_fits")), cfg.price_gap, cfg.keep)
     extra = P.surcharge(c("r_code_key"), P.line_text_key(c("l_name"), c("l_spec")), lex)
     options = cands.join(shown.withColumnRenamed("id", "r_id"), ["line_id", "r_id"]).withColumn("extra", extra)
     options = options.withColumns({

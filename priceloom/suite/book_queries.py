@@ -114,7 +114,22 @@ def reconcile_summary(spark, sf):
   UNION ALL SELECT false, k1,k2,k3,'', id, row_number() OVER (PARTITION BY k1,k2,k3 ORDER BY id) FROM h)
  SELECT seq, CAST(position AS INTEGER) AS position, id FROM a2 JOIN r ON r.fl=a2.fl AND r.k1=a2.k1 AND r.k2=a2.k2 AND r.k3=a2.k3 AND r.k4=a2.k4 WHERE action='ambiguous' AND position<=5"""))
 def ambiguous_targets(spark, sf):
-    return RC.ambiguous_targets(RC.reconcile(offer(spark, sf), V.history(spark, sf)), V.history(spark, sf))
+    return RC.ambiguous_targets(RC.reconcile(offer(spark, sf), V.history(spark, sf)), V.history(spark, sf)).select("seq", "position", "id")
+
+
+@query("ambiguous_merges", V.with_views(f"""WITH {RECON}, r AS (SELECT true AS fl, *, row_number() OVER (PARTITION BY {norm('name')},{norm('spec')},{norm('unit')},{norm('manufacturer')} ORDER BY id) AS position FROM hist
+  UNION ALL SELECT false, *, row_number() OVER (PARTITION BY {norm('name')},{norm('spec')},{norm('unit')} ORDER BY id) FROM hist),
+ m AS (SELECT a2.seq, r.position, r.id, r.source_file, r.source_row, r.fl, a2.name AS fname, a2.price AS fprice, a2.brand AS fbrand, o.manufacturer AS fman, o.product_code AS fcode, r.name, r.price, r.brand, r.manufacturer, r.product_code
+  FROM a2 JOIN feed o ON o.seq=a2.seq JOIN r ON r.fl=a2.fl AND {norm('r.name')}=a2.k1 AND {norm('r.spec')}=a2.k2 AND {norm('r.unit')}=a2.k3 AND (NOT r.fl OR {norm('r.manufacturer')}=a2.k4) WHERE action='ambiguous' AND r.position<=5)
+ SELECT seq, CAST(position AS INTEGER) AS position, id, source_file, source_row, fname AS merged_name, fprice AS merged_price, CASE WHEN fl THEN fman ELSE manufacturer END AS merged_manufacturer, price AS current_price,
+  array_to_string(list_filter([CASE WHEN fname IS DISTINCT FROM name THEN 'name' END, CASE WHEN fl AND fman IS DISTINCT FROM manufacturer THEN 'manufacturer' END, CASE WHEN fbrand IS DISTINCT FROM brand THEN 'brand' END, CASE WHEN fl AND fcode IS DISTINCT FROM product_code THEN 'product_code' END,
+   CASE WHEN fprice IS DISTINCT FROM price THEN 'price' END], lambda x: x IS NOT NULL), ',') AS changed FROM m"""))
+def ambiguous_merges(spark, sf):
+    found = RC.ambiguous_targets(RC.reconcile(offer(spark, sf), V.history(spark, sf)), V.history(spark, sf))
+    order = F.array(*[F.lit(f) for f in ("name", "manufacturer", "brand", "product_code", "price")])
+    changed = F.filter(order, lambda f: F.array_contains("changed", f))
+    return found.select("seq", "position", "id", "source_file", "source_row", "merged_name", "merged_price", "merged_manufacturer", "current_price",
+                        F.array_join(changed, ",").alias("changed"))
 
 
 @query("claim_targets", V.with_views("SELECT id AS seq, product_code AS target_id, min(id) OVER (PARTITION BY product_code) AS claimed_by FROM hist"))

@@ -187,15 +187,67 @@ def name_gate(spark, sf):
     return pairs.select("line_core", "record_core", F.round("dice", 9).alias("dice"), "gate", "gate_trusted")
 
 
-@query("scored_pool")
+# Specifications of the sample: words and one length.  Lengths that differ share nothing (-0.2); within two per cent they lift, beyond 1.5 times they lower.
+SPEC_SQL = f"""ls AS (SELECT DISTINCT spec, {norm('spec')} AS k, CAST(regexp_extract(spec,'([0-9]+) ?mm',1) AS DOUBLE) AS x FROM inq),
+ rs AS (SELECT DISTINCT spec, {norm('spec')} AS k, CAST(regexp_extract(spec,'([0-9]+) ?mm',1) AS DOUBLE) AS x FROM hist),
+ lsg AS (SELECT k, g, count(*) AS n FROM (SELECT k, unnest([substr(k, CAST(i AS INTEGER), 2) for i in range(1, length(k))]) AS g FROM (SELECT DISTINCT k FROM ls)) GROUP BY ALL),
+ rsg AS (SELECT k, g, count(*) AS n FROM (SELECT k, unnest([substr(k, CAST(i AS INTEGER), 2) for i in range(1, length(k))]) AS g FROM (SELECT DISTINCT k FROM rs)) GROUP BY ALL),
+ sd AS (SELECT lsg.k AS a, rsg.k AS b, 2.0::DOUBLE*sum(least(lsg.n, rsg.n))/(length(lsg.k)+length(rsg.k)-2) AS d FROM lsg JOIN rsg USING (g) GROUP BY lsg.k, rsg.k),
+ sp AS (SELECT l_spec, r_spec, CASE WHEN a=b THEN 1.0::DOUBLE WHEN y/x BETWEEN 0.98 AND 1.02 THEN least(1.0::DOUBLE, w*0.7::DOUBLE+0.3::DOUBLE) WHEN y/x>1.5 OR y/x<1/1.5::DOUBLE THEN w*0.6::DOUBLE ELSE w END AS s
+  FROM (SELECT ls.spec AS l_spec, rs.spec AS r_spec, a, b, ls.x, rs.x AS y, least(1.0::DOUBLE, 0.65::DOUBLE*d + CASE WHEN ls.x=rs.x THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN ls.x=rs.x THEN 0.0::DOUBLE ELSE -0.2::DOUBLE END) AS w
+   FROM sd JOIN ls ON ls.k=sd.a JOIN rs ON rs.k=sd.b))"""
+
+
+@query("parameter_similarity", V.with_views(f"WITH {SPEC_SQL} SELECT l.spec AS line_spec, r.spec AS record_spec, round(any_value(s), 9) AS similarity {PAIRS_SQL} JOIN sp ON sp.l_spec=l.spec AND sp.r_spec=r.spec GROUP BY ALL"))
+def parameter_similarity(spark, sf):
+    pairs = code_pairs(spark, sf).select("l_spec", "r_spec").distinct()
+    texts = pairs.select(c("l_spec").alias("spec")).union(pairs.select("r_spec")).distinct()
+    facts = S.with_spec_text(S.with_spec_facts(texts, c("spec"), "f", DEMO, ("span", "caps")), c("spec"), "t")
+    left, right = facts.select(c("spec").alias("l_spec"), c("t").alias("lt"), c("f").alias("lf")), facts.select(c("spec").alias("r_spec"), c("t").alias("rt"), c("f").alias("rf"))
+    df = pairs.join(left, "l_spec").join(right, "r_spec")
+    return df.select(c("l_spec").alias("line_spec"), c("r_spec").alias("record_spec"),
+                     F.round(S.parameter_similarity(c("lt"), c("lf"), c("rt"), c("rf")), 9).alias("similarity"))
+
+
+# Lines and records by name, family and category; a line with too few compatible records takes all.
+POOL_SQL = f"""l0 AS (SELECT line_id, {core('name')} AS core, spec, {category('name')} AS cat, CASE WHEN length(product_code)=5 THEN {MAJOR_SQL} ELSE '' END AS major FROM inq),
+ r0 AS (SELECT id, {core('name')} AS core, spec, {category('name')} AS cat, CASE WHEN length(product_code)=5 THEN {MAJOR_SQL} ELSE '' END AS major FROM hist),
+ rc0 AS (SELECT cat, major, count(*) AS n FROM r0 GROUP BY ALL),
+ lk AS (SELECT core, spec, major, cat, coalesce((SELECT sum(n) FROM rc0 WHERE (lx.major='' OR rc0.major='' OR lx.major=rc0.major) AND (lx.cat='' OR rc0.cat='' OR lx.cat=rc0.cat)),0)<8 AS fallback
+  FROM (SELECT DISTINCT core, spec, major, cat FROM l0) lx)"""
+
+
+@query("scored_pool", V.with_views(f"""WITH {SIMILAR_SQL}, {SPEC_SQL}, {POOL_SQL}
+ SELECT core, spec, major, category, rowid_ AS rowid, round(strength, 9) AS strength FROM (SELECT lk.core, lk.spec, lk.major, lk.cat AS category, r0.id AS rowid_, greatest(sim.dice, 0.7::DOUBLE*coalesce(sp.s, 0.0)) AS strength,
+  row_number() OVER (PARTITION BY lk.core, lk.spec, lk.major, lk.cat ORDER BY greatest(sim.dice, 0.7::DOUBLE*coalesce(sp.s, 0.0)) DESC, r0.id) AS n
+  FROM lk JOIN sim ON sim.line_core=lk.core AND sim.dice>=0.15 JOIN r0 ON r0.core=sim.record_core
+  AND (lk.fallback OR ((lk.major='' OR r0.major='' OR lk.major=r0.major) AND (lk.cat='' OR r0.cat='' OR lk.cat=r0.cat))) LEFT JOIN sp ON sp.l_spec=lk.spec AND sp.r_spec=r0.spec) WHERE n<=250"""))
 def scored_pool(spark, sf):
     from ..plans.match import prepare
 
     cfg = MatchConfig()
     p = prepare(V.inquiry(spark, sf), V.history(spark, sf), DEMO, cfg)
     best = C.scored_pool(p.lines, p.history, p.pairs, lambda x: R.spec_similarity_of(x, p.line_texts, p.record_texts), cfg)
-    return best.groupBy("core", "spec", "major", "category").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("rowid").alias("first_rowid"), F.round(F.min("strength"), 6).alias("weakest"))
+    return best.select("core", "spec", "major", "category", "rowid", F.round("strength", 9).alias("strength"))
+
+
+@query("score_parts", V.with_views(f"""WITH {SIMILAR_SQL}, {SPEC_SQL}
+ SELECT line_id, id, {half_up("(CASE WHEN same THEN greatest(s, 0.4::DOUBLE) ELSE s END)*40", 2)} AS c_spec, {half_up('dice*13', 2)} AS c_name,
+  CASE WHEN lu='' THEN 3.6 WHEN lu=ru THEN 9.0 WHEN lu='box' OR ru='box' THEN 0.0 ELSE 6.3 END::DOUBLE AS c_unit, 3.33::DOUBLE AS c_quality, CASE WHEN fam THEN 6.0 ELSE 0.0 END::DOUBLE AS c_family
+ FROM (SELECT l.line_id, r.id, l.unit AS lu, r.unit AS ru, coalesce(sp.s, 0.0) AS s, {core('l.name')} = {core('r.name')} OR (((suffix({core('l.name')},'ring') AND suffix({core('r.name')},'rod')) OR (suffix({core('l.name')},'rod') AND suffix({core('r.name')},'ring')))
+   AND regexp_replace({core('l.name')},'small|large|red|blue','','g') = regexp_replace({core('r.name')},'small|large|red|blue','','g')) AS same,
+   CASE WHEN {core('l.name')} = {core('r.name')} THEN 1.0 ELSE coalesce(sim.dice, 0.0) END AS dice, ({category('l.name')})='' OR ({category('r.name')})='' OR ({category('l.name')}) = ({category('r.name')}) AS fam
+  {PAIRS_SQL} LEFT JOIN sp ON sp.l_spec=l.spec AND sp.r_spec=r.spec LEFT JOIN sim ON sim.line_core={core('l.name')} AND sim.record_core={core('r.name')})"""))
+def score_parts(spark, sf):
+    """The parts of the score of all pairs found by code."""
+    from ..plans import match as M
+
+    cfg = MatchConfig()
+    p = M.prepare(V.inquiry(spark, sf), V.history(spark, sf), DEMO, cfg)
+    pool = M.assemble_pool(p, DEMO, cfg)
+    items = M.item_pairs(pool, p, DEMO, S.variant_rules(c("lf"), c("rf"), DEMO))
+    pairs = pool.few.filter("origin = 0").join(items, M.ITEM).join(M.party_pairs(pool, p), M.PARTY)
+    return R.base_scores(pairs).select("line_id", c("r_rowid").alias("id"), "c_spec", "c_name", "c_unit", "c_quality", "c_family")
 
 
 @query("convert_units", V.with_views(f"""SELECT l.line_id, r.id, CASE WHEN l.unit='' THEN 'missing' WHEN l.unit=r.unit THEN 'exact' WHEN l.unit='box' OR r.unit='box' THEN 'incompatible' ELSE 'convertible' END AS status,
@@ -325,8 +377,16 @@ def estimate_pool(spark, sf):
 
 @query("vendor_name_ratio")
 def vendor_name_ratio(spark, sf):
-    pairs = code_pairs(spark, sf).select(normalize_text(c("l_brand")).alias("a_key"), normalize_text(c("r_manufacturer")).alias("b_key"))
-    return R.ratio_table(pairs, [("a_key", "b_key")]).select("a", "b", F.round("ratio", 6).alias("ratio"))
+    """How like each other brands and makers are where a score asks for it: the party pairs of the match."""
+    from ..plans import match as M
+
+    cfg = MatchConfig()
+    p = M.prepare(V.inquiry(spark, sf), V.history(spark, sf), DEMO, cfg)
+    pairs = M.party_pairs(M.assemble_pool(p, DEMO, cfg), p)
+    keys = p.parties.select("party", "brand_key", "maker_key")
+    named = pairs.join(C.prefix(keys, "l"), "l_party").join(C.prefix(keys, "r"), "r_party")
+    return named.select("l_brand_key", "r_brand_key", "l_maker_key", "r_maker_key", F.round("brand_similarity", 6).alias("brand_similarity"),
+                        F.round("maker_similarity", 6).alias("maker_similarity"), "c_maker").distinct()
 
 
 @query("name_cores", f"SELECT p_partkey AS id, {core('p_name')} AS core FROM part")

@@ -107,6 +107,10 @@ def test_reconcile_actions(spark):
     assert got[7] == ("update", "d", ["price"]) and got[8][0] == "duplicate"
     targets = RC.ambiguous_targets(out, h).collect()
     assert sorted((r.seq, r.position, r.id) for r in targets) == [(5, 1, "a"), (5, 2, "b")]
+    # What the file row would make of each: its price, and the maker that its sheet does not offer stays.
+    assert {r.id: (r.current_price, r.merged_price, r.merged_manufacturer, r.changed) for r in targets} == {
+        "a": (5.0, 9.0, "甲", ["price"]), "b": (6.0, 9.0, "乙", ["price"])}
+    assert RC.ambiguous_targets(out.filter("seq = 1"), h).count() == 0
     assert {r.action: r.rows for r in RC.action_summary(out).collect()}["duplicate"] == 2
 
 
