@@ -275,6 +275,13 @@ def extract_specs(spark, sf):
                      F.size("f.values.mm").alias("mm_values"), c("f.dims").isNotNull().alias("has_dims"))
 
 
+@query("spec_facts_long", V.with_views("""SELECT name, spec, kind, 'mm' AS unit, CAST(regexp_extract(spec,'([0-9]+)mm',1) AS DOUBLE) AS lo, CAST(regexp_extract(spec,'([0-9]+)mm',1) AS DOUBLE) AS hi
+ FROM (SELECT DISTINCT name, spec FROM hist), (VALUES ('span'),('value'),('capacity')) t(kind)"""))
+def spec_facts_long(spark, sf):
+    texts = V.history(spark, sf).select("name", "spec").distinct()
+    return S.long_facts(S.with_spec_facts(texts, F.concat("name", F.lit(" "), "spec"), "f", DEMO), ["name", "spec"])
+
+
 @query("same_range", V.with_views(f"""SELECT line_id, id, NOT (a>0 AND abs(b-a)/a > 0.6::DOUBLE) AND a>0 AS reachable FROM (SELECT l.line_id, r.id,
  CAST(regexp_extract(l.spec,'([0-9]+) ?mm',1) AS DOUBLE) AS a, CAST(regexp_extract(r.spec,'([0-9]+)mm',1) AS DOUBLE) AS b {PAIRS_SQL})"""))
 def same_range(spark, sf):

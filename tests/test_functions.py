@@ -28,10 +28,10 @@ def test_text_keys(spark):
 def test_name_core_and_codes(spark):
     core = lambda x: name_core(x, ZH)
     got = [g[0] for g in one_column(spark, [
-        "高中物理游标卡尺1", "光的传播、反射、折射实验器c", "LED光源a", "蹄形磁铁", "手摇离心钻台", "12", "高中学生电源"], core)]
-    assert got == ["游标卡尺", "光的传播、反射、折射实验器", "led光源", "蹄形磁体", "手摇离心转台", "12", "高中学生电源"]
-    codes = one_column(spark, ["30307216301.0", "02045", "", "S7261"], normalize_code, lambda x: code_major(x, ZH))
-    assert codes == [("30307216301", ""), ("02045", "通用仪器"), ("", ""), ("s7261", "")]
+        "初中化学坩埚钳7", "声波的叠加、干涉演示台d", "UV灯管b", "环状磁铁", "电动离心钻台", "35", "高中教学挂图"], core)]
+    assert got == ["坩埚钳", "声波的叠加、干涉演示台", "uv灯管", "环状磁体", "电动离心转台", "35", "高中教学挂图"]
+    codes = one_column(spark, ["40518330207.0", "02618", "", "K4409"], normalize_code, lambda x: code_major(x, ZH))
+    assert codes == [("40518330207", ""), ("02618", "通用仪器"), ("", ""), ("k4409", "")]
     cats = [g[0] for g in one_column(spark, ["温度计套", "托盘天平", "冰箱"], lambda x: infer_category(x, ZH))]
     assert cats == ["th_thermo", "mech_scale", ""]
 
@@ -40,7 +40,7 @@ def test_cells_and_numbers(spark):
     got = one_column(spark, ["中学物理\n演示台", " a  b ", "￥1,234.5", "nan", "12"], cell_name, cell_text, number_value)
     assert got == [("中学物理演示台", "中学物理 演示台", None), ("a b", "a b", None), ("￥1,234.5", "￥1,234.5", 1234.5),
                    ("nan", "nan", None), ("12", "12", 12.0)]
-    assert [g[0] for g in one_column(spark, ["编码04013，放电", "转速≥16000r/min，照度12000lx", "a04013"], salvage_code)] == ["04013", "", ""]
+    assert [g[0] for g in one_column(spark, ["编码05027，带指针", "流量≥25000L/h，亮度31000cd", "k05027"], salvage_code)] == ["05027", "", ""]
     df = spark.createDataFrame([(12.0,), (0.02,), (2026.19,), (1234567.0,)], "x double")
     assert [r[0] for r in df.select(format_g(c("x"))).collect()][:3] == ["12", "0.02", "2026.19"]
 
@@ -79,17 +79,27 @@ def facts(spark, texts):
 
 
 def test_spec_facts(spark):
-    f = facts(spark, ["Φ7～8mm", "250mm×180mm×100mm", "-50～40℃", "150mm", "φ5～φ6mm", "干燥管 U型，φ15mm×150mm", "试管 高硼硅玻璃材质",
-                      "学生显微镜 200×，单筒", "显微镜 200×10", "3 倍自然大", "自然大", "7件 学生分组用", "量程100g，精度0.001g"])
+    f = facts(spark, ["Φ11～13mm", "320mm×210mm×90mm", "-15～65℃", "175mm", "φ3～φ4mm", "冷凝管 U型，φ22mm×260mm", "量杯 高硼硅玻璃材质",
+                      "望远镜 60×，双筒", "放大镜 15×20", "5 倍自然大", "自然大", "9件 学生分组用", "量程300g，精度0.02g"])
     span = lambda x, u: x.span[u] and (x.span[u].lo, x.span[u].hi)
-    assert span(f[0], "mm") == (7.0, 8.0)
-    assert span(f[1], "mm") == (100.0, 250.0) and f[1].dims == [100.0, 180.0, 250.0]
-    assert span(f[2], "c") == (-50.0, 40.0)
-    assert span(f[3], "mm") == (150.0, 150.0)
-    assert span(f[4], "mm") == (5.0, 6.0)
-    assert (f[5].shape, f[6].material, f[7].magnification, f[8].magnification) == ("U型", "高硼硅", "200×", "200×10")
-    assert (f[9].scale, f[10].scale, f[11].pieces, f[11].grouped) == (3.0, 1.0, 7.0, True)
-    assert span(f[12], "g") == (100.0, 100.0)
+    assert span(f[0], "mm") == (11.0, 13.0)
+    assert span(f[1], "mm") == (90.0, 320.0) and f[1].dims == [90.0, 210.0, 320.0]
+    assert span(f[2], "c") == (-15.0, 65.0)
+    assert span(f[3], "mm") == (175.0, 175.0)
+    assert span(f[4], "mm") == (3.0, 4.0)
+    assert (f[5].shape, f[6].material, f[7].magnification, f[8].magnification) == ("U型", "高硼硅", "60×", "15×20")
+    assert (f[9].scale, f[10].scale, f[11].pieces, f[11].grouped) == (5.0, 1.0, 9.0, True)
+    assert span(f[12], "g") == (300.0, 300.0)
+
+
+def test_long_facts(spark):
+    texts = ["φ3～φ4mm，300g", "320mm×210mm×90mm", "9件 5倍", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    rows = S.long_facts(S.with_spec_facts(df, c("x"), "f", ZH), ["i"]).collect()
+    got = {(r.i, r.kind, r.unit, r.lo, r.hi) for r in rows}
+    assert {(0, "span", "mm", 3.0, 4.0), (0, "span", "g", 300.0, 300.0), (0, "capacity", "g", 300.0, 300.0), (0, "value", "g", 300.0, 300.0)} <= got
+    assert {(1, "dimension", "mm", v, v) for v in (90.0, 210.0, 320.0)} <= got and {(2, "pieces", "", 9.0, 9.0), (2, "scale", "", 5.0, 5.0)} <= got
+    assert not any(r[0] > 2 for r in got)
 
 
 def pair_scores(spark, cases):
@@ -104,13 +114,13 @@ def pair_scores(spark, cases):
 
 def test_pair_scores(spark):
     r = pair_scores(spark, [
-        ("Φ7～8mm", "φ7mm～8mm"), ("-30~50℃", "-50～40℃"), ("250mm×180mm×100mm", "250mm×180mm×100mm"), ("量筒 100ml", "量筒 100ml，分度值1ml"),
-        ("从动轮轴心与支杆中心距离≥140mm，轴孔上段≥Ф10mm", "支杆直径 10 mm，全长 140 mm"), ("解剖器 7件", "解剖器 4件"), ("演示斜面小车", "斜面小车"),
-        ("数显游标卡尺", "游标卡尺"), ("", "abc")])
+        ("Φ11～13mm", "φ11mm～13mm"), ("-10~70℃", "-15～65℃"), ("320mm×210mm×90mm", "320mm×210mm×90mm"), ("滴瓶 60ml", "滴瓶 60ml，棕色"),
+        ("导轨两端立柱间距≥260mm，底座螺孔≥Ф12mm", "螺孔直径 12 mm，间距 260 mm"), ("绘图工具 9件", "绘图工具 6件"), ("演示气垫滑块", "气垫滑块"),
+        ("数显转速表", "转速表"), ("", "abc")])
     assert r[0].sim >= 0.5 and r[1].sim >= 0.3 and r[2].sim == 1.0 and r[8].sim == 0.0
     assert r[3].points == 0 and r[3].warnings == []
     assert not any("量程不符" in w for w in r[4].warnings)
-    assert r[5].points == 8 and r[5].warnings == ["规格件数不符：询价7件，候选4件"]
+    assert r[5].points == 8 and r[5].warnings == ["规格件数不符：询价9件，候选6件"]
     assert r[6].points == 12 and r[6].warnings == ["修饰词变体不符：询价含[演示]，候选含[∅]"]
     assert r[7].points == 9 + 12
 
