@@ -158,7 +158,8 @@ def trie(conversations: DataFrame) -> DataFrame:
     while height <= (convs.agg(F.max("n")).first()[0] or 0):
         height *= 2
     names = prefix_names(convs, turns, height)
-    owners = names.groupBy("name").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"))
+    # Written before it is joined, so that the rows of a common prefix are no longer bound to one task.
+    owners = materialize(names.groupBy("name").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")), "owners")
     paths = materialize(names.select("name", c("conv_id").alias("member"), "depth").join(owners, "name").select("member", "depth", "conv_id", "n_convs"), "paths")
     nodes = paths.filter("member = conv_id").select("conv_id", "depth", "n_convs")
     parents = paths.select(c("member").alias("conv_id"), (c("depth") + 1).alias("depth"), c("conv_id").alias("parent_conv_id"))
