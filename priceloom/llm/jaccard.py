@@ -45,7 +45,7 @@ THRESHOLD = 80
 SIGNATURES, PER_SIGNATURE = 4, 3
 #: The sketch of token counts has 2**CELL_BITS cells in 2**CHUNK_BITS parts: 32 MB, whatever the corpus.
 CELL_BITS, CHUNK_BITS = 25, 7
-FLUSH = 2_000_000
+FLUSH = 5_000_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
