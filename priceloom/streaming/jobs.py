@@ -1,6 +1,8 @@
 """Structured Streaming forms of the batch jobs."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,7 +11,7 @@ from ..functions.keys import dedup_key
 from ..operators.changes import apply_changes
 from ..operators.governance import derive, import_history
 from ..plans.quote import quote
-from ..sources.cells import _file_cells, CELLS
+from ..sources.cells import read_cells
 from ..sources.sheets import extract_history
 
 
@@ -47,8 +49,11 @@ def stream_ingest(spark: SparkSession, path: str, book: VersionedTable, checkpoi
         "path string, modificationTime timestamp, length long, content binary").load(path)
 
     def merge(batch: DataFrame, number: int) -> None:
-        cells = batch.select("path", "content").mapInPandas(_file_cells, CELLS)
-        rows = extract_history(cells, tax_rate)
+        # Names only; a file's text is read in byte ranges. Characters of path patterns stand for themselves.
+        names = [re.sub(r"([*?{}\[\]\\])", r"\\\1", r.path) for r in batch.select("path").collect()]
+        if not names:
+            return
+        rows = extract_history(read_cells(spark, names), tax_rate)
         suffix = F.when(F.coalesce("vendor_group", F.lit("")) != "", F.concat(F.lit("#"), "vendor_group")).otherwise("")
         rows = rows.withColumn("id", F.concat("file", F.lit(":"), "sheet_name", F.lit(":"), F.col("source_row").cast("string"), suffix))
         rows = rows.withColumns({"source_file": F.col("file"), "source_sheet": F.col("sheet_name"), "rowid": F.col("id"),

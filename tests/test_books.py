@@ -1,4 +1,8 @@
 """Books: sheets, import, dedup, reconcile, change sets."""
+import csv
+import io
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +72,50 @@ def test_text_encodings(spark, tmp_path):
     assert [(r.price, r.manufacturer) for r in records] == [(5.5, "甲教学仪器有限公司")]
 
 
+def whole_file(raw, name):
+    """Cells by the csv module over the whole text."""
+    for encoding in ("utf-8-sig", "gbk"):
+        try:
+            text = raw.decode(encoding)
+            break
+        except UnicodeDecodeError:
+            pass
+    kept = [r for r in csv.reader(io.StringIO(text, newline="")) if any(v.strip() for v in r)]
+    return [(name, name.rsplit(".", 1)[0], i, j, v) for i, r in enumerate(kept, 1) for j, v in enumerate(r, 1) if v.strip()]
+
+
+@pytest.mark.parametrize("width", [150, 700, None])
+def test_files_are_read_in_ranges(spark, tmp_path, width):
+    rng = random.Random(f"{width}")
+    fields = ["", " ", "5.5", "\u70e7\u676f", 'a "b" c', "two\nlines", "\n\n", ",", '"', "x,y", "\u3000", "\r\n", "long " * 9]
+    want = []
+    for name, encoding in (("\u4ef7\u76ee 1+2.csv", "utf-8"), ("mark.csv", "utf-8-sig"), ("old.csv", "gbk"), ("crlf.csv", "gbk")):
+        out = io.StringIO(newline="")
+        writer = csv.writer(out, lineterminator="\r\n" if name == "crlf.csv" else "\n")
+        for _ in range(40):
+            if rng.random() < 0.2:  # quotes within plain fields, text after a closing quote, blank lines
+                out.write(rng.choice(['5" pipe,6"\n', '"shut"open"x,1\n', "\n", ",,\n", '"" ,z\n', ' "no,"\n']))
+            writer.writerow([rng.choice(fields) for _ in range(rng.randint(1, 5))])
+        if name == "old.csv":
+            out.write('last,"never\nclosed')
+        raw = out.getvalue().encode(encoding)
+        (tmp_path / name).write_bytes(raw)
+        want += whole_file(raw, name)
+    (tmp_path / "empty.csv").write_bytes(b"")
+    got = [tuple(r) for r in read_cells(spark, str(tmp_path / "*.csv"), width).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_unreadable_files_are_errors(spark, tmp_path, monkeypatch):
+    (tmp_path / "bad.csv").write_bytes(b"a,b\n\xff\xff,1\n")
+    with pytest.raises(Exception, match="unknown text encoding"):
+        read_cells(spark, str(tmp_path / "bad.csv")).collect()
+    (tmp_path / "open.csv").write_bytes(b'a,"b\n' + b"0123456789\n" * 20)
+    monkeypatch.setattr("priceloom.sources.cells.RECORD_BYTES", 100)
+    with pytest.raises(ValueError, match="left open"):
+        read_cells(spark, str(tmp_path / "open.csv"))
+
+
 def test_import_is_idempotent(spark):
     start = book(spark, ("h0", "旧", "", "个", "", 1))
     rows = spark.createDataFrame([
