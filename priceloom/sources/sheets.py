@@ -13,9 +13,13 @@ from ..config import (
     VENDOR_LABELS,
 )
 from ..functions.text import cell_name, cell_text, header_key, nfkc, number_value, standard_code
+from ..session import materialize
 from .cells import rows_of
 
+#: Rows in which a header is looked for, the first included; a parameter of all that search.
 SEARCH_ROWS = 41
+#: Rows of a sheet that one window walks.
+CHUNK_ROWS = 4096
 # An isolated five-digit code; a plain number; a "total of N" remark.
 LINE_CODE = r"(?<![\dA-Za-z])([0-8]\d{4})(?![0-9A-Za-z.:+])"
 PLAIN_NUMBER = r"^\d[\d,，]*(?:\.\d+)?$"
@@ -68,9 +72,9 @@ def header_columns(rows: DataFrame, aliases: dict | None = None, price: bool = F
     return df.withColumn("cols", F.struct(*cols)).drop("name_col", "spec_col", "exact")
 
 
-def detect_headers(cells: DataFrame, aliases: dict | None = None, price: bool = False) -> DataFrame:
-    """First header row of every sheet: file, sheet, header_row, cols."""
-    found = header_columns(rows_of(cells.filter(F.col("row") <= SEARCH_ROWS)), aliases, price)
+def detect_headers(cells: DataFrame, aliases: dict | None = None, price: bool = False, search_rows: int = SEARCH_ROWS) -> DataFrame:
+    """First header row of every sheet, looked for in its first ``search_rows`` rows: file, sheet, header_row, cols."""
+    found = header_columns(rows_of(cells.filter(F.col("row") <= search_rows)), aliases, price)
     return found.groupBy(*SHEET).agg(
         F.min("row").alias("header_row"), F.min_by("cols", "row").alias("cols"), F.min_by("keys", "row").alias("keys"),
         F.min_by("claimed", "row").alias("claimed"))
@@ -163,27 +167,87 @@ def vendor_groups(headers: DataFrame) -> DataFrame:
     return df.withColumn("groups", groups).drop("_found")
 
 
-def extract_history(cells: DataFrame, tax_rate: float = 0.10) -> DataFrame:
-    """Price-book records of every sheet, following repeated header sections and vendor groups."""
+def _switches(rows: DataFrame, heads: DataFrame, first: DataFrame, search_rows: int) -> DataFrame:
+    """Rows from which a header holds: file, sheet, row, head (the header's row); the first header of a sheet and all sections.
+
+    A section begins where the name column *of the header that holds there* has a section mark and a header with a price follows
+    within ``search_rows``.  Which column that is depends on the sections before, so each possible section points to the next
+    row that would end it, and the chain from the first header is followed by doubling these pointers.
+    """
+    c = F.col
+    texts = F.transform("cells", lambda x: F.struct(x["col"].alias("col"), cell_text(x["value"]).alias("text")))
+    at = F.transform(F.filter(texts, lambda x: x["text"].isin(SECTION_MARKS)), lambda x: x["col"])
+    marked = rows.select(*SHEET, "row", at.alias("at")).filter(F.size("at") > 0)
+    # The header that a search from a marked row finds: the next one, whether it has a price or not.
+    named = heads.select(*SHEET, "row", F.lit(None).cast("array<int>").alias("at"), c("row").alias("head"))
+    below = Window.partitionBy(*SHEET).orderBy(c("row").desc()).rangeBetween(-(search_rows - 1), 0)
+    found = marked.withColumn("head", F.lit(None).cast("int")).unionByName(named).withColumn("head", F.min("head").over(below)).filter("at IS NOT NULL")
+    known = heads.select(*SHEET, c("row").alias("head"), c("cols.name").alias("name_col"), c("cols.price").isNotNull().alias("priced"))
+    events = found.join(known.filter("priced"), [*SHEET, "head"]).join(
+        first.filter("has_price_column").select(*SHEET, "header_row"), SHEET).filter(c("row") > c("header_row"))
+    start = first.select(*SHEET, c("header_row").alias("row"), c("header_row").alias("head"), c("cols.name").alias("name_col"))
+    nodes = start.unionByName(events.select(*SHEET, "row", "head", "name_col"))
+    ends = events.select(*SHEET, F.explode("at").alias("name_col"), "row", c("row").alias("end"))
+    later = Window.partitionBy(*SHEET, "name_col").orderBy(c("row").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    pointed = nodes.withColumn("end", F.lit(None).cast("int")).unionByName(ends, allowMissingColumns=True).withColumn(
+        "next", F.min("end").over(later)).filter("end IS NULL")
+    nodes = materialize(pointed.select(*SHEET, "row", "head", "next"), "nodes")
+    jump, reached = nodes.filter("next IS NOT NULL").select(*SHEET, "row", "next"), start.select(*SHEET, "row")
+    while True:
+        further = materialize(reached.join(jump, [*SHEET, "row"]).select(*SHEET, c("next").alias("row")), "reached")
+        if further.isEmpty():
+            break
+        reached = reached.unionByName(further)
+        over = jump.select(*SHEET, c("row").alias("next"), c("next").alias("_beyond"))
+        jump = materialize(jump.join(over, [*SHEET, "next"]).select(*SHEET, "row", c("_beyond").alias("next")), "jumps")
+    return nodes.join(reached, [*SHEET, "row"], "left_semi").select(*SHEET, "row", "head")
+
+
+def _carried(rows: DataFrame, marks: DataFrame, value: str) -> DataFrame:
+    """``rows`` with ``value`` of the last of ``marks`` above them in their sheet; rows without one go.
+
+    Two levels: the last mark of each chunk of rows is carried from chunk to chunk, and within a chunk from row to row.
+    """
+    c = F.col
+    chunk = F.floor(c("row") / CHUNK_ROWS).alias("_chunk")
+    last = marks.groupBy(*SHEET, chunk).agg(F.max_by(value, "row").alias("_last"))
+    chunks = rows.select(*SHEET, chunk).distinct().join(last, [*SHEET, "_chunk"], "full")
+    earlier = Window.partitionBy(*SHEET).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    entry = chunks.withColumn("_entry", F.last("_last", ignorenulls=True).over(earlier)).filter("_entry IS NOT NULL OR _last IS NOT NULL").drop("_last")
+    within = Window.partitionBy(*SHEET, "_chunk").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    df = rows.withColumn("_chunk", chunk).join(entry, [*SHEET, "_chunk"]).join(marks, [*SHEET, "row"], "left")
+    return df.withColumn("active", F.coalesce(F.last(value, ignorenulls=True).over(within), c("_entry"))).filter("active IS NOT NULL").drop(
+        "_chunk", "_entry", value)
+
+
+def headerless_sheets(cells: DataFrame, price: bool = False, search_rows: int = SEARCH_ROWS) -> DataFrame:
+    """Sheets of which no row is read: file, sheet, reason (``no_header`` in the first rows, or ``no_columns``: neither price nor spec nor unit)."""
+    found = detect_headers(cells, price=price, search_rows=search_rows)
+    lacking = F.lit(price) & F.col("cols.spec").isNull() & F.col("cols.unit").isNull()
+    if price:
+        lacking &= F.col("cols.price").isNull()
+    reason = F.when(F.col("cols").isNull(), "no_header").when(lacking, "no_columns")
+    return cells.select(*SHEET).distinct().join(found, SHEET, "left").select(*SHEET, reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def extract_history(cells: DataFrame, tax_rate: float = 0.10, search_rows: int = SEARCH_ROWS) -> DataFrame:
+    """Price-book records of every sheet, following repeated header sections and vendor groups.
+
+    A row whose name cell (by the header that holds there) is a section mark is no record; if a header with a price follows, it
+    holds from the next row on.  Sheets without a header give nothing; ``headerless_sheets`` names them.
+    """
     c = F.col
     rows = rows_of(cells)
-    heads = vendor_groups(header_columns(rows, price=True))
-    first = detect_headers(cells, price=True).select(*SHEET, "header_row", c("cols.price").isNotNull().alias("has_price_column"))
-    marked = F.exists("keys", lambda x: x["key"].isin(SECTION_MARKS))
-    sections = heads.join(first, SHEET).filter(
-        (c("row") == c("header_row"))
-        | (c("has_price_column") & c("cols.price").isNotNull() & marked & (c("row") > c("header_row")))
-    )
+    heads = materialize(vendor_groups(header_columns(rows, price=True)).select(*SHEET, "row", "cols", "groups", "keys"), "heads")
+    first = heads.filter(c("row") <= search_rows).groupBy(*SHEET).agg(
+        F.min("row").alias("header_row"), F.min_by("cols", "row").alias("cols")).withColumn("has_price_column", c("cols.price").isNotNull())
+    first = first.filter(c("has_price_column") | c("cols.spec").isNotNull() | c("cols.unit").isNotNull())
     label = F.get(F.filter("keys", lambda x: x["col"] == c("cols.price")), 0)["key"]
-    section = F.struct("cols", "groups", F.coalesce(label.contains("含税") & ~label.contains("不含"), F.lit(False)).alias("inclusive"))
-    sections = sections.select(*SHEET, "row", section.alias("_section"))
-    usable = c("has_price_column") | c("usable")
-    first = first.join(
-        heads.select(*SHEET, c("row").alias("header_row"),
-                     (c("cols.spec").isNotNull() | c("cols.unit").isNotNull()).alias("usable")), [*SHEET, "header_row"]).filter(usable)
-    above = Window.partitionBy(*SHEET).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    df = rows.join(first, SHEET).join(sections, [*SHEET, "row"], "left").withColumn(
-        "active", F.last("_section", ignorenulls=True).over(above)).filter(c("row") > c("header_row"))
+    section = F.struct("cols", "groups", F.coalesce(label.contains("含税") & ~label.contains("不含"), F.lit(False)).alias("inclusive"), "has_price_column")
+    switches = _switches(rows, heads, first, search_rows)
+    described = heads.join(first.select(*SHEET, "has_price_column"), SHEET).select(*SHEET, c("row").alias("head"), section.alias("_section"))
+    sections = materialize(switches.join(described, [*SHEET, "head"]).select(*SHEET, "row", "_section"), "sections")
+    df = _carried(rows, sections, "_section").withColumn("has_price_column", c("active.has_price_column"))
     df = df.withColumn("cols", c("active.cols"))
     df = df.withColumns({
         "_raw": cell_text(F.try_element_at("at", c("cols.name"))), "name": cell_name(F.try_element_at("at", c("cols.name"))),

@@ -13,7 +13,7 @@ from ..operators import review as RV
 from ..operators import selection as X
 from ..operators.backfill import backfill_specs, cluster_specs, spec_key
 from ..operators.catalog import name_clashes, search_catalog
-from ..session import shared_dir
+from ..session import settings, shared_dir
 from ..sources import books as B
 from ..sources import sheets as SH
 from ..sources.cells import read_cells
@@ -327,14 +327,41 @@ def extract_inquiry(spark, sf):
     return SH.extract_inquiry(sheet_cells(spark, sf)).select("file", "source_row", "name", "spec", "unit")
 
 
+@query("headerless_sheets", "SELECT DISTINCT p_brand AS file, p_type AS sheet, 'no_header' AS reason FROM part WHERE p_brand LIKE '%1'")
+def headerless_sheets(spark, sf):
+    """The sheets of part, of which some lost their header row."""
+    return SH.headerless_sheets(sheet_cells(spark, sf).filter((c("row") > 1) | ~c("file").endswith("1")), price=True)
+
+
+def long_sheet(spark, sf):
+    """part as one sheet with a section of other columns every 100 parts."""
+    pt = V.table(spark, sf, "part").withColumn("_section", F.floor(c("p_partkey") / 100))
+    odd = c("_section") % 2 == 1
+    labels = F.when(odd, F.array(*map(F.lit, ["序号", "品名", "参数", "含税单价"]))).otherwise(F.array(*map(F.lit, ["名称", "名称", "参数", "单价"])))
+    head = pt.select("_section").distinct().select((c("_section") * 101 + 1).cast("int").alias("row"), F.posexplode(labels).alias("at", "value"))
+    body = pt.select((c("p_partkey") + c("_section") + 2).cast("int").alias("row"), F.posexplode(F.array(
+        F.when(odd, c("p_partkey").cast("string")).otherwise(c("p_name")), F.when(odd, c("p_name")).otherwise(""),
+        F.concat(c("p_size").cast("string"), F.lit("mm")), c("p_retailprice").cast("string"))).alias("at", "value"))
+    return head.unionByName(body).filter("value != ''").select(F.lit("part.csv").alias("file"), F.lit("part").alias("sheet"), "row", (c("at") + 1).alias("col"), "value")
+
+
+@query("sheet_sections", """SELECT CAST(p_partkey+p_partkey//100+2 AS INTEGER) AS source_row, p_name AS name, CAST(p_size AS VARCHAR)||'mm' AS spec,
+ CASE WHEN (p_partkey//100)%2=1 THEN CAST(round(CAST(CAST(p_retailprice/1.1::DOUBLE AS VARCHAR) AS DECIMAL(38,18)),2) AS DOUBLE) ELSE p_retailprice END AS price FROM part""")
+def sheet_sections(spark, sf):
+    return SH.extract_history(long_sheet(spark, sf)).select("source_row", "name", "spec", "price")
+
+
 @query("read_book_files", "SELECT p_name AS name, CAST(p_size AS VARCHAR)||'mm' AS spec, p_retailprice AS price, p_brand AS brand FROM part")
 def read_book_files(spark, sf):
     """part written as GBK and UTF-8 files, then read back through cells."""
     root = f"{shared_dir(spark)}/books-{uuid.uuid4().hex}"
     pt = V.table(spark, sf, "part")
     out = pt.select(c("p_name").alias("器材名称"), F.concat(c("p_size").cast("string"), F.lit("mm")).alias("规格参数"), c("p_retailprice").alias("单价"), c("p_brand").alias("品牌"))
-    out.repartition(4, "器材名称").write.option("header", True).csv(root)
-    cells = read_cells(spark, f"{root}/*.csv")
+    older = F.xxhash64("器材名称") % 2 == 0
+    out.filter(older).repartition(2, "器材名称").write.option("header", True).csv(f"{root}/utf-8")
+    with settings(spark, {"spark.sql.legacy.javaCharsets": "true"}):
+        out.filter(~older).repartition(2, "器材名称").write.option("header", True).option("encoding", "GBK").csv(f"{root}/gbk")
+    cells = read_cells(spark, f"{root}/*/*.csv")
     return SH.extract_history(cells).select("name", "spec", "price", "brand")
 
 

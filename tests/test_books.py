@@ -48,7 +48,7 @@ def test_exact_aliases_win(spark):
 def test_history_sections_tax_and_vendors(spark):
     df = SH.extract_history(cells(spark, [
         ["序号", "产品名称", "参数", "单位", "含税单价"], [1, "扳手", "一字", "把", 4.4], [2, "滴管", "100mL", "支", 8.8],
-        ["名称", "单价", "规格参数", "单位", "编号"], ["天平", 55, "500g", "台", "05027"]]))
+        ["名称", "名称", "规格参数", "单位", "编号", "单价"], ["天平", "", "500g", "台", "05027", 55]]))
     got = {r.name: (r.price, r.unit, r.product_code) for r in df.collect()}
     assert got == {"扳手": (4.0, "把", ""), "滴管": (8.0, "支", ""), "天平": (55.0, "台", "05027")}
     wide = SH.extract_history(cells(spark, [
@@ -58,6 +58,52 @@ def test_history_sections_tax_and_vendors(spark):
         ("托盘", "乙厂", 35.0, "2"), ("托盘", "甲厂", 35.0, "1"), ("支架", "甲厂", 5.0, "1")]
 
 
+def by_hand(rows, heads):
+    """Sections walked row by row: (row, name) of the records; ``heads``: row -> (name column, price column or None)."""
+    after = lambda start: next((r for r in range(start, start + SH.SEARCH_ROWS) if r in heads), None)
+    now = after(1)
+    out = []
+    for r in range(now + 1, len(rows) + 1):
+        name = str(rows[r - 1][heads[now][0] - 1] or "")
+        if name in SH.SECTION_MARKS:
+            nearest = after(r)
+            now = nearest if nearest and heads[nearest][1] else now
+        elif name and name not in SH.BOOK_SKIP_NAMES:
+            out.append((r, name, rows[r - 1][heads[now][1] - 1]))
+    return out
+
+
+def test_sections_follow_the_name_column(spark, monkeypatch):
+    monkeypatch.setattr(SH, "CHUNK_ROWS", 16)
+    rng = random.Random(4)
+    layouts = [["产品名称", "参数", "单价", "单位"], ["单位", "名称", "参数", "单价"], ["序号", "参数", "品名", "单价"], ["名称", "参数", "", "单位"]]
+    sheets, want = [], []
+    for sheet in range(3):
+        rows, heads = [["报价", "", "", ""]], {}
+        for i in range(150):
+            kind = rng.random() if i else 0
+            if kind < 0.06:
+                layout = layouts[rng.randrange(4) if i else 0]
+                rows.append(layout)
+                name = next(j for j, x in enumerate(layout, 1) if x in ("产品名称", "名称", "品名"))
+                heads[len(rows)] = (name, layout.index("单价") + 1 if "单价" in layout else None)
+            elif kind < 0.12:
+                rows.append([rng.choice(["目录", "序号", "x"]) for _ in range(4)])
+            else:
+                rows.append([f"n{sheet}-{i}", f"p{i}", rng.choice(["", f"q{i}", "合计"]), i])
+        sheets.append(cells(spark, rows, sheet=f"s{sheet}"))
+        want += [(f"s{sheet}", r, n) for r, n, _ in by_hand(rows, heads)]
+    got = SH.extract_history(sheets[0].unionByName(sheets[1]).unionByName(sheets[2])).select("sheet_name", "source_row", "name").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_sheets_without_header_are_named(spark):
+    df = cells(spark, [["a", "b"], ["1", "2"]], sheet="plain").unionByName(cells(spark, [["名称", "数量"], ["x", 1]], sheet="bare")).unionByName(
+        cells(spark, [["名称", "单价"], ["x", 1]], sheet="good"))
+    assert {r.sheet: r.reason for r in SH.headerless_sheets(df, price=True).collect()} == {"plain": "no_header", "bare": "no_columns"}
+    assert {r.sheet for r in SH.headerless_sheets(df).collect()} == {"plain"}
+
+
 def test_unpriced_sheet_is_kept(spark):
     rows = SH.extract_history(cells(spark, [["序号", "采购品目", "参数", "数量", "单位"], [1, "天平", "500g", 2, "台"]])).collect()
     assert [(r.price, r.has_price_column) for r in rows] == [(None, False)]
