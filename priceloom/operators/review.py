@@ -11,6 +11,7 @@ WARNING_FILTERS = {"unit_conflict": "单位不可直接换算", "parameter_confl
                    "price_anomaly": "价格偏离", "score_tie": "同分多价"}
 BOOK_SORTS = ["name", "spec", "model", "brand", "manufacturer", "unit", "product_code", "price", "quantity", "quote_date",
               "source_file", "source_row", "data_quality"]
+DRAFT_TEXTS = ["spec", "model", "brand", "manufacturer", "unit"]
 
 
 def contains_text(column: str, query: str) -> Column:
@@ -219,3 +220,33 @@ def purge_job(lines: DataFrame, options: DataFrame, job_ids: DataFrame) -> tuple
 def attach_history(options: DataFrame, history: DataFrame, fields=("name", "spec", "price")) -> DataFrame:
     side = history.select(F.col("id").alias("history_id"), *[F.col(f).alias(f"history_{f}") for f in fields])
     return options.join(side, "history_id", "left")
+
+
+def confirmed_drafts(lines: DataFrame, options: DataFrame, history: DataFrame) -> DataFrame:
+    """One pending draft price per confirmed line: the price of its primary option and the product this option stands for.
+
+    The primary is the selected option with the lowest rank (then the smallest option_id).  A line without one, or whose
+    primary has no positive price, gives no draft; the next option does not step in.  Texts come from the linked record,
+    empty ones too; without a record from the manual entry, then from the line (the code from the line only).
+    ``suggested_price`` is the price of the line's first option, selected or not.
+    """
+    c = F.col
+    place = F.struct("rank", "option_id")
+    manual = [f"manual_{f}" for f in DRAFT_TEXTS if f"manual_{f}" in options.columns]
+    primary = F.struct("history_id", "final_price", *manual)
+    shown = options.groupBy("line_id").agg(
+        F.min_by(primary, F.when(c("selected"), place)).alias("_primary"), F.min_by("final_price", place).alias("suggested_price"))
+    records = history.select(c("id").alias("_id"), F.struct(*DRAFT_TEXTS, "product_code").alias("_record"))
+    df = lines.filter("confirmed").join(shown, "line_id").filter("_primary.final_price > 0")
+    df = df.withColumn("_id", c("_primary.history_id")).join(records, "_id", "left")
+    linked = c("_record").isNotNull()
+
+    def text(f: str) -> Column:
+        own = c(f) if f in lines.columns else F.lit("")
+        entry = c(f"_primary.manual_{f}") if f"manual_{f}" in manual else F.lit(None).cast("string")
+        return F.when(linked, c(f"_record.{f}")).otherwise(first_set(entry, own)).alias(f)
+
+    return df.select(
+        "line_id", "job_id", "name", *[text(f) for f in DRAFT_TEXTS],
+        F.when(linked, c("_record.product_code")).otherwise(c("product_code")).alias("product_code"),
+        c("_primary.final_price").alias("confirmed_price"), "suggested_price", F.lit("pending").alias("status"))

@@ -70,6 +70,13 @@ def import_history(spark, sf):
     return G.classify_import(V.history(spark, sf), V.feed(spark, sf)).select("id", "outcome")
 
 
+@query("imported_book", V.with_views(f"""WITH {IMPORT} SELECT id, name, spec, unit, manufacturer, product_code, price, source_file FROM hist UNION ALL
+ SELECT n.id, n.name, n.spec, n.unit, n.manufacturer, n.product_code, coalesce(n.price,0), n.source_file FROM feed n JOIN o ON o.id=n.id WHERE outcome='inserted'"""))
+def imported_book(spark, sf):
+    return G.import_history(V.history(spark, sf), V.feed(spark, sf))[0].select(
+        "id", "name", "spec", "unit", "manufacturer", "product_code", "price", "source_file")
+
+
 @query("import_report", V.with_views(f"WITH {IMPORT} SELECT outcome, count(*) AS rows FROM o GROUP BY outcome"))
 def import_report(spark, sf):
     return G.import_history(V.history(spark, sf), V.feed(spark, sf))[1]

@@ -12,6 +12,7 @@ from ..operators import scoring as R
 from ..operators import selection as X
 from ..config import MatchConfig
 from ..sources import exports as E
+from ..streaming.jobs import settle_drafts
 from . import views as V
 from .registry import half_up, norm, query
 
@@ -71,6 +72,15 @@ def customer_policy(spark, sf):
     return marked.select("line_id", F.size("warnings").alias("warnings"), "status")
 
 
+@query("customer_policy_options", V.with_views("""SELECT o.option_id, len(o.warnings)+CASE WHEN n.job_id IS NOT NULL THEN 1 ELSE 0 END AS warnings
+ FROM ropts o JOIN rlines l ON l.line_id=o.line_id LEFT JOIN (SELECT customer_id AS job_id FROM cust WHERE customer_type='vip' AND discount_percent>0 AND minimum_margin_percent>0) n ON n.job_id=CAST(l.product_code AS BIGINT)"""))
+def customer_policy_options(spark, sf):
+    lines = V.review_lines(spark, sf).withColumn("job_id", c("product_code").cast("bigint"))
+    options = V.review_options(spark, sf).join(lines.select("line_id", "job_id"), "line_id")
+    _, marked = RV.customer_policy(lines, options, V.customers(spark, sf).withColumnRenamed("customer_id", "job_id"))
+    return marked.select("option_id", F.size("warnings").alias("warnings"))
+
+
 @query("job_counters", V.with_views("SELECT job_id, count(*) AS total_lines, count(*) FILTER (status='suggested') AS matched_lines, count(*) FILTER (status='review') AS review_lines, count(*) FILTER (status='unmatched') AS unmatched_lines, count(*) FILTER (confirmed) AS confirmed_lines, CASE WHEN count(*) FILTER (confirmed)>=count(*) THEN 'confirmed' ELSE 'review' END AS job_status FROM rlines GROUP BY 1"))
 def job_counters(spark, sf):
     return RV.job_counters(V.review_lines(spark, sf))
@@ -100,16 +110,66 @@ def price_by_vendor(spark, sf):
 DECIDE = "d AS (SELECT line_id, CASE WHEN CAST(round(price*100) AS BIGINT)%29=0 THEN 'no-'||option_id ELSE option_id END AS option_id, unit<>'g' AS want, CASE WHEN unit='kg' THEN floor(price)-100 END AS override FROM ropts)"
 
 
-@query("apply_review", V.with_views(f"""WITH {DECIDE}, s AS (SELECT d.*, o.option_id IS NOT NULL AS known, {norm('o.manufacturer')} AS v, round(coalesce(override, o.final_price),2) AS kp, {norm('o.spec')} AS ks FROM d LEFT JOIN ropts o ON o.line_id=d.line_id AND o.option_id=d.option_id),
- v AS (SELECT line_id, bool_or(NOT known) AS unknown, bool_or(coalesce(override<=0,false)) AS bad FROM s GROUP BY 1), t AS (SELECT DISTINCT line_id FROM (SELECT line_id FROM s WHERE want AND known GROUP BY line_id, v, kp, ks HAVING count(*)>1))
- SELECT v.line_id, CASE WHEN unknown THEN 'unknown_option' WHEN t.line_id IS NOT NULL THEN 'identical_options' ELSE 'bad_price' END AS reason FROM v LEFT JOIN t ON t.line_id=v.line_id WHERE unknown OR t.line_id IS NOT NULL OR bad"""))
-def apply_review(spark, sf):
+JUDGED = f"""{DECIDE}, s AS (SELECT d.*, o.option_id IS NOT NULL AS known, {norm('o.manufacturer')} AS v, round(coalesce(override, o.final_price),2) AS kp, {norm('o.spec')} AS ks FROM d LEFT JOIN ropts o ON o.line_id=d.line_id AND o.option_id=d.option_id),
+ v AS (SELECT line_id, bool_or(NOT known) AS unknown, bool_or(coalesce(override<=0,false)) AS bad FROM s GROUP BY 1), t AS (SELECT DISTINCT line_id FROM (SELECT line_id FROM s WHERE want AND known GROUP BY line_id, v, kp, ks HAVING count(*)>1)),
+ j AS (SELECT v.line_id, CASE WHEN unknown THEN 'unknown_option' WHEN t.line_id IS NOT NULL THEN 'identical_options' ELSE 'bad_price' END AS reason FROM v LEFT JOIN t ON t.line_id=v.line_id WHERE unknown OR t.line_id IS NOT NULL OR bad)"""
+
+
+def reviewed(spark, sf):
     lines, options = lines_options(spark, sf)
     cents = F.round(c("price") * 100).cast("bigint")
     decisions = options.select(
         "line_id", F.when(cents % 29 == 0, F.concat(F.lit("no-"), "option_id")).otherwise(c("option_id")).alias("option_id"),
         (c("unit") != "g").alias("selected"), F.when(c("unit") == "kg", F.floor("price") - 100.0).alias("price"))
-    return RV.apply_review(lines, options, decisions)[2]
+    return RV.apply_review(lines, options, decisions)
+
+
+@query("apply_review", V.with_views(f"WITH {JUDGED} SELECT line_id, reason FROM j"))
+def apply_review(spark, sf):
+    return reviewed(spark, sf)[2]
+
+
+@query("reviewed_lines", V.with_views(f"""WITH {JUDGED} SELECT l.line_id, l.confirmed AND (v.line_id IS NULL OR j.line_id IS NOT NULL) AS confirmed, CASE WHEN v.line_id IS NOT NULL AND j.line_id IS NULL THEN 'review' ELSE l.status END AS status
+ FROM rlines l LEFT JOIN v ON v.line_id=l.line_id LEFT JOIN j ON j.line_id=l.line_id"""))
+def reviewed_lines(spark, sf):
+    return reviewed(spark, sf)[0].select("line_id", "confirmed", "status")
+
+
+@query("reviewed_options", V.with_views(f"""WITH {JUDGED} SELECT o.option_id, CASE WHEN j.line_id IS NULL THEN d.want ELSE o.selected END AS selected, CASE WHEN j.line_id IS NULL THEN coalesce(round(d.override,2), o.final_price) ELSE o.final_price END AS final_price
+ FROM ropts o LEFT JOIN j ON j.line_id=o.line_id LEFT JOIN d ON d.line_id=o.line_id AND d.option_id=o.option_id"""))
+def reviewed_options(spark, sf):
+    return reviewed(spark, sf)[1].select("option_id", "selected", "final_price")
+
+
+def draft_parts(spark, sf):
+    """Lines with a brand of their own; options priced by kg are manual entries."""
+    lines, options = lines_options(spark, sf)
+    by_hand = c("unit") == "kg"
+    options = options.withColumns({
+        "history_id": F.when(~by_hand, c("history_id")), "manual_manufacturer": F.when(by_hand, c("manufacturer")),
+        "manual_spec": F.when(by_hand, "")})
+    return lines.withColumn("brand", F.concat(F.lit("brand of "), "name")), options, V.history(spark, sf)
+
+
+DRAFTED = """p AS (SELECT * FROM ropts WHERE selected QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY rank)=1), s AS (SELECT line_id, final_price AS suggested_price FROM ropts WHERE rank=1),
+ drafted AS (SELECT l.line_id, l.job_id, l.name, coalesce(h.spec, l.spec) AS spec, coalesce(h.model, l.model) AS model, coalesce(h.brand, 'brand of '||l.name) AS brand, coalesce(h.manufacturer, p.manufacturer) AS manufacturer, coalesce(h.unit, l.unit) AS unit,
+  coalesce(h.product_code, l.product_code) AS product_code, p.final_price AS confirmed_price, s.suggested_price, 'pending' AS status
+  FROM rlines l JOIN p ON p.line_id=l.line_id JOIN s ON s.line_id=l.line_id LEFT JOIN hist h ON h.id=p.history_id AND p.unit<>'kg' WHERE l.confirmed AND p.final_price>0)"""
+
+
+@query("confirmed_drafts", V.with_views(f"WITH {DRAFTED} SELECT * FROM drafted"))
+def confirmed_drafts(spark, sf):
+    return RV.confirmed_drafts(*draft_parts(spark, sf))
+
+
+@query("promoted_drafts", V.with_views(f"""WITH {DRAFTED}, k AS (SELECT line_id, line_id%2=0 AS approved, {norm('name')} AS k1, {norm('spec')} AS k2, {norm('unit')} AS k3, {norm('manufacturer')} AS k4, round(confirmed_price,4) AS k5 FROM drafted)
+ SELECT line_id, CASE WHEN NOT approved THEN 'pending' WHEN line_id<>min(line_id) FILTER (approved) OVER (PARTITION BY k1,k2,k3,k4,k5) THEN 'already_in_book' ELSE 'promoted' END AS outcome FROM k"""))
+def promoted_drafts(spark, sf):
+    """Every second draft is approved; one of each product and price enters the book."""
+    lines, options, history = draft_parts(spark, sf)
+    queue = RV.confirmed_drafts(lines, options, history).withColumns({
+        "draft_id": c("line_id"), "status": F.when(c("line_id") % 2 == 0, "approved").otherwise("pending")})
+    return settle_drafts(queue, history)[0].select("line_id", "outcome")
 
 
 @query("add_manual_options", V.with_views("""SELECT line_id, CAST(rank AS INTEGER) AS rank, final_price FROM (SELECT o_orderkey AS line_id, coalesce(m,0)+1 AS rank, round(o_totalprice,2) AS final_price FROM orders LEFT JOIN (SELECT line_id, max(rank) AS m FROM ropts GROUP BY 1) ON line_id=o_orderkey WHERE o_custkey%5<>0)"""))

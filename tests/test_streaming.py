@@ -3,6 +3,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from priceloom.operators.review import confirmed_drafts
 from priceloom.streaming import jobs as J
 
 from test_books import CHANGE, book, change
@@ -59,3 +60,24 @@ def test_change_feed(spark, tmp_path):
     assert q.awaitTermination(180)
     assert [(r.id, r.price, r.revision) for r in table.read().collect()] == [("a", 9.0, 2)]
     assert spark.read.parquet(str(tmp_path / "res" / "*")).filter("status = 'ok'").count() == 2
+
+
+def test_drafts_of_confirmed_lines(spark):
+    lines = spark.createDataFrame(
+        [(n, "j", f"thing {n}", "line spec", "", "line brand", "", "pc", "L1", n != 6) for n in range(1, 8)],
+        "line_id int, job_id string, name string, spec string, model string, brand string, manufacturer string, unit string, product_code string, confirmed boolean")
+    options = spark.createDataFrame([
+        (1, 10, 1, "h1", 9.0, False, None, None), (1, 11, 2, "h1", 8.0, True, "hand", "hand"), (1, 12, 3, None, 7.0, True, None, None),
+        (2, 20, 1, None, 5.0, True, "", "hand"), (3, 30, 1, "h1", 0.0, True, None, None), (3, 31, 2, "h1", 4.0, True, None, None),
+        (4, 40, 1, "h1", 4.0, False, None, None), (5, 50, 1, "gone", 3.0, True, None, None), (6, 60, 1, "h1", 2.0, True, None, None),
+        (1, 9, 2, None, 6.0, False, None, None)],
+        "line_id int, option_id int, rank int, history_id string, final_price double, selected boolean, manual_spec string, manual_manufacturer string")
+    history = spark.createDataFrame([("h1", "", "m1", "b1", "maker", "box", "H1")],
+                                    "id string, spec string, model string, brand string, manufacturer string, unit string, product_code string")
+    got = {r.line_id: r for r in confirmed_drafts(lines, options, history).collect()}
+    # 3: the primary has no price; 4: nothing selected; 6: not confirmed; 7: no options.
+    assert sorted(got) == [1, 2, 5]
+    assert tuple(got[1])[2:11] == ("thing 1", "", "m1", "b1", "maker", "box", "H1", 8.0, 9.0)
+    assert tuple(got[2])[2:11] == ("thing 2", "line spec", "", "line brand", "hand", "pc", "L1", 5.0, 5.0)
+    assert (got[5].spec, got[5].manufacturer, got[5].confirmed_price, got[5].status) == ("line spec", "", 3.0, "pending")
+    assert confirmed_drafts(lines, options.limit(0), history).count() == 0
