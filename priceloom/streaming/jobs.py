@@ -36,7 +36,10 @@ class VersionedTable:
         return sorted(int(p.getName().split("=")[1]) for p in done)
 
     def read(self, before: int | None = None) -> DataFrame:
+        """The newest version (below ``before``); a table without one is an error that names its folder."""
         usable = [v for v in self._versions() if before is None or v < before]
+        if not usable:
+            raise ValueError(f"no complete version under {self.path}")
         return self.spark.read.parquet(f"{self.path}/v={usable[-1]}")
 
     def write(self, df: DataFrame, version: int) -> None:

@@ -9,8 +9,8 @@ from ..functions.category import compatible
 from ..functions.dates import recency_bonus
 from ..functions.keys import vendor_key
 from ..functions.similarity import coverage_ratio, jaccard, parameter_tokens
-from ..functions.text import catalog_key, cell_text, grade_of_key, normalize_code, normalize_text, number_value, name_core
-from ..functions.units import compare_units
+from ..functions.text import catalog_key, cell_text, folded, grade_of_key, normalize_code, normalize_text, number_value, name_core
+from ..functions.units import compare_units, pack_ratio, package_content
 from ..operators import candidates as C
 from ..operators import pricing as P
 from ..operators import scoring as R
@@ -257,6 +257,28 @@ def convert_units(spark, sf):
     return df.select("line_id", c("r_id").alias("id"), c("unit.status").alias("status"), c("unit.normalized_price").alias("normalized_price"))
 
 
+@query("package_contents", """SELECT id, CASE WHEN unit='个' OR kind=3 THEN NULL WHEN kind=1 THEN NULL WHEN kind=0 THEN 'mass' ELSE 'volume' END AS dim,
+ CASE WHEN unit='个' OR kind IN (1,3) THEN NULL WHEN kind=0 THEN n*1.0::DOUBLE ELSE n*1000.0::DOUBLE END AS amount, CASE WHEN unit='个' OR kind IN (1,3) THEN NULL WHEN kind=0 THEN CAST(n AS VARCHAR)||'g' ELSE CAST(n AS VARCHAR)||'l' END AS label
+ FROM (SELECT p_partkey AS id, p_size AS n, p_size%4 AS kind, CASE p_partkey%3 WHEN 0 THEN '瓶' WHEN 1 THEN '盒' ELSE '个' END AS unit FROM part)""")
+def package_contents(spark, sf):
+    """Contents stated outright, beside a slash (which a text key does not keep), per package, and not at all."""
+    kind, size = c("p_size") % 4, c("p_size").cast("string")
+    unit = F.when(c("p_partkey") % 3 == 0, "瓶").when(c("p_partkey") % 3 == 1, "盒").otherwise("个")
+    spec = (F.when(kind == 0, F.concat(F.lit("净含量："), size, F.lit(" Ｇ"))).when(kind == 1, F.concat(size, F.lit("ml/"), unit))
+            .when(kind == 2, F.concat(F.lit("每 "), unit, F.lit("，"), size, F.lit("L"))).otherwise(F.concat(size, F.lit("g"))))
+    return V.table(spark, sf, "part").select(c("p_partkey").alias("id"), package_content(spec, unit).alias("x")).select("id", "x.dim", "x.amount", "x.label")
+
+
+@query("pack_ratios", """SELECT p_partkey AS id, CASE p_size%5 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN p_size+0.5::DOUBLE WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE CAST(p_partkey%7+1 AS DOUBLE) END AS ratio FROM part""")
+def pack_ratios(spark, sf):
+    """Pieces per box: with spaces, in halves, of another package, of none, and with two kinds of pieces (the first kind counts)."""
+    size, other = c("p_size").cast("string"), (c("p_partkey") % 7 + 1).cast("string")
+    spec = (F.when(c("p_size") % 5 == 0, F.concat(size, F.lit(" 个 / 盒"))).when(c("p_size") % 5 == 1, F.concat(size, F.lit(".5支/盒，10个/箱")))
+            .when(c("p_size") % 5 == 2, F.concat(size, F.lit("支/箱"))).when(c("p_size") % 5 == 3, F.lit("0只/盒"))
+            .otherwise(F.concat(size, F.lit("支/盒 "), other, F.lit("个/盒"))))
+    return V.table(spark, sf, "part").select(c("p_partkey").alias("id"), pack_ratio(folded(spec), F.lit("盒")).alias("ratio"))
+
+
 @query("spec_overlap", V.with_views(f"""SELECT line_id, id, CASE WHEN len(a)=0 AND len(b)=0 THEN 0.0 ELSE round(len(list_intersect(a,b))/CAST(len(list_distinct(list_concat(a,b))) AS DOUBLE), 6) END AS jaccard,
  CASE WHEN len(a)=0 THEN 0.0 ELSE round(len(list_intersect(a,b))/CAST(greatest(1,least(len(a),len(b))) AS DOUBLE), 6) END AS coverage
  FROM (SELECT l.line_id, r.id, list_distinct(regexp_extract_all(replace(lower(l.spec),' ',''), '[0-9]+mm')) AS a, list_distinct(regexp_extract_all(replace(lower(r.spec),' ',''), '[0-9]+mm')) AS b {PAIRS_SQL})"""))

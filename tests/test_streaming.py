@@ -1,6 +1,7 @@
 """Streaming forms: repeated input does not change the outcome."""
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from priceloom.operators.review import confirmed_drafts
@@ -81,3 +82,8 @@ def test_drafts_of_confirmed_lines(spark):
     assert tuple(got[2])[2:11] == ("thing 2", "line spec", "", "line brand", "hand", "pc", "L1", 5.0, 5.0)
     assert (got[5].spec, got[5].manufacturer, got[5].confirmed_price, got[5].status) == ("line spec", "", 3.0, "pending")
     assert confirmed_drafts(lines, options.limit(0), history).count() == 0
+
+
+def test_table_without_versions(spark, tmp_path):
+    with pytest.raises(ValueError, match="no complete version"):
+        J.VersionedTable(spark, str(tmp_path / "none")).read()
