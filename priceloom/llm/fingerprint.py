@@ -89,23 +89,35 @@ def merged(a: Column, b: Column, keep_bits: int = KEEP_BITS) -> Column:
     return F.array_sort(F.array_union(sampled(a, keep_bits), sampled(b, keep_bits)))
 
 
-def _in_runs(rows: DataFrame, ids: DataFrame, run_rows: int, quantiles: int) -> DataFrame:
+def _knots(ids: DataFrame, run_rows: int, quantiles: int) -> DataFrame:
+    """One row: quantiles of the ids, and how many cells lie between two of them.
+
+    Written, since approximate quantiles may differ from one pass to the next, and all rows have to be cut alike.
+    """
+    from ..session import materialize
+
+    return materialize(ids.agg(F.struct(
+        F.array_distinct(F.percentile_approx("doc_id", [i / quantiles for i in range(quantiles + 1)], 10_000)).alias("at"),
+        F.ceil(F.count(F.lit(1)) / (quantiles * run_rows)).cast("long").alias("cells")).alias("knots")), "knots")
+
+
+def _in_runs(rows: DataFrame, knots: DataFrame) -> DataFrame:
     """rows with ``_place`` (between which quantiles of the ids) and ``_run`` (a cell of that place).
 
     Runs follow the order of the ids and hold about ``run_rows`` rows each, whatever the
     spread of the ids: an equal-depth histogram, cut into equal widths between its knots.
+    Widths are doubles: differences of any two ids fit, and rounding keeps their order.  Ids below the first knot (a quantile
+    of large ids may be rounded up) are one run.
     """
-    knots = ids.agg(F.struct(
-        F.array_distinct(F.percentile_approx("doc_id", [i / quantiles for i in range(quantiles + 1)], 10_000)).alias("at"),
-        F.ceil(F.count(F.lit(1)) / (quantiles * run_rows)).cast("long").alias("cells")).alias("knots"))
     c = F.col
     place = F.size(F.filter(c("_k.at"), lambda k: k <= c("doc_id")))
-    low = F.get(c("_k.at"), F.greatest(place - 1, F.lit(0)))
-    high = F.coalesce(F.get(c("_k.at"), place), low + 1)
-    inside = F.floor((c("doc_id") - low).cast("double") / (high - low).cast("double") * c("_k.cells"))
+    low = F.get(c("_k.at"), F.greatest(place - 1, F.lit(0))).cast("double")
+    high = F.coalesce(F.get(c("_k.at"), place).cast("double"), low)
+    share = (c("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0))
+    inside = F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * c("_k.cells"))
     return rows.withColumn("_k", knots.scalar()).withColumns({
         "_place": F.coalesce(F.when(c("doc_id").isNotNull(), place), F.lit(-1)),
-        "_run": F.coalesce(F.least(F.greatest(inside, F.lit(0)), c("_k.cells") - 1), F.lit(0)).cast("long")}).drop("_k")
+        "_run": F.coalesce(F.least(inside, c("_k.cells") - 1), F.lit(0)).cast("long")}).drop("_k")
 
 
 def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] | None = None, run_rows: int = RUN_ROWS,
@@ -121,9 +133,10 @@ def with_next(docs: DataFrame, columns: list[str], derived: dict[str, Column] |
     c = F.col
     derived = derived or {}
     ids = docs.select("doc_id")
-    held = _in_runs(docs.withColumns(derived), ids, run_rows, quantiles)
+    knots = _knots(ids, run_rows, quantiles)
+    held = _in_runs(docs.withColumns(derived), knots)
     # Written, so that its true size decides how it is joined: one row for hundreds of documents.
-    tops = materialize(_in_runs(ids, ids, run_rows, quantiles).groupBy("_place", "_run").agg(F.max("doc_id").alias("_head")), "tops")
+    tops = materialize(_in_runs(ids, knots).groupBy("_place", "_run").agg(F.max("doc_id").alias("_head")), "tops")
     # Which head follows a run: that of the next run of its place, else of the next place (at most quantiles + 2 of
     # them), and the highest of all after the lowest.
     places = tops.groupBy("_place").agg(F.max_by("_head", "_run").alias("_first"))

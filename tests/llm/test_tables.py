@@ -205,6 +205,23 @@ def test_fingerprints_and_neighbours(spark):
     assert fingerprint.with_next(docs.filter("doc_id < 0"), ["text"]).count() == 0
 
 
+def test_next_rows_of_ids_of_any_size(spark):
+    draw = random.Random(8)
+    ids = {draw.randint(-2**63, 2**63 - 1) for _ in range(400)} | {-2**63, 2**63 - 1, 0} | {2**60 + i for i in range(300)}
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(7)
+    line = sorted(ids, reverse=True)
+    following = {x: line[(k + 1) % len(line)] for k, x in enumerate(line)}
+    got = fingerprint.with_next(docs, ["text"], run_rows=4, quantiles=10).collect()
+    assert {r.doc_id: r.next_text for r in got} == {i: f"text {following[i]}" for i in ids} and len(got) == len(ids)
+    held = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        got = fingerprint.with_next(docs, ["text"], run_rows=4, quantiles=10).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", held)
+    assert {r.doc_id: r.next_text for r in got} == {i: f"text {following[i]}" for i in ids} and len(got) == len(ids)
+
+
 def test_sketches_estimate_resemblance(spark):
     draw = random.Random(4)
     words = [f"v{i}" for i in range(5000)]
