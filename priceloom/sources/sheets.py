@@ -84,10 +84,10 @@ def _text(col: Column) -> Column:
     return cell_text(F.try_element_at("at", F.coalesce(col, F.lit(0))))
 
 
-def salvage_code(*texts: Column) -> Column:
-    """First isolated five-digit code, not ending in 000, over the given texts."""
+def salvage_code(*texts: Column, pattern: str = LINE_CODE) -> Column:
+    """First isolated five-digit code, not ending in 000, over the given texts.  ``pattern``: what a code is (its first group)."""
     found = [
-        F.get(F.filter(F.regexp_extract_all(nfkc(t), F.lit(LINE_CODE), 1), lambda x: ~x.endswith("000")), 0) for t in texts
+        F.get(F.filter(F.regexp_extract_all(nfkc(t), F.lit(pattern), 1), lambda x: ~x.endswith("000")), 0) for t in texts
     ]
     return F.coalesce(*found, F.lit(""))
 

@@ -11,6 +11,7 @@ from priceloom.functions.units import compare_units, package_content
 from priceloom.operators.candidates import name_gate
 from priceloom.operators.governance import validate_rows
 from priceloom.sources.sheets import salvage_code
+from priceloom.suite import all_queries
 
 c = F.col
 CFG = MatchConfig()
@@ -142,8 +143,21 @@ def test_name_gate(spark):
     assert [(r.i, r.got) for r in rows if r.got != r.want] == []
 
 
+def parts(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(
+        f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
 def test_a_price_with_a_minus_sign_is_negative(spark):
     df = spark.createDataFrame([(i, p, "", "bolt") for i, p in enumerate(["0.0", "-0.0", "-1", " -0 ", "2"])], "id int, price string, quantity string, name string")
     ok, bad = validate_rows(df)
     assert sorted(r.id for r in ok.collect()) == [0, 4]
     assert {(r.id, r.reason) for r in bad.collect()} == {(1, "price_negative"), (2, "price_negative"), (3, "price_negative")}
+
+
+def test_salvaged_codes_of_parts_begin_with_any_digit(spark, tmp_path):
+    sf = parts(spark, tmp_path, [(k, "red ring", "b", "t", 5, 1.0) for k in (7, 90001, 99000, 100001)])
+    got = {r.id: r.code for r in all_queries()[0]["salvage_code"](spark, sf).collect()}
+    assert got == {7: "00007", 90001: "90001", 99000: "", 100001: ""}
+    assert one_column(spark, ["code 90001, code 05027"], salvage_code) == [("05027",)]
