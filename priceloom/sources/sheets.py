@@ -20,8 +20,9 @@ from .cells import rows_of
 SEARCH_ROWS = 41
 #: Rows of a sheet that one window walks.
 CHUNK_ROWS = 4096
-# An isolated five-digit code; a plain number; a "total of N" remark.
+# An isolated five-digit code; a code of a book; a plain number; a "total of N" remark.
 LINE_CODE = r"(?<![\dA-Za-z])([0-8]\d{4})(?![0-9A-Za-z.:+])"
+BOOK_CODE = r"^\d{5}$"
 PLAIN_NUMBER = r"^\d[\d,，]*(?:\.\d+)?$"
 TOTAL_REMARK = r"^共\s*\d+"
 SHEET = ["file", "sheet"]
@@ -92,11 +93,11 @@ def salvage_code(*texts: Column, pattern: str = LINE_CODE) -> Column:
     return F.coalesce(*found, F.lit(""))
 
 
-def repair_codes(df: DataFrame) -> DataFrame:
-    """Codes without float suffix; misplaced five-digit codes and long texts leave ``model``."""
+def repair_codes(df: DataFrame, code: str = BOOK_CODE) -> DataFrame:
+    """Codes without float suffix; misplaced codes (``code``: five digits) and long texts leave ``model``."""
     c = F.col
     df = df.withColumns({"_code": standard_code(c("product_code")), "_model": standard_code(c("model"))})
-    is_code = c("_model").rlike("^\\d{5}$")
+    is_code = c("_model").rlike(code)
     is_text = ~is_code & (F.length("_model") > 20) & (F.coalesce(c("spec"), F.lit("")) == "")
     return df.withColumns({
         "product_code": F.when(is_code & (c("_code") == ""), c("_model")).otherwise(c("_code")),

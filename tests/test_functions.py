@@ -10,7 +10,7 @@ from priceloom.functions.text import cell_name, cell_text, format_g, name_core,
 from priceloom.functions.units import compare_units, package_content
 from priceloom.operators.candidates import name_gate
 from priceloom.operators.governance import validate_rows
-from priceloom.sources.sheets import salvage_code
+from priceloom.sources.sheets import repair_codes, salvage_code
 from priceloom.suite import all_queries
 
 c = F.col
@@ -161,3 +161,11 @@ def test_salvaged_codes_of_parts_begin_with_any_digit(spark, tmp_path):
     got = {r.id: r.code for r in all_queries()[0]["salvage_code"](spark, sf).collect()}
     assert got == {7: "00007", 90001: "90001", 99000: "", 100001: ""}
     assert one_column(spark, ["code 90001, code 05027"], salvage_code) == [("05027",)]
+
+
+def test_codes_of_parts_beyond_five_digits_leave_the_model(spark, tmp_path):
+    sf = parts(spark, tmp_path, [(k, "red ring", "b", "t", 3, 1.0) for k in (7, 99999, 100001, 7654321)])
+    got = {r.id: (r.product_code, r.model) for r in all_queries()[0]["repair_codes"](spark, sf).collect()}
+    assert got == {7: ("00007", ""), 99999: ("99999", ""), 100001: ("100001", ""), 7654321: ("7654321", "")}
+    plain = repair_codes(spark.createDataFrame([("", "", "100001.0")], "spec string, product_code string, model string")).first()
+    assert (plain.product_code, plain.model) == ("", "100001")
