@@ -22,8 +22,29 @@ def _parts(df: DataFrame, given: bool) -> DataFrame:
     return df.withColumns({k: F.when(F.col(k[3:]).isNotNull(), v) if given else v for k, v in made.items()})
 
 
-def _key(parts) -> "F.Column":
-    return F.to_json(F.array(*parts))
+def _node(parts) -> "F.Column":
+    """A key as a number.  Keys of one number fall into one connected part, which a part may be a union of; each stays a key of its own."""
+    return F.xxhash64(*parts)
+
+
+def _parts_of_items(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item, label) and (node, label) of the graph of distinct ``edges`` (item, node).
+
+    An item joins its nodes to its smallest one.  Items of one node join nothing, and items of equal nodes the same: only the
+    distinct joins of the rest are searched for connected parts.
+    """
+    from ..session import materialize
+
+    c = F.col
+    items = materialize(edges.groupBy("item").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.count(F.lit(1)).alias("nodes")), "items")
+    joins = items.filter("nodes = 2").select("head", c("last").alias("node")).unionByName(
+        edges.join(items.filter("nodes > 2").select("item", "head"), "item").filter("head != node").select("head", "node"))
+    joins = materialize(joins.distinct(), "joins")
+    labels = _components(joins.select(c("head").alias("item"), "node").unionByName(
+        joins.select(c("head").alias("item"), c("head").alias("node")).distinct()))
+    of_item = items.join(labels, items["head"] == labels["node"], "left").select("item", F.coalesce("label", "head").alias("label"))
+    of_node = edges.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return of_item, of_node
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -135,25 +156,28 @@ def apply_changes(history: DataFrame, changes: DataFrame, max_rows: int | None =
     # Keys an id may come to have: each part as stored or as any of its edits says.
     created = F.coalesce("op", F.lit("")) == "create"
     none = {f: F.lit("0.0" if f == "price" else "") for f in PARTS}
-    own = edits.filter("op = 'update'").select("id", *[f"_p_{f}" for f in PARTS]).unionByName(stored.select("id", *[f"_p_{f}" for f in PARTS]))
+    given = F.coalesce(*[c(f"_p_{f}") for f in PARTS]).isNotNull()
+    own = edits.filter(c("op") == "update").filter(given).select("id", *[f"_p_{f}" for f in PARTS]).unionByName(stored.select("id", *[f"_p_{f}" for f in PARTS]))
     reach = own.groupBy("id").agg(*[F.collect_set(f"_p_{f}").alias(f"_p_{f}") for f in PARTS]).join(stored.select("id"), "id", "left_semi")
     for f in PARTS:
         reach = reach.withColumn(f"_p_{f}", F.explode(f"_p_{f}"))
-    keys = reach.select("id", _key([c(f"_p_{f}") for f in PARTS]).alias("node")).unionByName(
-        edits.filter(created).select("id", _key([F.coalesce(c(f"_p_{f}"), none[f]) for f in PARTS]).alias("node")))
-    item = edits.select("seq", F.when(created, F.concat(F.lit("new:"), c("seq").cast("string"))).otherwise(F.concat(F.lit("id:"), "id")).alias("item"), "id", "op")
-    edges = materialize(item.filter("op != 'create'").select("item", "id").distinct().join(keys, "id").select("item", "node").unionByName(
-        item.filter("op = 'create'").join(edits.select("seq", _key([F.coalesce(c(f"_p_{f}"), none[f]) for f in PARTS]).alias("node")), "seq").select("item", "node")).distinct(), "edges")
-    labels = _components(edges)
-    of_item = edges.join(labels, "node").groupBy("item").agg(F.min("label").alias("label"))
+    of_id, of_new = F.xxhash64(F.lit("id:"), c("id")), F.xxhash64(F.lit("new:"), c("seq"))
+    edges = reach.select(of_id.alias("item"), _node([c(f"_p_{f}") for f in PARTS]).alias("node")).unionByName(
+        edits.filter(created).select(of_new.alias("item"), _node([F.coalesce(c(f"_p_{f}"), none[f]) for f in PARTS]).alias("node")))
+    # A create meets what other edits do with its id.
+    taken = edits.filter(created).select("id", _node([F.coalesce(c(f"_p_{f}"), none[f]) for f in PARTS]).alias("node")).join(asked, "id")
+    edges = materialize(edges.unionByName(taken.select(of_id.alias("item"), "node")).distinct(), "edges")
+    of_item, of_node = _parts_of_items(edges)
+    of_item, of_node = materialize(of_item, "of_item"), materialize(of_node, "of_node")
     # The book's first row of each key that is in play.
-    keyed = book.withColumn("node", _key([c(f"_p_{f}") for f in PARTS])).join(labels, "node")
-    first = keyed.groupBy("node", "label").agg(F.min_by(F.struct("id", *[f"_p_{f}" for f in PARTS]), "rowid").alias("r")).select("label", "r.*")
+    parts = [f"_p_{f}" for f in PARTS]
+    keyed = book.select("id", "rowid", *parts).withColumn("node", _node([c(x) for x in parts])).join(of_node, "node")
+    first = keyed.groupBy("label", *parts).agg(F.min_by("id", "rowid").alias("id"))
     phase = F.when(c("op") == "delete", 2).when(c("op") == "update", 3).otherwise(4)
-    labelled = edits.join(item.select("seq", "item"), "seq").join(of_item, "item", "left")
+    labelled = edits.withColumn("item", F.when(created, of_new).otherwise(of_id)).join(of_item, "item", "left")
     # Edits of unknown ids touch nothing; they go where their id sends them.
     events = labelled.withColumns({"label": F.coalesce("label", "item"), "phase": phase}).drop("item")
-    held = stored.withColumn("item", F.concat(F.lit("id:"), "id")).join(of_item, "item").select(
+    held = stored.withColumn("item", of_id).join(of_item, "item").select(
         "label", F.lit(0).alias("phase"), "id", c("revision").alias("actual"), *EDITABLE, *[f"_p_{f}" for f in PARTS])
     every = events.unionByName(held, allowMissingColumns=True).unionByName(first.withColumn("phase", F.lit(1)), allowMissingColumns=True)
     schema = (f"seq {edits.schema['seq'].dataType.simpleString()}, op string, id string, status string, reason string, holder string, changed array<string>, revision int, "

@@ -260,3 +260,41 @@ def test_many_edits_meet_in_one_key(spark):
     edits = spark.createDataFrame([change(i, "create", f"n{i}", name="同名", unit="个", price=1.0) for i in range(1, 3001)], CHANGE)
     new, results = CH.apply_changes(h, edits)
     assert new.count() == 2 and {(r.status, r["count"]) for r in results.groupBy("status").count().collect()} == {("ok", 1), ("conflict", 2999)}
+
+
+def test_parts_of_a_change_set_follow_from_distinct_joins(spark, monkeypatch):
+    """Edits that join no keys, or the same as others, are not searched for connected parts; the results are a plain replay's."""
+    rows = [(f"r{i:03}", f"r{i:03}", f"n{i % 6}", 10.0 * (i % 3), 1) for i in range(60)]
+    h = spark.createDataFrame(rows, "id string, rowid string, name string, price double, revision int")
+    h = h.withColumns({f: F.lit(None).cast("double" if f == "quantity" else "string") for f in CH.EDITABLE if f not in h.columns})
+    edits = [(i, "update", f"r{i:03}", None, 0, None, 10.0 * (i % 3) + 5 if i % 4 == 0 else None) for i in range(60)]
+    edits += [(100, "create", "new1", None, 0, "n0", 15.0), (101, "create", "new2", None, 0, "z", 1.0), (102, "delete", "r007", None, 0, None, None),
+              (103, "update", "nobody", None, 0, "x", None), (104, "create", "new3", None, 0, "n1", 10.0)]
+    e = spark.createDataFrame(edits, "seq int, op string, id string, revision int, bad_fields int, name string, price double")
+    e = e.withColumns({f: F.lit(None).cast("double" if f == "quantity" else "string") for f in CH.EDITABLE if f not in e.columns})
+    searched, search = [], CH._components
+    monkeypatch.setattr(CH, "_components", lambda edges: searched.append(edges.count()) or search(edges))
+    got = {r.seq: (r.status, r.reason, r.holder) for r in CH.apply_changes(h, e)[1].collect()}
+    assert searched == [6]  # three keys of rows with a new price, each joined with one other
+    book, index, want = {r[0]: [r[2], r[3]] for r in rows}, {}, {}
+    for r in rows:
+        index.setdefault((r[2], r[3]), r[0])
+    for seq, op, i, _, _, name, price in sorted(edits, key=lambda x: (("delete", "update", "create").index(x[1]), x[0])):
+        if op != "create" and i not in book:
+            want[seq] = ("rejected", "missing", None)
+            continue
+        old = tuple(book.get(i, ()))
+        if op == "delete":
+            del book[i]
+        key = (name or (old[0] if old else ""), price if price is not None else (old[1] if old else 0.0))
+        if op != "delete" and index.get(key, i) != i:
+            want[seq] = ("conflict", "duplicate_key", index[key])
+            continue
+        if (op == "delete" or key != old) and index.get(old) == i:
+            del index[old]
+        if op != "delete" and key != old:
+            book[i], index[key] = list(key), i
+        elif op != "delete":
+            index.setdefault(key, i)
+        want[seq] = ("ok", None, None)
+    assert got == want
