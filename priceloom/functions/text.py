@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 # Fixed value: characters dropped from a text key, next to white space.
 KEY_PUNCTUATION = "·•，,。.;；:：()（）\\[\\]【】<>《》“”\"'‘’/\\\\_—–-"
 KEY_CLASS = f"(?U)[\\s{KEY_PUNCTUATION}]+"
+# What becomes of ASCII characters in a text key: letters in lower case, then the dropped ones, which have no counterpart.
+ASCII_FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r \"'(),-./:;<>[\\]_"
+ASCII_TO = "abcdefghijklmnopqrstuvwxyz"
+NOT_ASCII = "[^\\x00-\\x7F]"
 # Fixed value: separators dropped from a price-book (catalog) name.
 CATALOG_CLASS = "(?U)[\\s_\\-·．.]+"
 SPACES = "(?U)[\\s　]+"
@@ -50,7 +54,7 @@ def nfkc(c: Column) -> Column:
         F.when(c.rlike(klass), pairs).otherwise(none), c,
         lambda acc, p: F.replace(acc, F.substring(p, 1, 1), F.substring(p, 2, 20)),
     )
-    return F.when(c.rlike("[^\\x00-\\x7F]"), F.translate(widened, source, target)).otherwise(c)
+    return F.when(c.rlike(NOT_ASCII), F.translate(widened, source, target)).otherwise(c)
 
 
 def folded(c: Column) -> Column:
@@ -59,7 +63,9 @@ def folded(c: Column) -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    return F.regexp_replace(folded(c), KEY_CLASS, "")
+    """Text key.  Texts in ASCII need no folding: one pass over their characters gives the same key."""
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(text.rlike(NOT_ASCII), F.regexp_replace(folded(c), KEY_CLASS, "")).otherwise(F.translate(text, ASCII_FROM, ASCII_TO))
 
 
 def strip_ws(c: Column) -> Column:
@@ -73,7 +79,7 @@ def drop_float_suffix(c: Column) -> Column:
 
 def key_of_folded(text: Column) -> Column:
     """Text key of an already folded text."""
-    return F.regexp_replace(text, KEY_CLASS, "")
+    return F.when(text.rlike(NOT_ASCII), F.regexp_replace(text, KEY_CLASS, "")).otherwise(F.translate(text, ASCII_FROM[26:], ""))
 
 
 def plain_code(c: Column) -> Column:

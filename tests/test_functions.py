@@ -169,3 +169,14 @@ def test_codes_of_parts_beyond_five_digits_leave_the_model(spark, tmp_path):
     assert got == {7: ("00007", ""), 99999: ("99999", ""), 100001: ("100001", ""), 7654321: ("7654321", "")}
     plain = repair_codes(spark.createDataFrame([("", "", "100001.0")], "spec string, product_code string, model string")).first()
     assert (plain.product_code, plain.model) == ("", "100001")
+
+
+def test_ascii_keys_take_one_pass(spark):
+    """ASCII texts give the key of the general way; their branch has no regular expression."""
+    from priceloom.functions import text as T
+
+    rows = [(f"A{chr(p)}z{chr(p)}",) for p in range(1, 0x3000)] + [(None,), ("",)]
+    df = spark.createDataFrame(rows, "x string").select("x", F.regexp_replace(T.folded(F.col("x")), T.KEY_CLASS, "").alias("general"), T.normalize_text(F.col("x")).alias("key"))
+    assert df.filter(~F.col("general").eqNullSafe(F.col("key"))).count() == 0
+    plan = df.select("key")._jdf.queryExecution().analyzed().toString()
+    assert "ELSE translate(" in plan
