@@ -208,6 +208,29 @@ def test_reconcile_actions(spark):
     assert {r.action: r.rows for r in RC.action_summary(out).collect()}["duplicate"] == 2
 
 
+def test_reconcile_writes_a_narrow_row_per_identity(spark, monkeypatch):
+    from priceloom import session
+
+    written = {}
+
+    def noted(df, label="stage"):
+        out = write(df, label)
+        written[label] = (out.columns, out.count())
+        return out
+
+    write = session.materialize
+    monkeypatch.setattr(session, "materialize", noted)
+    h = book(spark, *[(f"h{i}", "烧杯", "100ml", "个", "甲", i) for i in range(7)], ("one", "试管", "", "支", "甲", 2))
+    rows = [(i, "烧杯", "100ml", "个", "甲", 5.5, ["spec", "unit", "manufacturer", "price"]) for i in range(40)] + [(99, "试管", "", "支", "甲", 3.0, ["spec", "unit", "price"])]
+    df = spark.createDataFrame(rows, "seq int, name string, spec string, unit string, manufacturer string, price double, provided array<string>")
+    out = RC.reconcile(df.withColumns({x: F.lit("") for x in ("model", "brand", "product_code")}), h)
+    # Copies in the file do not add to what is written, and no text of theirs is.
+    assert written["identities"][1] == 2 and not {"name", "spec", "provided"} & set(written["identities"][0])
+    assert {(r.action, r.hidden_targets, r.target_id) for r in out.collect()} == {("ambiguous", 2, None), ("duplicate", None, None), ("update", None, "one")}
+    assert sorted((r.position, r.id, r.changed) for r in RC.ambiguous_targets(out, h).collect()) == [(k + 1, f"h{k}", ["price"]) for k in range(5)]
+    assert "current_name" not in written["heads"][0] and written["heads"][1] == 5
+
+
 CHANGE = "seq int, op string, id string, revision int, bad_fields int, " + ", ".join(
     f"{f} {'double' if f in ('price', 'quantity') else 'string'}" for f in CH.EDITABLE)
 
@@ -298,3 +321,12 @@ def test_parts_of_a_change_set_follow_from_distinct_joins(spark, monkeypatch):
             index.setdefault(key, i)
         want[seq] = ("ok", None, None)
     assert got == want
+
+
+def test_dedup_key_is_a_digest_of_whole_parts(spark):
+    from priceloom.functions.keys import dedup_key
+
+    rows = [("a", "bc", "", "", 0.0), ("ab", "c", "", "", 0.0), ("A.", "b c", None, "", -0.0), ("a", "bc", "", "", None), ("a", "bc", "", "", float("nan")), ("1|a", "bc", "", "", 0.0)]
+    keys = [bytes(r.k) for r in spark.createDataFrame(rows, "name string, spec string, unit string, manufacturer string, price double").select(dedup_key().alias("k")).collect()]
+    assert {len(k) for k in keys} == {16}
+    assert keys[0] == keys[2] == keys[3] and len({keys[0], keys[1], keys[4], keys[5]}) == 4
