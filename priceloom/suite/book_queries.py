@@ -376,7 +376,7 @@ def read_book_files(spark, sf):
 def load_seed(spark, sf):
     root = f"{shared_dir(spark)}/seed-{uuid.uuid4().hex}"
     h = V.history(spark, sf)
-    h.select(*[c(b).alias(a) for a, b in B.SEED_FIELDS.items()]).write.json(root)
+    h.select(*[c(b).alias(a) for a, b in B.SEED_FIELDS.items()]).write.option("compression", "gzip").option("maxRecordsPerFile", 1_000_000).json(root)
     return B.load_seed(spark, root).groupBy("source_file").agg(F.count(F.lit(1)).alias("records"))
 
 
