@@ -25,10 +25,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents with a recognised language.  Those without letters go, and those less certain than nearly all learnable texts
     of the language they are taken for.
     """
-    known = langid.labelled(docs)
-    names, network = langid.train(known)
-    least = langid.least_scores(known, names, network).withColumnRenamed("lang", "_lang")
+    names, network = langid.train(langid.labelled(docs))
     seen = written_in_small_batches(langid.predict(docs, names, network))
+    # All learnable texts, with the scores just written.
+    learnable = langid.labelled(seen, F.xxhash64("text").alias("_hash"), "lang", "lang_pred", "score")
+    least = langid.least_scores(learnable, names).withColumnRenamed("lang", "_lang")
     return seen.join(F.broadcast(least), F.col("lang_pred") == F.col("_lang")).filter("score >= least").select(*[seen[x] for x in docs.columns])
 
 

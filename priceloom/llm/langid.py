@@ -22,14 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.stats import order_statistics
 from .common import table, text_slices
 
 STEPS = 64
 HIDDEN = 8
 #: Bound of the training sample: so many documents of each language, so many windows of each.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 6
-#: Scores are judged by so many texts of each language and the share of them that may score less.
-SCORED_DOCS, LOW = 2000, 0.001
+#: The share of a language's recognised texts that may score less than its least score.
+LOW = 0.001
 EPOCHS, BATCH, RATE = 12, 512, 0.03
 #: A small sample is gone through more often, up to so many steps.
 LEAST_STEPS = 150
@@ -274,16 +275,21 @@ def predict(docs: DataFrame, names: list[str], network: Network | None, at_once:
     return held.mapInArrow(scan, held.schema)
 
 
-def least_scores(labelled: DataFrame, names: list[str], network: Network | None, low: float = LOW, most: int = SCORED_DOCS) -> DataFrame:
-    """(lang, least): a score below which only a share ``low`` of a language's own texts that are recognised lies.
+def least_scores(seen: DataFrame, names: list[str], low: float = LOW) -> DataFrame:
+    """(lang, least): a score below which only a share ``low`` of a language's own distinct texts that are recognised lies.
 
-    A language of which no text is recognised has the even guess.
+    ``seen``: (text or its ``_hash``, lang, lang_pred, score) of all learnable texts; none is left out.  Scores are counted per
+    value and per coarse cell; only the cell that holds the position is sorted.  A language of which no text is
+    recognised has the even guess.
     """
-    spark = labelled.sparkSession
-    found = {}
-    if names:
-        seen = predict(distinct_texts(labelled, most)[1], names, network).filter("lang = lang_pred")
-        found = dict(seen.groupBy("lang").agg(F.expr(f"percentile_disc({low}D) WITHIN GROUP (ORDER BY score)")).collect())
+    c = F.col
+    spark = seen.sparkSession
+    if "_hash" not in seen.columns:
+        seen = seen.withColumn("_hash", F.xxhash64("text"))
+    own = seen.filter((c("lang") == c("lang_pred")) & c("score").isNotNull()).select("lang", "_hash", "score").distinct()
+    counts = own.groupBy("lang", "score").agg(F.count(F.lit(1)).alias("n"))
+    at = lambda n: F.greatest(F.lit(1), F.ceil(n * F.lit(low)))
+    found = {r["lang"]: r["low"] for r in order_statistics(counts, ["lang"], "score", lambda n: (at(n), at(n)), "n").collect()}
     return spark.createDataFrame([(name, found.get(name, 1 / len(names))) for name in names], "lang string, least double")
 
 
@@ -291,9 +297,9 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def labelled(docs: DataFrame) -> DataFrame:
-    """What may be learned from."""
-    return docs.filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)) & F.col("lang").isNotNull()).select("text", "lang")
+def labelled(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """What may be learned from; text and lang, or other ``columns`` of it."""
+    return docs.filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False)) & F.col("lang").isNotNull()).select(*(columns or ("text", "lang")))
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

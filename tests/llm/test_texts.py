@@ -416,3 +416,13 @@ def test_toxicity_held_out_accuracy(spark):
     got = toxicity.op9_toxicity(spark, sf).filter("held_out").join(labels, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
     rate = {r.toxic: r.p for r in got}
     assert rate[0] < 0.03 and rate[1] > 0.7
+
+
+def test_least_scores_of_all_texts(spark):
+    """Every distinct recognised text counts, however many a language has; copies and other predictions do not."""
+    own = spark.range(5001, 10_001).select(F.concat(F.lit("t"), "id").alias("text"), F.lit("en").alias("lang"), F.lit("en").alias("lang_pred"), (F.col("id") / 10_000).alias("score"))
+    copies = own.filter("score < 0.5003").crossJoin(spark.range(50)).drop("id")
+    wrong = spark.createDataFrame([("x", "en", "de", 0.1), ("y", "de", "en", 0.2)], own.schema)
+    got = dict(langid.least_scores(own.unionByName(copies).unionByName(wrong), ["de", "en", "fr"]).collect())
+    assert got == {"de": 1 / 3, "en": 0.5005, "fr": 1 / 3}
+    assert dict(langid.least_scores(own.filter("lang = 'zz'"), []).collect()) == {}
