@@ -1,10 +1,13 @@
 """Row identity."""
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first_set, normalize_text
+from .text import ascii_key, first_set, is_ascii, normalize_text
 
 IDENTITY_FIELDS = ["name", "spec", "unit", "manufacturer"]
 
@@ -23,16 +26,39 @@ def digest(*parts: Column) -> Column:
     The lengths come first, so texts that only join to the same text differ.
     """
     texts = [F.coalesce(x.cast("string"), F.lit("")) for x in parts]
-    return F.unhex(F.md5(F.concat_ws("|", *[F.length(x).cast("string") for x in texts], *texts).cast("binary")))
+    return _digest_of(F.concat_ws("|", *[F.length(x).cast("string") for x in texts], *texts))
+
+
+#: Stands between the texts of one joined key; no folding makes or drops it.
+BETWEEN = "\x1f"
+
+
+def joined_key(fields=IDENTITY_FIELDS) -> Column:
+    """The text keys of some fields as one text.  ASCII texts are joined first and folded in one pass.
+
+    A text that holds the separator itself is rare: then the lengths of all keys come first, which makes more
+    separators than any other row has.
+    """
+    texts = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
+    parts = identity_parts(fields)
+    held = reduce(or_, [x.contains(BETWEEN) for x in texts])
+    text = F.concat_ws(BETWEEN, *texts)
+    careful = F.when(held, F.concat_ws(BETWEEN, *[F.length(x).cast("string") for x in parts], *parts)).otherwise(F.concat_ws(BETWEEN, *parts))
+    return F.when(is_ascii(text) & ~held, ascii_key(text)).otherwise(careful)
+
+
+def _digest_of(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def identity_key(fields=IDENTITY_FIELDS) -> Column:
-    return digest(*identity_parts(fields))
+    return _digest_of(joined_key(fields))
 
 
 def dedup_key() -> Column:
     """Identity and price; adding zero gives -0.0 the text of 0.0."""
-    return digest(*identity_parts(), price_key(F.col("price")) + F.lit(0.0))
+    price = (price_key(F.col("price")) + F.lit(0.0)).cast("string")
+    return _digest_of(F.concat(price, F.lit(BETWEEN), joined_key()))
 
 
 def vendor_key(manufacturer: Column, brand: Column) -> Column:

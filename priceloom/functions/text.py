@@ -54,7 +54,7 @@ def nfkc(c: Column) -> Column:
         F.when(c.rlike(klass), pairs).otherwise(none), c,
         lambda acc, p: F.replace(acc, F.substring(p, 1, 1), F.substring(p, 2, 20)),
     )
-    return F.when(c.rlike(NOT_ASCII), F.translate(widened, source, target)).otherwise(c)
+    return F.when(is_ascii(c), c).otherwise(F.translate(widened, source, target))
 
 
 def folded(c: Column) -> Column:
@@ -62,10 +62,20 @@ def folded(c: Column) -> Column:
     return F.lower(nfkc(F.coalesce(c.cast("string"), F.lit(""))))
 
 
+def is_ascii(text: Column) -> Column:
+    """As many bytes as characters."""
+    return F.octet_length(text) == F.length(text)
+
+
+def ascii_key(text: Column) -> Column:
+    """Text key of a text in ASCII."""
+    return F.translate(text, ASCII_FROM, ASCII_TO)
+
+
 def normalize_text(c: Column) -> Column:
     """Text key.  Texts in ASCII need no folding: one pass over their characters gives the same key."""
     text = F.coalesce(c.cast("string"), F.lit(""))
-    return F.when(text.rlike(NOT_ASCII), F.regexp_replace(folded(c), KEY_CLASS, "")).otherwise(F.translate(text, ASCII_FROM, ASCII_TO))
+    return F.when(is_ascii(text), ascii_key(text)).otherwise(F.regexp_replace(folded(c), KEY_CLASS, ""))
 
 
 def strip_ws(c: Column) -> Column:
@@ -79,7 +89,7 @@ def drop_float_suffix(c: Column) -> Column:
 
 def key_of_folded(text: Column) -> Column:
     """Text key of an already folded text."""
-    return F.when(text.rlike(NOT_ASCII), F.regexp_replace(text, KEY_CLASS, "")).otherwise(F.translate(text, ASCII_FROM[26:], ""))
+    return F.when(is_ascii(text), F.translate(text, ASCII_FROM[26:], "")).otherwise(F.regexp_replace(text, KEY_CLASS, ""))
 
 
 def plain_code(c: Column) -> Column:

@@ -330,3 +330,16 @@ def test_dedup_key_is_a_digest_of_whole_parts(spark):
     keys = [bytes(r.k) for r in spark.createDataFrame(rows, "name string, spec string, unit string, manufacturer string, price double").select(dedup_key().alias("k")).collect()]
     assert {len(k) for k in keys} == {16}
     assert keys[0] == keys[2] == keys[3] and len({keys[0], keys[1], keys[4], keys[5]}) == 4
+
+
+def test_joined_keys_fold_like_single_ones(spark):
+    from priceloom.functions.keys import BETWEEN, identity_key, joined_key
+    from priceloom.functions.text import normalize_text
+
+    rows = [("A.b", "C", None, "d"), ("Ａ b", "c", "", "D"), (f"a{BETWEEN}b", "c", "", "d"), ("a", f"b{BETWEEN}c", "", "d"), ("ab", "", "c", "d"), ("烧-杯", "C", "", "d")]
+    df = spark.createDataFrame(rows, "name string, spec string, unit string, manufacturer string")
+    out = [bytes(r.k) for r in df.select(identity_key().alias("k")).collect()]
+    assert out[0] == out[1] and len(set(out)) == 5
+    # ASCII texts take one pass for all fields, and no regular expression tells them from others.
+    assert [r.j for r in df.select(joined_key().alias("j")).limit(1).collect()] == [BETWEEN.join(["ab", "c", "", "d"])]
+    assert "octet_length" in str(normalize_text(c("name"))).lower()
