@@ -107,10 +107,11 @@ def requirement_met(rule_value: Column, rule_unit: Column, operator: Column, raw
     )
 
 
-def check_requirements(records: DataFrame, rules: DataFrame) -> DataFrame:
+def check_requirements(records: DataFrame, rules: DataFrame, on: str = "customer_id") -> DataFrame:
     """Records joined to their customer's rules: one row per unmet rule, with its warning.
 
-    ``records`` carries customer_id, spec, model and brand.
+    ``records`` carries ``on``, spec, model and brand.  Where records know their order only, give the rules by order:
+    then the records move once.
     """
     from ..functions.text import nfkc
 
@@ -119,7 +120,7 @@ def check_requirements(records: DataFrame, rules: DataFrame) -> DataFrame:
 
     raw = F.lower(nfkc(F.concat(blank("spec"), F.lit(" "), blank("model"))))
     key = normalize_text(F.concat(blank("spec"), blank("model"), blank("brand")))
-    df = records.withColumns({"_raw": raw, "_key": key}).join(rules, "customer_id")
+    df = records.withColumns({"_raw": raw, "_key": key}).join(rules, on)
     met = requirement_met(F.col("value"), F.col("rule_unit"), F.col("operator"), F.col("_raw"), F.col("_key"))
     warning = F.concat(
         F.when(F.col("required"), F.lit("BLOCK: ")).otherwise(F.lit("")), F.lit("未满足客户要求："),

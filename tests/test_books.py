@@ -358,3 +358,15 @@ def test_import_looks_up_only_new_ids(spark):
     assert {r.outcome: r.rows for r in report.collect()} == {"duplicate": 3, "inserted": 2, "invalid": 1} and merged.count() == 5
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" in plan and "LeftSemi" in plan
+
+
+def test_requirements_by_order_move_records_once(spark):
+    from priceloom.operators.scoring import check_requirements
+
+    records = spark.createDataFrame([("r1", 7, "10mm", "", ""), ("r2", 7, "30mm", None, ""), ("r3", 8, "10mm", "", "")], "id string, orderkey int, spec string, model string, brand string")
+    orders = spark.createDataFrame([(7, 1), (8, 2)], "orderkey int, customer_id int")
+    rules = spark.createDataFrame([(1, "size", ">=", "25", "mm", True), (1, "size", "<=", "20", "mm", False)],
+                                  "customer_id int, attribute_name string, operator string, value string, rule_unit string, required boolean")
+    found = check_requirements(records, orders.join(rules, "customer_id"), "orderkey")
+    before = check_requirements(records.join(orders, "orderkey"), rules)
+    assert {(r.id, r.warning) for r in found.collect()} == {(r.id, r.warning) for r in before.collect()} and found.count() == 2
