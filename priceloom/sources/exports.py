@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_set, standard_code
 from ..operators.pricing import tax_totals
+from ..session import materialize
 
 DETAIL_FIELDS = ["manufacturer", "brand", "model", "product_code", "spec", "unit"]
 SLOT_FIELDS = ["price", "manufacturer", "brand", "model", "product_code", "spec"]
@@ -58,10 +59,11 @@ def export_detail(lines: DataFrame, options: DataFrame, variant: str = "customer
 
 
 def export_wide(lines: DataFrame, options: DataFrame, requested: int, variant: str = "customer",
-                rate: float | None = None) -> DataFrame:
+                rate: float | None = None, history: DataFrame | None = None) -> DataFrame:
     """One row per line: the first option's prices, then a column group per further option.
 
-    The column groups go up to the largest number of options any exported line has, at
+    Options come with their fields, or as stored together with the ``history`` that fills them: then only shown options
+    are looked up there.  The column groups go up to the largest number of options any exported line has, at
     most ``requested``; that single number is the only thing fetched to the driver.
     """
     c = F.col
@@ -69,11 +71,15 @@ def export_wide(lines: DataFrame, options: DataFrame, requested: int, variant: s
     w = Window.partitionBy("line_id").orderBy("rank")
     chosen = options.filter("selected").join(lines.filter(visible).select("line_id"), "line_id", "left_semi")
     chosen = chosen.withColumn("slot", F.row_number().over(w)).filter(c("slot") <= max(1, requested))
+    if history is not None:
+        chosen = resolve_option_fields(chosen, history)
     code = standard_code(first_set(c("product_code"), c("model")))
     chosen = chosen.withColumns({"price": c("final_price"), "model": code, "product_code": standard_code(c("product_code"))})
+    # Written once: the number of slots and the slots come from the same rows.
+    chosen = materialize(chosen.select("line_id", "slot", *SLOT_FIELDS), "slots")
     most = chosen.agg(F.max("slot")).first()[0] or 1
     slots = chosen.groupBy("line_id").pivot("slot", list(range(1, most + 1))).agg(
-        F.first(F.struct(*SLOT_FIELDS, "score", "warnings", "record_source_file", "record_source_sheet", "record_source_row")))
+        F.first(F.struct(*SLOT_FIELDS)))
     df = lines.join(slots, "line_id", "left").withColumn("final_price", c("`1`.price"))
     df = tax_totals(df.withColumn("_unit", c("unit")), rate)
     columns = ["line_id", "sheet_name", "source_row", "name", "billing_quantity", c("final_price").alias("option1_price"),

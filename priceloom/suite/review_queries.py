@@ -198,9 +198,12 @@ RESOLVED = """r AS (SELECT o.*, CASE WHEN record_manufacturer<>'' THEN record_ma
  CASE WHEN record_spec<>'' THEN record_spec ELSE h.spec END AS fs, CASE WHEN record_unit<>'' THEN record_unit ELSE h.unit END AS fu FROM ropts o LEFT JOIN hist h ON h.id=o.history_id)"""
 
 
+def stored(spark, sf):
+    return V.review_options(spark, sf).drop("manufacturer", "brand", "spec", "model", "product_code", "unit")
+
+
 def resolved(spark, sf):
-    options = V.review_options(spark, sf).drop("manufacturer", "brand", "spec", "model", "product_code", "unit")
-    return E.resolve_option_fields(options, V.history(spark, sf))
+    return E.resolve_option_fields(stored(spark, sf), V.history(spark, sf))
 
 
 @query("resolve_option_fields", V.with_views(f"WITH {RESOLVED} SELECT option_id, fm AS manufacturer, fc AS product_code, fs AS spec, fu AS unit FROM r"))
@@ -228,7 +231,7 @@ def export_detail(spark, sf):
  x AS (SELECT l.line_id, l.name, {Q} AS q, a.final_price AS p, coalesce(a.fm,'') AS m, b.final_price AS p2, b.fm AS m2, d.final_price AS p3 FROM rlines l LEFT JOIN s a ON a.line_id=l.line_id AND a.slot=1 AND l.confirmed LEFT JOIN s b ON b.line_id=l.line_id AND b.slot=2 AND l.confirmed LEFT JOIN s d ON d.line_id=l.line_id AND d.slot=3 AND l.confirmed)
  SELECT line_id, name, p AS option1_price, {money('p')}, m AS option1_manufacturer, p2 AS option2_price, m2 AS option2_manufacturer, p3 AS option3_price FROM x"""))
 def export_wide(spark, sf):
-    df = E.export_wide(V.review_lines(spark, sf), resolved(spark, sf), 3, "customer")
+    df = E.export_wide(V.review_lines(spark, sf), stored(spark, sf), 3, "customer", history=V.history(spark, sf))
     return df.select("line_id", "name", "option1_price", "tax_unit", "total", "tax_total", "option1_manufacturer", "option2_price",
                      "option2_manufacturer", "option3_price")
 

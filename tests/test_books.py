@@ -370,3 +370,21 @@ def test_requirements_by_order_move_records_once(spark):
     found = check_requirements(records, orders.join(rules, "customer_id"), "orderkey")
     before = check_requirements(records.join(orders, "orderkey"), rules)
     assert {(r.id, r.warning) for r in found.collect()} == {(r.id, r.warning) for r in before.collect()} and found.count() == 2
+
+
+def test_wide_export_looks_up_shown_options_only(spark):
+    from priceloom.sources import exports as E
+
+    texts = "record_manufacturer string, record_brand string, record_model string, record_product_code string, record_spec string, record_unit string"
+    lines = spark.createDataFrame([(1, "s", 1, "甲", "pc", 2.0, None, True), (2, "s", 2, "乙", "pc", 3.0, None, False), (3, "s", 3, "丙", "pc", 1.0, 4.0, True)],
+                                  "line_id int, sheet_name string, source_row int, name string, unit string, quantity double, pricing_quantity double, confirmed boolean")
+    options = spark.createDataFrame([
+        (1, "o1", 1, True, 5.0, "a", "", "", "", "", "", ""), (1, "o2", 2, True, 6.0, "zz", "own", "", "", "", "", ""), (1, "o3", 3, True, 7.0, "b", "", "", "", "", "", ""),
+        (1, "o4", 4, False, 8.0, "a", "", "", "", "", "", ""), (2, "o5", 1, True, 9.0, "a", "", "", "", "", "", "")],
+        "line_id int, option_id string, rank int, selected boolean, final_price double, history_id string, " + texts)
+    h = book(spark, ("a", "烧杯", "100ml", "个", "甲厂", 5), ("b", "试管", "", "支", "乙厂", 2))
+    late = E.export_wide(lines, options, 2, history=h).orderBy("line_id")
+    early = E.export_wide(lines, E.resolve_option_fields(options, h), 2).orderBy("line_id")
+    assert late.columns == early.columns and late.collect() == early.collect()
+    first = late.first()
+    assert (first.option1_price, first.option1_manufacturer, first.option2_manufacturer) == (5.0, "甲厂", "own") and "option3_price" not in late.columns
