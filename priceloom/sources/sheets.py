@@ -238,7 +238,8 @@ def extract_history(cells: DataFrame, tax_rate: float = 0.10, search_rows: int =
     holds from the next row on.  Sheets without a header give nothing; ``headerless_sheets`` names them.
     """
     c = F.col
-    rows = rows_of(cells)
+    # Written once: headers, section marks, chunks and records are all read from the same rows.
+    rows = materialize(rows_of(cells).drop("at"), "sheet_rows").withColumn("at", F.map_from_entries("cells"))
     heads = materialize(vendor_groups(header_columns(rows, price=True)).select(*SHEET, "row", "cols", "groups", "keys"), "heads")
     first = heads.filter(c("row") <= search_rows).groupBy(*SHEET).agg(
         F.min("row").alias("header_row"), F.min_by("cols", "row").alias("cols")).withColumn("has_price_column", c("cols.price").isNotNull())

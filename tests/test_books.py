@@ -388,3 +388,13 @@ def test_wide_export_looks_up_shown_options_only(spark):
     assert late.columns == early.columns and late.collect() == early.collect()
     first = late.first()
     assert (first.option1_price, first.option1_manufacturer, first.option2_manufacturer) == (5.0, "甲厂", "own") and "option3_price" not in late.columns
+
+
+def test_extraction_reads_written_rows(spark, monkeypatch):
+    written, write = [], SH.materialize
+    monkeypatch.setattr(SH, "materialize", lambda df, label: written.append(label) or write(df, label))
+    rows = [("名称", "规格", "单价"), ("烧杯", "100ml", "5"), ("试管", "", "2")]
+    cells = spark.createDataFrame([("a.csv", "a", i, j, v) for i, r in enumerate(rows, 1) for j, v in enumerate(r, 1) if v], "file string, sheet string, row int, col int, value string")
+    out = SH.extract_history(cells)
+    assert {(r["name"], r["spec"], r["price"]) for r in out.collect()} == {("烧杯", "100ml", 5.0), ("试管", "", 2.0)}
+    assert written[0] == "sheet_rows"
