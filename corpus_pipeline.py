@@ -5,12 +5,14 @@ returns and gives it to the next.  All stages but the last return the columns of
 """
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priceloom.llm import decontaminate, jaccard, langid, mixing, sharding
 from priceloom.llm.common import SMALL_BATCHES, table
-from priceloom.session import materialize, settings
+from priceloom.session import collect_garbage, materialize, settings
 
 
 def written_in_small_batches(df: DataFrame) -> DataFrame:
@@ -67,13 +69,23 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.interleave(docs)
 
 
-STAGES = [
+def _light(stage):
+    """The stage, begun without what the stages before it left in the driver."""
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        collect_garbage(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(name, _light(stage)) for name, stage in (
     ("language ID", identify_language),
     ("n-gram Jaccard join", drop_near_copies),
     ("benchmark decontamination", decontaminate_texts),
     ("mixing sources to target weights", mix_sources),
     ("sharding", shard),
-]
+)]
 
 #: The trained language model and the sampler cannot be said in SQL.  tests/llm compares near copies and cut texts with brute force,
 #: the mixture with its targets, the shards with the mixed rows, and run() with the stages; language ID by planted and held-out texts.

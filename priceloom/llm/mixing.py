@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialize
 from .common import hash_bits, table, word_count
 
 #: Weights by order of the source, repeating.
@@ -133,7 +134,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     c = F.col
     docs = docs.drop("source_size", "target", "taken", "draws")
     docs = docs.withColumn("_block", hash_bits(F.lit(seed), F.lit("block"), c("doc_id")) % blocks)
-    sizes = docs.groupBy("source", "_block").agg(F.sum("size").alias("_size"))
+    # Sources x blocks rows: written, or every step below plans and reads all documents again, in each of its copies.
+    sizes = materialize(docs.groupBy("source", "_block").agg(F.sum("size").alias("_size")), "block-sizes")
     goals = targets(sizes.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, share, most)
     # Each source's stream of blocks, pass by pass in seeded order.
     stream = sizes.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
@@ -158,6 +160,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
         goals.withColumnRenamed("source", "_g"), c("source").eqNullSafe(c("_g"))).select(
         c("source").alias("_s"), c("_block").alias("_b"), "source_size", "target",
         F.coalesce("_draws", F.array().cast("array<struct<copy:int,shard:int,rest:bigint>>")).alias("_draws"))
+    kept = materialize(kept, "block-draws")
     rows = docs.join(kept, c("source").eqNullSafe(c("_s")) & (c("_block") == c("_b"))).drop("_s", "_b")
     cut = F.exists("_draws", lambda d: d["rest"].isNotNull())
     inside = Window.partitionBy("source", "_block").orderBy(
@@ -191,7 +194,5 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     """What the mix takes of every document, and in which shard and place of it."""
-    from ..session import materialize
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return mix(materialize(docs, "sizes")).select("doc_id", "size", "source_size", "target", "taken", "draws")

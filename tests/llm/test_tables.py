@@ -368,3 +368,11 @@ def test_shingle_sets_agree_with_words():
     assert [len(s) for s in sets] == [1, 1, 1, 1, 0, 2]
     assert sets[0] == sets[1] and sets[2] == sets[3] and sets[0] != sets[2]
     assert hashlib.blake2b(sets[0].tobytes(), digest_size=16).digest() == jaccard.set_key(sets[1])
+
+
+def test_mix_reads_rows_once_per_use(spark, tmp_path):
+    """The block table is written: rows are planned for its sums before, and after it only where they are joined to their draws."""
+    docs_of(spark, [(i, "a b c", "uvw"[i % 3]) for i in range(300)]).write.parquet(str(tmp_path / "rows"))
+    docs = spark.read.parquet(str(tmp_path / "rows")).withColumn("size", word_count(F.col("text")))
+    plan = mixing.mix(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 4, plan.count("Relation [")
