@@ -9,7 +9,7 @@ from ..functions import specs as S
 from ..functions.similarity import sequence_ratio
 from ..functions.text import format_g, normalize_text
 from ..session import materialize
-from .stats import group_median, middle
+from .stats import middle, values_inside, wanted_slots
 
 # Weights of the score components.
 WEIGHTS = {"参数": 40, "型号": 13, "名称": 13, "制造商/品牌": 9, "单位": 9, "数据质量": 4}
@@ -137,6 +137,11 @@ def price_bucket(price: Column) -> Column:
     return F.when(price <= 0, F.lit(0.0)).otherwise(F.bround(price / step, 0) * step)
 
 
+def price_cell(price: Column) -> Column:
+    """Monotone cell of a price, a tenth of a per cent wide: a two-digit bucket has ten to a hundred."""
+    return F.when(price > 0, F.floor(F.log(F.when(price > 0, price)) * 1000)).otherwise(F.lit(-1_000_000))
+
+
 def peer_baseline(lines: DataFrame, history: DataFrame, pairs: DataFrame, cfg: MatchConfig) -> DataFrame:
     """Peer price median per (core, values) of the inquiry.
 
@@ -144,25 +149,26 @@ def peer_baseline(lines: DataFrame, history: DataFrame, pairs: DataFrame, cfg: M
     also ``price`` and ``rowid``.  Peers share a similar core and a reachable range;
     the baseline is the median of the fullest two-digit price bucket.  History is
     reduced to counts per (core, values, bucket) first, and summed over similar cores
-    before values are compared, so the work follows the vocabulary.
+    before values are compared, so the work follows the vocabulary.  Prices are counted in the
+    buckets used only, and meet lines as narrow cells first; then only the cells that hold a median do.
+    ``history`` is read three times: write it before if it is dear.
     """
-    pairs = pairs.filter(F.col("dice") >= cfg.peer_floor).select("line_core", "record_core")
+    pairs = materialize(pairs.filter(F.col("dice") >= cfg.peer_floor).select("line_core", "record_core"), "peer_pairs")
     priced = history.filter(F.coalesce(F.col("price"), F.lit(0.0)) != 0).select(
         F.col("core").alias("record_core"), F.col("sig").alias("record_sig"), "values", "price", "rowid",
         price_bucket(F.col("price")).alias("bucket"))
-    priced = materialize(priced, "priced")
     wanted = lines.select(F.col("core").alias("line_core"), F.col("sig").alias("line_sig"),
                           F.col("values").alias("line_values")).distinct()
-    sums = priced.groupBy("record_core", "record_sig", "bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min("rowid").alias("first"))
+    sums = materialize(priced.groupBy("record_core", "record_sig", "bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("rowid").alias("first")), "peer_sums")
     by_core = (
         sums.join(pairs, "record_core").groupBy("line_core", "record_sig", "bucket")
         .agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     )
-    record_sigs = priced.select("record_core", "record_sig", F.col("values").alias("record_values")).distinct()
+    of_sig = priced.select("record_sig", F.col("values").alias("record_values")).distinct()
     reach = (
-        record_sigs.join(pairs, "record_core").select("line_core", "record_sig", "record_values").distinct()
-        .join(wanted, "line_core")
+        sums.select("record_core", "record_sig").distinct().join(pairs, "record_core").select("line_core", "record_sig").distinct()
+        .join(of_sig, "record_sig").join(wanted, "line_core")
         .filter(S.same_range(F.col("line_values"), F.col("record_values"), 0.6))
         .select("line_core", "line_sig", "record_sig")
     )
@@ -181,21 +187,31 @@ def peer_baseline(lines: DataFrame, history: DataFrame, pairs: DataFrame, cfg: M
     used = buckets.filter((F.col("at") == 1) | (F.col("largest") < 2)).select(
         "line_core", "line_sig", "bucket", (F.col("largest") < 2).alias("thin"))
     used = materialize(used, "used_buckets")
-    used_buckets = used.select("line_core", "bucket").distinct()
-    prices = (
-        priced.join(pairs, "record_core").join(used_buckets, ["line_core", "bucket"], "left_semi")
-        .groupBy("line_core", "record_sig", "bucket", "price").agg(F.count(F.lit(1)).alias("n"))
-        .join(reach, ["line_core", "record_sig"]).join(used, ["line_core", "line_sig", "bucket"])
-        .groupBy("line_core", "line_sig", "thin", "price").agg(F.sum("n").alias("n"))
-    )
-    prices = materialize(prices, "peer_prices")
+    asked = used.select("line_core", "bucket").distinct().join(pairs, "line_core").select("record_core", "bucket").distinct()
+    prices = materialize(
+        priced.join(asked, ["record_core", "bucket"], "left_semi").groupBy("record_core", "record_sig", "bucket", "price")
+        .agg(F.count(F.lit(1)).alias("_w")).withColumn("_slot", price_cell(F.col("price"))), "peer_prices")
 
     def positions(n: Column):
         lower = F.when(n >= 3, F.greatest(F.lit(3), F.floor(n * 3 / 4))).otherwise(n)
         return middle(F.when(F.col("thin"), lower).otherwise(n))
 
-    stats = group_median(prices, ["line_core", "line_sig", "thin"], "price", "peer_median", "n", positions)
-    return stats.select("line_core", "line_sig", "peer_median")
+    keys = ["line_core", "line_sig", "thin"]
+    cells = prices.groupBy("record_core", "record_sig", "bucket", "_slot").agg(F.sum("_w").alias("_w"))
+    cells = (
+        cells.join(pairs, "record_core").join(used.select("line_core", "bucket").distinct(), ["line_core", "bucket"], "left_semi")
+        .groupBy("line_core", "record_sig", "bucket", "_slot").agg(F.sum("_w").alias("_w"))
+        .join(reach, ["line_core", "record_sig"]).join(used, ["line_core", "line_sig", "bucket"])
+        .groupBy(*keys, "_slot").agg(F.sum("_w").alias("_in"))
+    )
+    holding = materialize(wanted_slots(cells, keys, positions).join(used, keys), "peer_cells")
+    inside = (
+        prices.join(pairs, "record_core").join(holding.select("line_core", "bucket", "_slot").distinct(), ["line_core", "bucket", "_slot"], "left_semi")
+        .groupBy("line_core", "record_sig", "bucket", "_slot", "price").agg(F.sum("_w").alias("_w"))
+        .join(reach, ["line_core", "record_sig"]).join(holding, ["line_core", "line_sig", "bucket", "_slot"])
+    )
+    stats = values_inside(inside.withColumnRenamed("price", "_v"), keys)
+    return stats.select("line_core", "line_sig", ((F.col("low") + F.col("high")) / 2).alias("peer_median"))
 
 
 # --- row scores --------------------------------------------------------------
