@@ -398,3 +398,59 @@ def test_extraction_reads_written_rows(spark, monkeypatch):
     out = SH.extract_history(cells)
     assert {(r["name"], r["spec"], r["price"]) for r in out.collect()} == {("烧杯", "100ml", 5.0), ("试管", "", 2.0)}
     assert written[0] == "sheet_rows"
+
+
+def tables(spark, folder):
+    """A part, a supplier and an order of which some line items are copies but for their place and price."""
+    made = {
+        "part": [(1, "hot widget", "Brand#11", "STEEL", 5, 10.0), (2, "cold bolt", "Brand#12", "BRASS", 7, 20.0)],
+        "supplier": [(1, "supplier#1", 0, 1.0), (2, "supplier#2", 0, 2.0)],
+        "orders": [(k, 1, "F", 100.0, "1-URGENT") for k in range(1, 9)],
+        "lineitem": [(k, 1 + k % 2, 1 + k % 2, n, 2.0, 20.0 + n + k % 3, "ANR"[k % 3], "FO"[n % 2], "2020-01-02") for k in range(1, 9) for n in (1, 2, 7)]}
+    schemas = {
+        "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+        "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+        "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string",
+        "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string, l_shipdate string"}
+    for name, rows in made.items():
+        df = spark.createDataFrame(rows, schemas[name])
+        if name == "lineitem":
+            df = df.withColumn("l_shipdate", c("l_shipdate").cast("timestamp"))
+        df.coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_queries_that_read_the_book_often_join_its_tables_once(spark, tmp_path, monkeypatch):
+    from priceloom.suite import book_queries as B
+    from priceloom.suite import match_queries as MQ
+    from priceloom.suite import review_queries as RQ
+    from priceloom.suite import row_queries as RW
+    from priceloom.suite import views as V
+    import priceloom.plans.match as M
+
+    sf, read, given = tables(spark, tmp_path), [], {}
+    plain = sorted(map(str, V.history(spark, sf).collect()))
+    assert sorted(map(str, V.history(spark, sf, V.stored_rows(spark, sf)).collect())) == plain and len(plain) == 24
+    table = V.table
+    monkeypatch.setattr(V, "table", lambda spark, sf, name: read.append(name) or table(spark, sf, name))
+    monkeypatch.setattr(RC, "reconcile", lambda rows, book: given.update(reconcile=book, rows=rows) or book.withColumns({x: F.lit("") for x in ("seq", "action", "hidden_targets", "target_id")}))
+    monkeypatch.setattr(CH, "apply_changes", lambda book, edits, *a: given.update(changes=book, edits=edits) or (book, book.withColumns({x: F.lit("") for x in ("seq", "op", "status", "reason")})))
+    for run in (B.imported_book, B.reconcile, B.apply_changes, B.changed_book, B.repeated_edits, RQ.reviewed_options):
+        read.clear()
+        run(spark, sf)
+        assert read.count("lineitem") == 1, run.__name__
+    for df in given.values():
+        assert all("book_rows" in f for f in df.inputFiles())
+
+    class Seen(Exception):
+        pass
+
+    def seen(lines, history, *rest):
+        assert all("book_rows" in f for f in history.inputFiles())
+        raise Seen
+
+    for where, name in ((M, "prepare"), (MQ, "match"), (MQ, "quote")):
+        monkeypatch.setattr(where, name, seen)
+    for run in (RW.scored_pool, RW.score_parts, RW.vendor_name_ratio, MQ.match_query, MQ.quote_coverage):
+        with pytest.raises(Seen):
+            run(spark, sf)
